@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from tessella.llm import chat, mixing
+from tessella.llm import ann, chat, lm, mixing, quality, tokenbin, urls, warc
 
 
 def queries() -> dict:
     return {
         "op1_chat_format": chat.op1_chat_format,
         "op2_mixing": mixing.op2_mixing,
+        "op3_warc": warc.op3_warc,
+        "op5_nearest": ann.op5_nearest,
+        "op6_lm_score": lm.op6_lm_score,
+        "op7_token_output": tokenbin.op7_token_output,
+        "op8_quality": quality.op8_quality,
+        "op10_url_filter": urls.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op2_mixing": mixing.OP2_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_warc": warc.OP3_SQL}
