@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +14,7 @@ from tessella.llm._common import crc_fold, dropped, filesystem, saved, scratch,
 
 FOLDS, VOCABULARY = 10, "piece_bpe_32k.model"
 #: Bytes of text in a block: a block's distinct words and their scores are one task's dictionary.
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 24 << 20
 #: Added to each piece's count.
 PIECE_ADD = 0.05
 #: Classes of texts (languages) that get word edges of their own.
@@ -24,11 +23,6 @@ MAX_CLASSES = 8
 START = "▁"
 
 
-def words_of(text: str) -> list[bytes]:
-    """Words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased."""
-    return text.encode("utf-8", "replace").lower().split()
-
-
 def load_pieces(model: str):
     import public_tokenizers
     import sentencepiece
@@ -94,18 +88,28 @@ def _classes(documents: DataFrame, column: str | None) -> list:
     return [r[0] for r in top.orderBy(F.desc("count"), column).limit(MAX_CLASSES).collect()]
 
 
+def _planes(ids: np.ndarray) -> bytes:
+    """Unsigned 32-bit numbers byte plane by byte plane: the high planes are nearly all zero and compress away."""
+    return ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _blocks(documents: DataFrame, id_type: T.DataType, block_bytes: int, column: str | None, classes: list) -> DataFrame:
-    """The texts in blocks, and the distinct words of each block with their counts in the training fold, as one written table.
+    """The texts in blocks, as numbers of their words, and each block's words with number and training counts by class: one written table.
 
-    Both come from the same run of the same task, so that a block's words are those of its texts, whatever is run again.
+    Both kinds of rows come from the same run of the same task, so that numbers and words agree, whatever is run again.
     """
     schema = T.StructType([
         T.StructField("kind", T.ByteType()), T.StructField("block", T.LongType()), T.StructField("doc_id", id_type), T.StructField("held_out", T.BooleanType()), T.StructField("class", T.ByteType()),
-        T.StructField("text", T.StringType()), T.StructField("word", T.BinaryType()), T.StructField("n", T.LongType())])
+        T.StructField("words", T.BinaryType()), T.StructField("word", T.BinaryType()), T.StructField("number", T.IntegerType()), T.StructField("n", T.ArrayType(T.IntegerType()))])
     kind = F.lit(len(classes))
     for i, c in enumerate(classes):
         kind = F.when(F.col(column) == c, i).otherwise(kind)
     rows = documents.select("doc_id", (crc_fold("doc_id", FOLDS) == 0).alias("held_out"), kind.cast("byte").alias("class"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    width = len(classes) + 1
 
     def split(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -113,39 +117,49 @@ def _blocks(documents: DataFrame, id_type: T.DataType, block_bytes: int, column:
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds = to_arrow_schema(schema)
-        block, held, counts = TaskContext.get().partitionId() << 24, 0, [Counter() for _ in range(len(classes) + 1)]
-        idle: set[bytes] = set()
+        block, held = TaskContext.get().partitionId() << 24, 0
+        index: dict[bytes, int] = {}
+        counts = np.zeros((1 << 16, width), np.int32)
 
         def row(kind, size, **known):
             cols = {"kind": pa.array([kind] * size, pa.int8()), "block": pa.array([block] * size, pa.int64())} | known
             return pa.RecordBatch.from_arrays([cols[f.name].cast(f.type) if f.name in cols else pa.nulls(size, f.type) for f in kinds], schema=kinds)
 
         def vocabulary_of():
-            idle.difference_update(*counts)
-            for k, found in enumerate([*map(Counter.items, counts), [(w, 0) for w in idle]]):
-                found = list(found)
-                for i in range(0, len(found), 50_000):
-                    some = found[i : i + 50_000]
-                    yield row(1, len(some), word=pa.array([w for w, _ in some], pa.binary()), n=pa.array([c for _, c in some], pa.int64()), **{"class": pa.array([k % len(counts)] * len(some), pa.int8())})
+            found = list(index)
+            for i in range(0, len(found), 50_000):
+                some = found[i : i + 50_000]
+                n = pa.ListArray.from_arrays(pa.array(np.arange(0, len(some) * width + 1, width), pa.int32()), pa.array(counts[i : i + len(some)].ravel(), pa.int32()))
+                yield row(1, len(some), word=pa.array(some, pa.binary()), number=pa.array(np.arange(i, i + len(some)), pa.int32()), n=n)
 
         for batch in batches:
-            texts = batch.column("text").to_pylist()
             out, kind = batch.column("held_out").to_pylist(), batch.column("class").to_pylist()
-            first = 0
-            for i, t in enumerate(texts):
-                (idle if out[i] else counts[kind[i]]).update(words_of(t))
-                held += len(t)
-                if held >= block_bytes or i + 1 == len(texts):
+            packed, first = [], 0
+            for i, t in enumerate(batch.column("text")):
+                # On bytes, lower() and split() know A-Z and the white space \x20\x09-\x0D alone.
+                raw = t.as_buffer().to_pybytes().lower()
+                mine = raw.split()
+                ids = np.fromiter((index.setdefault(w, len(index)) for w in mine), np.int64, len(mine))
+                if len(index) > len(counts):
+                    counts = np.concatenate([counts, np.zeros((max(len(counts), len(index) - len(counts)), width), np.int32)])
+                if not out[i]:
+                    np.add.at(counts[:, kind[i]], ids, 1)
+                packed.append(_planes(ids))
+                held += len(raw)
+                if held >= block_bytes or i + 1 == batch.num_rows:
                     some = batch.slice(first, i + 1 - first)
-                    yield row(0, len(some), **{c: some.column(c) for c in ("doc_id", "held_out", "class", "text")})
-                    first = i + 1
+                    yield row(0, len(some), words=pa.array(packed, pa.binary()), **{c: some.column(c) for c in ("doc_id", "held_out", "class")})
+                    packed, first = [], i + 1
                 if held >= block_bytes:
                     yield from vocabulary_of()
-                    block, held, counts, idle = block + 1, 0, [Counter() for _ in counts], set()
-        if held or any(counts) or idle:
+                    block, held, index = block + 1, 0, {}
+                    counts = np.zeros((1 << 16, width), np.int32)
+        if index:
             yield from vocabulary_of()
 
-    return saved(rows.mapInArrow(split, schema), "lm-blocks")
+    spark = documents.sparkSession
+    rows.mapInArrow(split, schema).write.option("compression", "zstd").parquet(path := scratch(spark, "lm-blocks"))
+    return spark.read.schema(schema).parquet(path)
 
 
 def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str | None = "lang", block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -171,8 +185,9 @@ def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str |
     width = len(classes) + 1
     blocks = _blocks(documents, id_type, block_bytes, class_column, classes)
     listed = blocks.where("kind = 1")
-    by_class = F.array(*(F.sum(F.when(F.col("class") == k, F.col("n")).otherwise(0)) for k in range(width)))
-    words = saved(listed.groupBy("word").agg(F.sum("n").alias("c"), by_class.alias("by_class"), F.collect_set("block").alias("blocks")), "lm-words")
+    sums = [F.sum(F.col("n")[k].cast("long")) for k in range(width)]
+    grouped = listed.groupBy("word").agg(F.array(*sums).alias("by_class"), F.collect_list(F.struct("block", "number")).alias("places"))
+    words = saved(grouped.withColumn("c", sum(F.col("by_class")[k] for k in range(width))), "lm-words")
     class_ends = np.zeros(width)
     for r in blocks.where("kind = 0 AND NOT held_out").groupBy("class").count().collect():
         class_ends[r["class"]] = r["count"]
@@ -211,46 +226,62 @@ def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str |
     used = np.flatnonzero(class_ends) if ends else np.zeros(1, int)
     class_total = class_words + class_ends
     # A class without training rows has no part; with none at all there is one class, and it is the global lattice.
-    class_share = (class_ends[used] / ends) if ends else np.ones(1)
+    class_share = np.log10(class_ends[used] / ends) if ends else np.zeros(1)
     class_end = np.log10(class_ends[used] / class_total[used]) if ends else np.array([end_lp])
 
+    def of_classes(counts: np.ndarray, lp: np.ndarray) -> np.ndarray:
+        """log10 probabilities by class: an edge of the class's own, and with the mass of its discounts the edge and the paths of
+        all rows. (lp is of words and end together; a word alone is asked for here, as classes have ends of their own.)"""
+        if not ends:
+            return lp[:, None] / math.log(10)
+        spread = discount * class_types[used] / class_total[used] * (total / max(in_words, 1))
+        own = np.maximum(counts[:, used] - discount, 0) / class_total[used]
+        with np.errstate(divide="ignore", under="ignore"):
+            far = np.log(spread)[None, :] + lp[:, None]
+            return np.maximum(np.where(own > 0, np.log(own + np.exp(far)), far), -1e9) / math.log(10)
+
     def score_words(batches: Iterable) -> Iterator:
+        """Packs, for each block, the numbers, counts and scores of its words among those at hand."""
         import pyarrow as pa
 
         lattice = Lattice(*shared.value)
         for batch in batches:
-            c = batch.column("c").to_pylist()
-            lp = np.empty(len(c))
-            counts = np.array(batch.column("by_class").to_pylist(), float).reshape(len(c), width)[:, used]
-            for i, w in enumerate(batch.column("word").to_pylist()):
+            counts = np.array(batch.column("by_class").to_pylist(), np.int64).reshape(batch.num_rows, width)
+            lp = np.empty(batch.num_rows)
+            for i, (w, c) in enumerate(zip(batch.column("word").to_pylist(), counts.sum(1).tolist(), strict=True)):
                 x = spare + lattice.log_p(w)
-                if c[i] > 0:
-                    y = math.log((c[i] - discount) / total)
+                if c > 0:
+                    y = math.log((c - discount) / total)
                     x = max(x, y) + math.log1p(math.exp(-abs(x - y)))
                 lp[i] = x
-            if ends:
-                # A word edge of a class, and with the mass of its discounts, the edge and the paths of all rows. (The
-                # global probabilities are of words and end together; words alone are asked for here.)
-                alone = np.exp(lp) * (total / max(in_words, 1))
-                scaled = (np.maximum(counts - discount, 0) + (discount * class_types[used])[None, :] * alone[:, None]) / class_total[used][None, :]
-                with np.errstate(divide="ignore"):
-                    far = np.log((discount * class_types[used] / class_total[used]) * (total / max(in_words, 1)))[None, :] + lp[:, None]
-                    by = np.where(scaled > 1e-280, np.log(np.maximum(scaled, 1e-300)), far)
-            else:
-                by = lp[:, None]
-            packed = (np.maximum(by, -1e9) / math.log(10)).ravel()
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), pa.ListArray.from_arrays(pa.array(np.arange(0, len(packed) + 1, len(used)), pa.int32()), pa.array(packed)), batch.column("blocks")], names=["word", "c", "lp", "blocks"])
+            places = batch.column("places")
+            of = np.repeat(np.arange(batch.num_rows), np.diff(places.offsets.to_numpy()))
+            block, number = (places.flatten().field(k).to_numpy() for k in (0, 1))
+            order = np.argsort(block, kind="stable")
+            block, number, of = block[order], number[order], of[order]
+            starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else np.zeros(0, int)
+            ends_ = np.r_[starts[1:], len(block)]
+            wide = "<u4" if counts.max(initial=0) < 1 << 32 else "<u8"
+            parts = [(int(block[a]), z - a, number[a:z].astype("<u4").tobytes(), counts[of[a:z]].T.astype(wide).tobytes(), lp[of[a:z]].astype("<f4").tobytes()) for a, z in zip(starts.tolist(), ends_.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*parts, strict=True) if parts else [()] * 5, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["block", "size", "numbers", "counts", "lp"])
 
     folder = scratch(spark, "lm-dictionaries")
-    scored = words.mapInArrow(score_words, "word binary, c long, lp array<double>, blocks array<long>")
-    scored = scored.select(F.explode("blocks").alias("block"), "word", "c", "lp")
+    scored = words.select("word", "by_class", "places").mapInArrow(score_words, "block long, size long, numbers binary, counts binary, lp binary")
 
     def keep(key, table):
         import pyarrow as pa
 
+        sizes = table.column("size").to_pylist()
+        n = sum(sizes)
+        counts, lp = np.zeros((width, n), np.int64), np.zeros(n, np.float32)
+        for size, numbers, c, x in zip(sizes, *(table.column(k).to_pylist() for k in ("numbers", "counts", "lp")), strict=True):
+            at = np.frombuffer(numbers, "<u4")
+            counts[:, at] = np.frombuffer(c, "<u4" if len(c) == 4 * size * width else "<u8").reshape(width, size)
+            lp[at] = np.frombuffer(x, "<f4")
+        out = pa.table({"lp": pa.array(lp)} | {f"c{k}": pa.array(counts[k]) for k in range(width)})
         sink = pa.BufferOutputStream()
-        with pa.ipc.new_file(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as w:
-            w.write_table(table)
+        with pa.ipc.new_file(sink, out.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+            w.write_table(out)
         write_whole(f"{folder}/{key[0].as_py()}.arrow", [sink.getvalue()])
         return pa.table({"block": pa.array([key[0].as_py()], pa.int64())})
 
@@ -263,30 +294,27 @@ def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str |
         from pyspark.sql.pandas.types import to_arrow_schema
 
         kinds, now = to_arrow_schema(out), None
-        index: dict[bytes, int] = {}
+        end_base = math.log10((ends + 0.1) / floor)
         for batch in batches:
             rows = []
-            for block, text in zip(batch.column("block").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                mine = words_of(text)
-                if block != now and mine:
-                    system, path = filesystem(f"{folder}/{block}.arrow")
-                    with system.open_input_file(path) as f:
-                        table = pa.ipc.open_file(f).read_all()
-                    index = {w: i for i, w in enumerate(table.column("word").to_pylist())}
-                    c, lp = table.column("c").to_numpy(), table.column("lp").combine_chunks().flatten().to_numpy().reshape(table.num_rows, -1)
-                    base = np.log10((c + 0.1) / floor)
-                    now = block
-                end_base = math.log10((ends + 0.1) / floor)
-                if mine:
-                    ids = np.fromiter(map(index.__getitem__, mine), np.int64, len(mine))
-                    mixed = lp[ids].sum(0) + class_end + np.log10(class_share)
-                    rows.append((len(mine) + 1, int(np.count_nonzero(c[ids])) + (ends > 0), float(base[ids].sum()) + end_base, float(mixed.max() + np.log10((10 ** (mixed - mixed.max())).sum()))))
-                else:
-                    rows.append((1, int(ends > 0), end_base, float(np.log10((10 ** (class_end + np.log10(class_share))).sum()))))
+            for block, raw in zip(batch.column("block").to_pylist(), batch.column("words").to_pylist(), strict=True):
+                mixed, base_sum, n, known = class_end + class_share, end_base, 1, int(ends > 0)
+                if raw:
+                    if block != now:
+                        system, path = filesystem(f"{folder}/{block}.arrow")
+                        with system.open_input_file(path) as f:
+                            table = pa.ipc.open_file(f).read_all()
+                        counts = np.stack([table.column(f"c{k}").to_numpy() for k in range(width)], axis=1)
+                        c, lp = counts.sum(1), of_classes(counts, table.column("lp").to_numpy().astype(np.float64))
+                        base, now = np.log10((c + 0.1) / floor), block
+                    ids = _from_planes(raw)
+                    mixed, base_sum = mixed + lp[ids].sum(0), base_sum + float(base[ids].sum())
+                    n, known = n + len(ids), known + int(np.count_nonzero(c[ids]))
+                rows.append((n, known, base_sum, float(mixed.max() + np.log10((10 ** (mixed - mixed.max())).sum()))))
             n, known, bases, scores = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())], schema=kinds)
 
-    texts = blocks.where("kind = 0").select("block", "doc_id", "held_out", "text")
+    texts = blocks.where("kind = 0").select("block", "doc_id", "held_out", "words")
     result = texts.mapInArrow(score_texts, out)
     dropped(words)
     return result

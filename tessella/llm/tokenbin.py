@@ -6,6 +6,7 @@ import bisect
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -81,18 +82,21 @@ class Code:
         """The bit string, most significant bit first, and the bit offset at which each block of ids starts."""
         if not len(tokens):
             return b"", np.zeros(0, np.uint64)
-        at = np.searchsorted(self.ids, tokens)
+        place = np.zeros(int(self.ids[-1]) + 1, np.uint32)
+        place[self.ids] = np.arange(len(self.ids))
+        at = place[tokens]
         size, code = self.lengths[at].astype(np.int64), self.codes[at]
         ends = np.cumsum(size)
         starts = ends - size
         n = int(ends[-1] + 7) // 8
-        # A code of up to 24 bits touches at most 4 bytes; bits of different codes never overlap, so sums are unions.
-        word = (code << (32 - size - (starts & 7)).astype(np.uint64)).astype(np.uint32)
-        byte, total = starts >> 3, np.zeros(n + 4)
-        for k in range(4):
-            part = (word >> np.uint32(24 - 8 * k)) & np.uint32(255)
-            total += np.bincount(byte + k, weights=part, minlength=n + 4)[: n + 4]
-        return total[:n].astype(np.uint8).tobytes(), starts[::block].astype(np.uint64)
+        # A code of up to 24 bits touches at most two 32-bit words; bits of different codes never overlap, so sums are unions.
+        value = code << (64 - size - (starts & 31)).astype(np.uint64)
+        word, words = starts >> 5, n // 4 + 2
+        total = np.bincount(word, weights=value >> np.uint64(32), minlength=words)
+        low = value & np.uint64(0xFFFFFFFF)
+        over = np.flatnonzero(low)
+        total += np.bincount(word[over] + 1, weights=low[over], minlength=words)
+        return total.astype(">u4").tobytes()[:n], starts[::block].astype(np.uint64)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """For every pattern of `bits` bits: the index of the id that it starts with, and the bits that its code takes."""
@@ -157,64 +161,114 @@ def unpack_file(data: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
 
 # ---------------------------------------------------------------- tokens
 
-#: A space between white space, or at the end after white space: there a piece may cross the space.
-_CROSSED = re.compile(r"(?<=\s) (?=\s|\Z)")
+#: ASCII marks that byte-level BPE keeps apart from the letters before them. (Not the apostrophe: it can join them.)
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+_HEAD = "\x01"
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, each distinct space-separated chunk encoded once while it stays in memory.
+    """Ids of texts by the tokenizers library, each distinct chunk encoded once while it stays in memory.
 
-    Byte-level BPE splits a text into pieces before it merges, and no piece reaches across a space that stands between
-    other characters; so such a text's ids are those of its chunks, each with the space before it. Texts with other
-    spaces, or with the string of a special token, are encoded whole. Ids are the same either way.
+    Byte-level BPE splits a text into pieces before it merges, and a piece ends at a space or line end that stands alone
+    between other characters; so such a text's ids are those of its chunks, each with the space before it, and of a line
+    end. A chunk of letters and marks is encoded as those two pieces. Texts with runs of white space, with the string
+    of a special token or with the sign that marks a chunk without a space before it are encoded whole. The ids are the
+    same either way; the memory is bounded.
     """
 
-    LIMIT = 600_000
+    #: Chunks in memory (about 200 bytes each), and texts that are encoded at once.
+    LIMIT, AT_ONCE = 2_000_000, 10_000
 
-    def __init__(self, path: str, width: int):
+    def __init__(self, path: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t, self.dtype = Tokenizer.from_file(path), np.dtype(f"<u{width}")
-        specials = [str(x) for x in self.t.get_added_tokens_decoder().values()] if hasattr(self.t, "get_added_tokens_decoder") else []
-        specials = [getattr(x, "content", None) or str(x) for x in getattr(self.t, "get_added_tokens_decoder", dict)().values()] or specials
+        self.t = Tokenizer.from_file(path)
+        specials = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.after: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
+        # What this class knows of pieces holds for byte-level pre-tokenizers; others get whole texts.
+        self.byte_level = type(self.t.pre_tokenizer).__name__ == "ByteLevel" and self.t.normalizer is None and self.t.post_processor is None
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.code = "H" if self.t.get_vocab_size() <= 1 << 16 else "I"
+        self.known: dict[str, bytes | None] = {}
 
     def _packed(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.dtype).tobytes() for e in self.t.encode_batch_fast(texts, add_special_tokens=False)]
+        """Unsigned ids of two bytes if the vocabulary allows, else four."""
+        return [array(self.code, e.ids).tobytes() for i in range(0, len(texts), self.AT_ONCE) for e in self.t.encode_batch_fast(texts[i : i + self.AT_ONCE], add_special_tokens=False)]
+
+    def _parts(self, c: str):
+        """The two chunks whose ids are those of the chunk, or itself; None if it can't stand alone."""
+        if c == "\n":
+            return (_HEAD + c,)
+        body = c[1:] if c[:1] == _HEAD else c
+        if not body or body != body.strip():
+            return None
+        stem = body.rstrip(_MARKS)
+        if len(stem) < len(body) and stem.isalpha():
+            at = len(c) - len(body) + len(stem)
+            return c[:at], _HEAD + c[at:]
+        return (c,)
+
+    def _learn(self, chunks: list[str]) -> None:
+        known = self.known
+        wanted = {c for c in chunks if c.isalpha()}
+        parts = [(c, self._parts(c)) for c in chunks if not c.isalpha()]
+        wanted.update(x for _, p in parts if p for x in p if x not in known)
+        # Letters, or marks, are one piece: the model merges it, in the letters that stand for bytes.
+        tokenize, code, letters = self.t.model.tokenize, self.code, self.letters
+        several = []
+        for x in wanted:
+            s = x[1:] if x[0] == _HEAD else " " + x
+            if x.isalpha() or s.isalpha() or not s.strip(_MARKS):
+                known[x] = array(code, [k.id for k in tokenize(s.encode().decode("latin-1").translate(letters))]).tobytes()
+            else:
+                several.append((x, s))
+        known.update(zip([x for x, _ in several], self._packed([s for _, s in several]), strict=True))
+        for c, p in parts:
+            known[c] = None if p is None else known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
+
+    def _split(self, t: str) -> list[str] | None:
+        if not t:
+            return []
+        if not self.byte_level or _HEAD in t or (self.special and self.special.search(t)):
+            return None
+        if t[-1] == "\n":  # the last line's end: the chunk after it would be empty
+            return [*(_HEAD + t[:-1].replace("\n", " \n " + _HEAD)).split(" "), "\n"]
+        return (_HEAD + t.replace("\n", " \n " + _HEAD)).split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split: list[list[str] | None] = []
-        missed, whole = set(), []
-        for i, t in enumerate(texts):
-            if _CROSSED.search(t) or (self.special and self.special.search(t)):
-                split.append(None)
+        split = list(map(self._split, texts))
+        seen: set[str] = set()
+        for s in split:
+            seen.update(s or ())
+        if len(self.known) > self.LIMIT:
+            self.known = {}
+        self._learn(list(seen.difference(self.known)))
+        get, out, whole = self.known.__getitem__, [], []
+        for i, s in enumerate(split):
+            try:
+                out.append(b"".join(map(get, s)))
+            except TypeError:  # no list of chunks, or a chunk that can't stand alone
                 whole.append(i)
-                continue
-            chunks = t.split(" ")
-            split.append(chunks)
-            missed.update(c for c in chunks if c not in self.after)
-        if missed:
-            if len(self.after) > self.LIMIT:
-                self.after = {}
-                missed = {c for chunks in split if chunks for c in chunks}
-            new = list(missed)
-            self.after.update(zip(new, self._packed([" " + c for c in new]), strict=True))
-        heads = {c[0] for c in split if c} - self.first.keys()
-        if heads:
-            if len(self.first) > self.LIMIT // 10:
-                self.first, heads = {}, {c[0] for c in split if c}
-            new = list(heads)
-            self.first.update(zip(new, self._packed(new), strict=True))
-        get = self.after.__getitem__
-        out = [b"" if c is None else self.first[c[0]] + b"".join(map(get, c[1:])) for c in split]
-        if whole:
-            for i, x in zip(whole, self._packed([texts[i] for i in whole]), strict=True):
-                out[i] = x
+                out.append(b"")
+        for i, x in zip(whole, self._packed([texts[i] for i in whole]), strict=True):
+            out[i] = x
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder(path: str) -> Encoder:
+    """One per Python worker, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def _bounds(documents: DataFrame, file_bytes: int) -> list[int]:
     """Document ids that part the table into ranges of about file_bytes text. An id that is repeated often comes twice or more."""
     size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -240,7 +294,6 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = _bounds(documents, file_bytes)
     parts = len(bounds) + 1
-    width = 4
 
     def part_of(doc_id, text: str) -> int:
         if doc_id is None:
@@ -248,32 +301,26 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
         lo, hi = bisect.bisect_left(bounds, doc_id), bisect.bisect_right(bounds, doc_id)
         return lo if hi - lo < 2 else lo + zlib.crc32(text.encode("utf-8", "replace")) % (hi - lo)
 
-    def tokens(batches: Iterable) -> Iterator:
-        import os
+    def tokens(rows: Iterable) -> Iterator:
+        enc = encoder(path)
+        end = array(enc.code, [end_id]).tobytes()
+        width = len(end)
+        held: list[tuple] = []
 
-        import pyarrow as pa
+        def flush():
+            for (doc_id, text), x in zip(held, enc.encode([t for _, t in held]), strict=True):
+                yield part_of(doc_id, text), (doc_id, len(x) // width + 1, x + end)
 
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        enc = Encoder(path, width)
-        end = np.array([end_id], enc.dtype).tobytes()
-        for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            i = 0
-            while i < len(ids):
-                j, held = i, 0
-                while j < len(ids) and held < 1 << 20:
-                    held += len(texts[j])
-                    j += 1
-                raw = [np.frombuffer(x + end, enc.dtype) for x in enc.encode(texts[i:j])]
-                yield pa.RecordBatch.from_pydict({
-                    "part": pa.array([part_of(d, t) for d, t in zip(ids[i:j], texts[i:j], strict=True)], pa.int32()), "doc_id": pa.array(ids[i:j], pa.int64()),
-                    "n": pa.array([len(x) for x in raw], pa.int64()),
-                    # Ids of under 65,536 fit two bytes; the width is known from n.
-                    "ids": pa.array([(x.astype("<u2") if x.max() < 65536 else x).tobytes() for x in raw], pa.binary())})
-                i = j
-
-    frame = documents.mapInArrow(tokens, "part int, doc_id long, n long, ids binary")
-    dealt = frame.rdd.map(lambda r: (r[0], (r[1], r[2], bytes(r[3])))).partitionBy(parts, lambda part: part)
+        size = 0
+        for r in rows:
+            held.append((r[0], r[1]))
+            size += len(r[1])
+            if size >= 1 << 20:
+                yield from flush()
+                held, size = [], 0
+        yield from flush()
+
+    dealt = documents.rdd.mapPartitions(tokens).partitionBy(parts, lambda part: part)
 
     def unpack(n: int, raw: bytes) -> np.ndarray:
         return np.frombuffer(raw, "<u2").astype(np.uint32) if len(raw) == 2 * n else np.frombuffer(raw, "<u4")
@@ -281,14 +328,25 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     def counted(rows):
         totals: dict[int, int] = {}
         counts = np.zeros(1, np.int64)
+        held, size = {2: [], 4: []}, 0
+
+        def flush():
+            nonlocal counts
+            for width, raws in held.items():
+                if raws:
+                    c = np.bincount(np.frombuffer(b"".join(raws), f"<u{width}"), minlength=len(counts))
+                    c[: len(counts)] += counts
+                    counts = c
+                    raws.clear()
+
         for part, (_, n, raw) in rows:
             totals[part] = totals.get(part, 0) + n
-            c = np.bincount(unpack(n, raw))
-            if len(c) > len(counts):
-                c[: len(counts)] += counts
-                counts = c
-            else:
-                counts[: len(c)] += c
+            held[len(raw) // n].append(raw)
+            size += len(raw)
+            if size >= 1 << 23:
+                flush()
+                size = 0
+        flush()
         yield from (("part", p, n) for p, n in totals.items())
         yield from (("id", int(i), int(counts[i])) for i in np.flatnonzero(counts))
 
