@@ -166,18 +166,58 @@ _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _HEAD = "\x01"
 
 
+class _Chunks(dict):
+    """Packed ids by chunk: letters between spaces, or what follows a line's start (then marked by _HEAD). None: not alone."""
+
+    def __init__(self, t):
+        self.t, self.tokenize = t, t.model.tokenize
+        # What this class knows of pieces holds for byte-level pre-tokenizers; others get whole texts.
+        self.byte_level = type(t.pre_tokenizer).__name__ == "ByteLevel" and t.normalizer is None and t.post_processor is None
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.code = "H" if t.get_vocab_size() <= 1 << 16 else "I"
+
+    def _piece(self, s: str) -> bytes:
+        """Letters, or marks, are one piece: the model merges it, in the letters that stand for bytes."""
+        return array(self.code, [k.id for k in self.tokenize(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def __missing__(self, c: str) -> bytes | None:
+        if c.isalpha():
+            value = self._piece(" " + c)
+        else:
+            head = c[:1] == _HEAD
+            body = c[1:] if head else c
+            stem = body.rstrip(_MARKS)
+            if c == "\n":
+                value = self._piece(c)
+            elif not body or body != body.strip():
+                value = None
+            elif len(stem) < len(body) and (stem.isalpha() or not stem):
+                marks = body[len(stem) :]
+                if stem:
+                    value = self[_HEAD + stem if head else stem] + self._piece(marks)
+                else:
+                    value = self._piece(marks if head else " " + marks)
+            elif stem.isalpha():
+                value = self._piece(body if head else " " + body)
+            else:
+                value = array(self.code, self.t.encode(body if head else " " + body, add_special_tokens=False).ids).tobytes()
+        self[c] = value
+        return value
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct chunk encoded once while it stays in memory.
 
     Byte-level BPE splits a text into pieces before it merges, and a piece ends at a space or line end that stands alone
     between other characters; so such a text's ids are those of its chunks, each with the space before it, and of a line
-    end. A chunk of letters and marks is encoded as those two pieces. Texts with runs of white space, with the string
-    of a special token or with the sign that marks a chunk without a space before it are encoded whole. The ids are the
-    same either way; the memory is bounded.
+    end. A chunk of letters and marks is two pieces. Texts with runs of white space, with the string of a special token
+    or with the sign that marks a chunk without a space before it are encoded whole, as are all texts if the tokenizer
+    is of another kind. The ids are the same either way; the memory is bounded.
     """
 
-    #: Chunks in memory (about 200 bytes each), and texts that are encoded at once.
-    LIMIT, AT_ONCE = 2_000_000, 10_000
+    #: Chunks in memory: as many as a dict of 2 ** 21 places holds.
+    LIMIT = 1_390_000
 
     def __init__(self, path: str):
         import os
@@ -188,75 +228,26 @@ class Encoder:
         self.t = Tokenizer.from_file(path)
         specials = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        # What this class knows of pieces holds for byte-level pre-tokenizers; others get whole texts.
-        self.byte_level = type(self.t.pre_tokenizer).__name__ == "ByteLevel" and self.t.normalizer is None and self.t.post_processor is None
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.code = "H" if self.t.get_vocab_size() <= 1 << 16 else "I"
-        self.known: dict[str, bytes | None] = {}
-
-    def _packed(self, texts: list[str]) -> list[bytes]:
-        """Unsigned ids of two bytes if the vocabulary allows, else four."""
-        return [array(self.code, e.ids).tobytes() for i in range(0, len(texts), self.AT_ONCE) for e in self.t.encode_batch_fast(texts[i : i + self.AT_ONCE], add_special_tokens=False)]
-
-    def _parts(self, c: str):
-        """The two chunks whose ids are those of the chunk, or itself; None if it can't stand alone."""
-        if c == "\n":
-            return (_HEAD + c,)
-        body = c[1:] if c[:1] == _HEAD else c
-        if not body or body != body.strip():
-            return None
-        stem = body.rstrip(_MARKS)
-        if len(stem) < len(body) and stem.isalpha():
-            at = len(c) - len(body) + len(stem)
-            return c[:at], _HEAD + c[at:]
-        return (c,)
-
-    def _learn(self, chunks: list[str]) -> None:
-        known = self.known
-        wanted = {c for c in chunks if c.isalpha()}
-        parts = [(c, self._parts(c)) for c in chunks if not c.isalpha()]
-        wanted.update(x for _, p in parts if p for x in p if x not in known)
-        # Letters, or marks, are one piece: the model merges it, in the letters that stand for bytes.
-        tokenize, code, letters = self.t.model.tokenize, self.code, self.letters
-        several = []
-        for x in wanted:
-            s = x[1:] if x[0] == _HEAD else " " + x
-            if x.isalpha() or s.isalpha() or not s.strip(_MARKS):
-                known[x] = array(code, [k.id for k in tokenize(s.encode().decode("latin-1").translate(letters))]).tobytes()
-            else:
-                several.append((x, s))
-        known.update(zip([x for x, _ in several], self._packed([s for _, s in several]), strict=True))
-        for c, p in parts:
-            known[c] = None if p is None else known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]]
+        self.known = _Chunks(self.t)
+        self.code = self.known.code
 
     def _split(self, t: str) -> list[str] | None:
         if not t:
             return []
-        if not self.byte_level or _HEAD in t or (self.special and self.special.search(t)):
+        if not self.known.byte_level or _HEAD in t or (self.special and self.special.search(t)):
             return None
         if t[-1] == "\n":  # the last line's end: the chunk after it would be empty
             return [*(_HEAD + t[:-1].replace("\n", " \n " + _HEAD)).split(" "), "\n"]
         return (_HEAD + t.replace("\n", " \n " + _HEAD)).split(" ")
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = list(map(self._split, texts))
-        seen: set[str] = set()
-        for s in split:
-            seen.update(s or ())
+    def encode(self, text: str) -> bytes:
+        """Unsigned ids of two bytes if the vocabulary allows, else of four."""
         if len(self.known) > self.LIMIT:
-            self.known = {}
-        self._learn(list(seen.difference(self.known)))
-        get, out, whole = self.known.__getitem__, [], []
-        for i, s in enumerate(split):
-            try:
-                out.append(b"".join(map(get, s)))
-            except TypeError:  # no list of chunks, or a chunk that can't stand alone
-                whole.append(i)
-                out.append(b"")
-        for i, x in zip(whole, self._packed([texts[i] for i in whole]), strict=True):
-            out[i] = x
-        return out
+            self.known.clear()
+        try:
+            return b"".join(map(self.known.__getitem__, self._split(text)))
+        except TypeError:  # no list of chunks, or a chunk that can't stand alone
+            return array(self.code, self.t.encode(text, add_special_tokens=False).ids).tobytes()
 
 
 _encoders: dict[str, Encoder] = {}
@@ -305,20 +296,9 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
         enc = encoder(path)
         end = array(enc.code, [end_id]).tobytes()
         width = len(end)
-        held: list[tuple] = []
-
-        def flush():
-            for (doc_id, text), x in zip(held, enc.encode([t for _, t in held]), strict=True):
-                yield part_of(doc_id, text), (doc_id, len(x) // width + 1, x + end)
-
-        size = 0
-        for r in rows:
-            held.append((r[0], r[1]))
-            size += len(r[1])
-            if size >= 1 << 20:
-                yield from flush()
-                held, size = [], 0
-        yield from flush()
+        for doc_id, text in rows:
+            raw = enc.encode(text) + end
+            yield part_of(doc_id, text), (doc_id, len(raw) // width, raw)
 
     dealt = documents.rdd.mapPartitions(tokens).partitionBy(parts, lambda part: part)
 
