@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import ann, chat, lm, mixing, quality, tokenbin, urls, warc
+from tessella.llm import ann, chat, decontam, lm, mixing, quality, tokenbin, urls, warc
 
 
 def queries() -> dict:
@@ -14,9 +14,10 @@ def queries() -> dict:
         "op6_lm_score": lm.op6_lm_score,
         "op7_token_output": tokenbin.op7_token_output,
         "op8_quality": quality.op8_quality,
+        "op9_decontamination": decontam.op9_decontamination,
         "op10_url_filter": urls.op10_url_filter,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": chat.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_warc": warc.OP3_SQL}
+    return {"op1_chat_format": chat.OP1_SQL, "op2_mixing": mixing.OP2_SQL, "op3_warc": warc.OP3_SQL, "op9_decontamination": decontam.OP9_SQL}
