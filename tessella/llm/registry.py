@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.llm import ann, chat, decontam, lm, mixing, quality, tokenbin, urls, warc
+from tessella.llm import ann, chat, decontam, jaccard, lm, mixing, quality, tokenbin, urls, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_chat_format": chat.op1_chat_format,
         "op2_mixing": mixing.op2_mixing,
         "op3_warc": warc.op3_warc,
+        "op4_jaccard": jaccard.op4_jaccard,
         "op5_nearest": ann.op5_nearest,
         "op6_lm_score": lm.op6_lm_score,
         "op7_token_output": tokenbin.op7_token_output,
