@@ -21,7 +21,7 @@ from tessella.llm._common import dropped, saved
 SHINGLE, PERCENT = 5, 80
 #: Postings (16 bytes) that one task sorts, about, and bits of the bitmap that finds candidates' texts.
 BUCKET, BITMAP = 3_000_000, 1 << 24
-#: Ratio of a band's sizes; sets of under SMALL tokens have one-deletion neighbourhoods of all segments, others of every eighth.
+#: Ratio of a band's sizes; sets of under SMALL tokens have one-deletion neighbourhoods of all segments, others of every sixteenth.
 RATIO, SMALL = 1.5, 64
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -59,7 +59,7 @@ class Schemes:
         self.lo = lo
         self.h = [(100 - percent) * 2 * (hi - 1) // (100 + percent) for hi in lo[1:]]
         self.m = [h + 1 + max(1, h // 4) for h in self.h]
-        self.q = [m if hi <= SMALL else -(-m // 8) for m, hi in zip(self.m, lo[1:], strict=True)]
+        self.q = [m if hi <= SMALL else -(-m // 16) for m, hi in zip(self.m, lo[1:], strict=True)]
         self._lo = np.array(lo)
 
     def of(self, n: int) -> list[int]:
@@ -84,6 +84,11 @@ class Schemes:
         return sig, np.concatenate([own, np.repeat(own, size)[token]]).astype(np.uint32), np.r_[np.zeros(len(exact), np.uint8), np.ones(len(less), np.uint8)], m - len(own), int(able.sum())
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """256 parities: bit k is the parity of the tokens whose hash ends in k. Two sets' sketches differ in no more bits than the sets in tokens."""
+    return np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).tobytes()
+
+
 def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
     """The columns' rows of each bucket, as bytes."""
     order = np.argsort(bucket, kind="stable")
@@ -99,7 +104,7 @@ def _unpacked(table, kinds: dict[str, str]) -> dict[str, np.ndarray]:
 
 _HEAD = {"h_doc": "<i8", "h_fp": "<u8", "h_n": "<u4", "h_scheme": "u1", "h_empty": "<u4", "h_able": "<u4", "h_count": "<u4"}
 _POST = {"sig": "<u8", "seg": "<u4", "del_": "u1"}
-_DOC = {"d_doc": "<i8", "d_n": "<u4", "d_fp": "<u8", "d_fp2": "<u8"}
+_DOC = {"d_doc": "<i8", "d_n": "<u4", "d_fp": "<u8", "d_fp2": "<u8", "d_sketch": "V32"}
 _SHARED = {"doc": "<i8", "n": "<u4", "scheme": "u1", "empty": "<u4", "able": "<u4", "sig": "<u8", "seg": "<u4", "del_": "u1", "cx": "<u4", "cd": "<u4"}
 _PROBE = {"sig": "<u8", "doc": "<i8", "n": "<u4", "del_": "u1", "probe": "u1", "spare": "<u4"}
 
@@ -127,7 +132,7 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
             nonlocal heads, posts, docs, held
             out: list[dict] = []
             if docs:
-                d = {k: np.array(c, t) for (k, t), c in zip(_DOC.items(), zip(*docs, strict=True), strict=True)}
+                d = {k: np.frombuffer(b"".join(c), t) if t == "V32" else np.array(c, t) for (k, t), c in zip(_DOC.items(), zip(*docs, strict=True), strict=True)}
                 out += [{"bucket": b, **c} for b, c in _packed(d["d_fp"] % np.uint64(buckets), d)]
             if posts:
                 h = {k: np.array(c, t) for (k, t), c in zip(_HEAD.items(), zip(*heads, strict=True), strict=False)}
@@ -149,7 +154,7 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 x = shingle_set(text, size)
                 fp, fp2 = (int(np.add.reduce(_mix(x * _M))), int(np.bitwise_xor.reduce(_mix(x + _M)))) if len(x) else (doc % (1 << 64), 0)
-                docs.append((doc, len(x), fp, fp2))
+                docs.append((doc, len(x), fp, fp2, sketch(x)))
                 for s in schemes.of(len(x)) if len(x) else ():
                     sig, seg, dele, empty, able = schemes.signatures(x, s)
                     heads.append((doc, fp, len(x), s, empty, able))
@@ -179,7 +184,7 @@ def _share(parts: int):
 
         d = _unpacked(table, _DOC)
         order = np.lexsort((d["d_doc"], d["d_fp2"], d["d_fp"], d["d_n"]))
-        doc, n = d["d_doc"][order], d["d_n"][order]
+        doc, n, bits = d["d_doc"][order], d["d_n"][order], d["d_sketch"][order]
         at = _starts(n, d["d_fp"][order], d["d_fp2"][order]) if len(doc) else np.zeros(0, int)
         rep = np.repeat(doc[at], np.diff(np.r_[at, len(doc)])) if len(doc) else doc
         rep = np.where(n == 0, doc, rep)
@@ -203,10 +208,10 @@ def _share(parts: int):
         cols = {k: v[keep] for k, v in cols.items()}
         part = _mix(cols["doc"].astype(np.uint64)) % np.uint64(parts)
         packed = [{"part": b, **c} for b, c in _packed(part, cols)]
-        flat = pa.table({"kind": pa.array(np.zeros(len(doc), np.int64)), "doc_id": pa.array(doc), "n_shingles": pa.array(n.astype(np.int64)), "rep": pa.array(rep)})
+        flat = pa.table({"kind": pa.array(np.zeros(len(doc), np.int64)), "doc_id": pa.array(doc), "n_shingles": pa.array(n.astype(np.int64)), "rep": pa.array(rep), "sketch": pa.array(bits.tolist(), pa.binary())})
         rest = _batch(packed, ["part", *_SHARED], ["part"]).append_column("kind", pa.array([1] * len(packed), pa.int64()))
         both = pa.concat_tables([flat, rest], promote_options="default")
-        return both.select(["kind", "doc_id", "n_shingles", "rep", "part", *_SHARED])
+        return both.select(["kind", "doc_id", "n_shingles", "rep", "sketch", "part", *_SHARED])
 
     return run
 
@@ -259,45 +264,80 @@ def _allocate(schemes: Schemes, parts: int):
     return run
 
 
-def _pairs_of(first: bool, percent: int):
-    """Candidate pairs of a bucket of signatures. First each set meets the one of its signature that shares most of its segments; then
-    sets of different components (label) meet all others of the signature."""
+def _typical_pairs(percent: int):
+    """Candidate pairs (a, b) of a bucket: each set of a signature with the one that shares most of its own segments."""
 
     def run(key, table):
         import pyarrow as pa
 
-        kinds = dict(_PROBE) if first else _PROBE | {"label": "<i8"}
-        c = _unpacked(table, kinds)
+        c = _unpacked(table, _PROBE)
         order = np.lexsort((c["doc"], c["spare"], c["del_"], c["sig"]))
         c = {k: v[order] for k, v in c.items()}
-        n, doc, dele, probe = c["n"].astype(np.int64), c["doc"], c["del_"], c["probe"]
+        at = _starts(c["sig"]) if len(order) else np.zeros(0, int)
+        x, y = np.repeat(at, np.diff(np.r_[at, len(order)]).astype(int)), np.arange(len(order))
+        return pa.table(_as_pairs(*(v[_may_link(c, x, y, percent)] for v in (c["doc"][x], c["doc"][y]))))
+
+    return run
+
+
+def _may_link(c: dict, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
+    """Whether postings x and y are of different sets of near sizes, and one of them probes for the other: two exact ones, or an
+    exact one and a deletion, of which either allows its segment a difference."""
+    n, dele, probe = c["n"].astype(np.int64), c["del_"], c["probe"]
+    ok = (c["doc"][x] != c["doc"][y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+    near = np.where(dele == 1, probe == 1, probe == 2)
+    return ok & np.where((dele[x] == 0) & (dele[y] == 0), (probe[x] > 0) | (probe[y] > 0), (dele[x] != dele[y]) & (near[x] | near[y]))
+
+
+def _as_pairs(a: np.ndarray, b: np.ndarray) -> dict:
+    import pyarrow as pa
+
+    both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0) if len(a) else np.zeros((0, 2), np.int64)
+    return {"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())}
+
+
+def _other_pairs(percent: int):
+    """Candidate pairs of a bucket: sets of different components under a signature that one of them probes. Sketches that differ in
+    more bits than linked sets may in tokens leave a pair out; only what they can't tell apart is listed."""
+
+    def run(key, table):
+        import pyarrow as pa
+
+        rows = table.to_pylist()
+        c = {k: np.frombuffer(b"".join(r[k] for r in rows), t) for k, t in _PROBE.items()}
+        label = np.frombuffer(b"".join(r["label"] for r in rows), "<i8")
+        sketches, base, at_sketch = [], 0, []
+        for r in rows:
+            own = np.frombuffer(r["sketches"], "<u8").reshape(-1, 4)
+            at_sketch.append(np.frombuffer(r["sketch_of"], "<u4").astype(np.int64) + base)
+            sketches.append(own)
+            base += len(own)
+        bits, of = (np.concatenate(sketches), np.concatenate(at_sketch)) if rows else (np.zeros((0, 4), np.uint64), np.zeros(0, int))
+        order = np.lexsort((c["n"], c["sig"]))
+        c, label, of = {k: v[order] for k, v in c.items()}, label[order], of[order]
         at = _starts(c["sig"]) if len(order) else np.zeros(0, int)
         size = np.diff(np.r_[at, len(order)]).astype(int)
-        a, b = [], []
-
-        def add(x, y):
-            ok = (doc[x] != doc[y]) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            # Two exact postings, one of which probes; or a deletion and an exact one, either of which probes with one difference.
-            ok &= np.where((dele[x] == 0) & (dele[y] == 0), (probe[x] > 0) | (probe[y] > 0), (dele[x] != dele[y]) & (np.where(dele[x] == 1, probe[x] == 1, probe[x] == 2) | np.where(dele[y] == 1, probe[y] == 1, probe[y] == 2)))
-            a.append(np.minimum(doc[x], doc[y])[ok])
-            b.append(np.maximum(doc[x], doc[y])[ok])
-
-        if first and len(order):
-            add(np.repeat(at, size), np.arange(len(order)))
-        elif len(order):
-            label = c["label"]
-            low, high = np.minimum.reduceat(label, at), np.maximum.reduceat(label, at)
-            asks = np.maximum.reduceat(probe, at) > 0
-            for i in np.flatnonzero((low != high) & asks).tolist():
-                members = np.arange(at[i], at[i] + size[i])
-                for x in members[probe[members] > 0].tolist():
-                    y = members[label[members] != label[x]]
-                    add(np.full(len(y), x), y)
-                if sum(map(len, a)) > 2_000_000:
-                    both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
-                    a, b = [both[:, 0]], [both[:, 1]]
-        both = np.unique(np.stack([np.concatenate(a), np.concatenate(b)], axis=1), axis=0) if a else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(both[:, 0], pa.int64()), "b": pa.array(both[:, 1], pa.int64())})
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        n, doc = c["n"].astype(np.int64), c["doc"]
+        open_ = (np.minimum.reduceat(label, at) != np.maximum.reduceat(label, at)) & (np.maximum.reduceat(c["probe"], at) > 0) if len(at) else []
+        for g in np.flatnonzero(open_).tolist():
+            s, z = at[g], at[g] + size[g]
+            asks = s + np.flatnonzero(c["probe"][s:z])
+            step = max(1, 2_000_000 // size[g])
+            for i in range(0, len(asks), step):
+                x = asks[i : i + step]
+                # Members stand by size: only those near enough are looked at.
+                lo = s + np.searchsorted(n[s:z], -(-n[x[0]] * percent // 100), "left")
+                hi = s + np.searchsorted(n[s:z], n[x[-1]] * 100 // percent, "right")
+                i_, j_ = np.nonzero(label[x][:, None] != label[lo:hi][None, :])
+                p, q = x[i_], lo + j_
+                ok = _may_link(c, p, q, percent)
+                p, q = p[ok], q[ok]
+                differ = np.bitwise_count(bits[of[p]] ^ bits[of[q]]).sum(1, dtype=np.int64)
+                ok = differ * (100 + percent) <= (100 - percent) * (n[p] + n[q])
+                a.append(doc[p[ok]])
+                b.append(doc[q[ok]])
+        return pa.table(_as_pairs(np.concatenate(a), np.concatenate(b)))
 
     return run
 
@@ -421,14 +461,14 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
     total = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(1, int(total / 6 * 0.8) // BUCKET + 1)
     spread = _postings(named, schemes, size, buckets)
-    fields = "kind long, doc_id long, n_shingles long, rep long, part long, " + _fields(_SHARED)
+    fields = "kind long, doc_id long, n_shingles long, rep long, sketch binary, part long, " + _fields(_SHARED)
     shared = saved(spread.groupBy("bucket").applyInArrow(_share(buckets), fields), "jaccard-shared")
     docs = shared.where("kind = 0").select("doc_id", "n_shingles", "rep")
     asked = shared.where("kind = 1").select("part", *_SHARED).groupBy("part").applyInArrow(_allocate(schemes, buckets), "part long, bucket long, " + _fields(_PROBE))
     asked = saved(asked, "jaccard-asked")
     lacking = asked.where("bucket IS NULL").select(F.col("part").alias("doc_id"))
     asked_ = asked.where("bucket IS NOT NULL")
-    pairs = saved(asked_.select("bucket", *_PROBE).groupBy("bucket").applyInArrow(_pairs_of(True, percent), "a long, b long").distinct(), "jaccard-pairs")
+    pairs = saved(asked_.select("bucket", *_PROBE).groupBy("bucket").applyInArrow(_typical_pairs(percent), "a long, b long").distinct(), "jaccard-pairs")
     links = _verified(named, pairs, size, percent)
     if not lacking.isEmpty():
         links = links.union(_looked_up(named, lacking, size, percent))
@@ -437,26 +477,28 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
 
     def labelled(key, left, right):
         ids, label = right.column("id").to_numpy(), right.column("label").to_numpy()
-        order = np.argsort(ids)
+        order = np.argsort(ids, kind="stable")
         ids, label = ids[order], label[order]
+        bits = np.frombuffer(b"".join(right.column("sketch").to_pylist()), "V32")[order]
         rows = []
         for r in left.select(["bucket", *_PROBE]).to_pylist():
-            doc = np.frombuffer(r["doc"], "<i8")
-            at = np.minimum(np.searchsorted(ids, doc), max(0, len(ids) - 1))
-            own = np.where(ids[at] == doc, label[at], doc) if len(ids) else doc
-            rows.append(r | {"label": own.astype("<i8").tobytes()})
-        return _batch(rows, ["bucket", *_PROBE, "label"], ["bucket"])
+            doc, of = np.unique(np.frombuffer(r["doc"], "<i8"), return_inverse=True)
+            at = np.searchsorted(ids, doc)
+            rows.append(r | {"label": label[at][of].astype("<i8").tobytes(), "sketches": bits[at].tobytes(), "sketch_of": of.astype("<u4").tobytes()})
+        return _batch(rows, ["bucket", *_PROBE, "label", "sketches", "sketch_of"], ["bucket"])
 
     def parts_of(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
         for batch in batches:
             ids = batch.column("id")
-            yield pa.RecordBatch.from_arrays([ids, batch.column("label"), pa.array((_mix(ids.to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))], names=["id", "label", "part"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column("label"), batch.column("sketch"), pa.array((_mix(ids.to_numpy().astype(np.uint64)) % np.uint64(buckets)).astype(np.int64))], names=["id", "label", "sketch", "part"])
 
-    dealt = labels.mapInArrow(parts_of, "id long, label long, part long")
-    again = asked_.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(labelled, "bucket long, " + _fields(_PROBE) + ", label binary")
-    more = again.groupBy("bucket").applyInArrow(_pairs_of(False, percent), "a long, b long").distinct()
+    sets = shared.where("kind = 0 AND doc_id = rep AND n_shingles > 0").select(F.col("doc_id"), "sketch").dropDuplicates(["doc_id"])
+    dealt = sets.join(labels, F.col("doc_id") == F.col("id"), "left").select(F.col("doc_id").alias("id"), F.coalesce("label", "doc_id").alias("label"), "sketch")
+    dealt = dealt.mapInArrow(parts_of, "id long, label long, sketch binary, part long")
+    again = asked_.groupBy("part").cogroup(dealt.groupBy("part")).applyInArrow(labelled, "bucket long, " + _fields([*_PROBE, "label", "sketches", "sketch_of"]))
+    more = again.groupBy("bucket").applyInArrow(_other_pairs(percent), "a long, b long").distinct()
     more = saved(more.join(pairs, ["a", "b"], "left_anti"), "jaccard-more")
     if not more.isEmpty():
         found = _verified(named, more, size, percent)
