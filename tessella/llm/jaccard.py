@@ -85,8 +85,8 @@ class Schemes:
 
 
 def sketch(x: np.ndarray) -> bytes:
-    """256 parities: bit k is the parity of the tokens whose hash ends in k. Two sets' sketches differ in no more bits than the sets in tokens."""
-    return np.packbits(np.bincount((x & np.uint64(255)).astype(np.int64), minlength=256) & 1).tobytes()
+    """512 parities: bit k is the parity of the tokens whose hash ends in k. Two sets' sketches differ in no more bits than the sets in tokens."""
+    return np.packbits(np.bincount((x & np.uint64(511)).astype(np.int64), minlength=512) & 1).tobytes()
 
 
 def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
@@ -104,7 +104,7 @@ def _unpacked(table, kinds: dict[str, str]) -> dict[str, np.ndarray]:
 
 _HEAD = {"h_doc": "<i8", "h_fp": "<u8", "h_n": "<u4", "h_scheme": "u1", "h_empty": "<u4", "h_able": "<u4", "h_count": "<u4"}
 _POST = {"sig": "<u8", "seg": "<u4", "del_": "u1"}
-_DOC = {"d_doc": "<i8", "d_n": "<u4", "d_fp": "<u8", "d_fp2": "<u8", "d_sketch": "V32"}
+_DOC = {"d_doc": "<i8", "d_n": "<u4", "d_fp": "<u8", "d_fp2": "<u8", "d_sketch": "V64"}
 _SHARED = {"doc": "<i8", "n": "<u4", "scheme": "u1", "empty": "<u4", "able": "<u4", "sig": "<u8", "seg": "<u4", "del_": "u1", "cx": "<u4", "cd": "<u4"}
 _PROBE = {"sig": "<u8", "doc": "<i8", "n": "<u4", "del_": "u1", "probe": "u1", "spare": "<u4"}
 
@@ -132,7 +132,7 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
             nonlocal heads, posts, docs, held
             out: list[dict] = []
             if docs:
-                d = {k: np.frombuffer(b"".join(c), t) if t == "V32" else np.array(c, t) for (k, t), c in zip(_DOC.items(), zip(*docs, strict=True), strict=True)}
+                d = {k: np.frombuffer(b"".join(c), t) if t == "V64" else np.array(c, t) for (k, t), c in zip(_DOC.items(), zip(*docs, strict=True), strict=True)}
                 out += [{"bucket": b, **c} for b, c in _packed(d["d_fp"] % np.uint64(buckets), d)]
             if posts:
                 h = {k: np.array(c, t) for (k, t), c in zip(_HEAD.items(), zip(*heads, strict=True), strict=False)}
@@ -308,11 +308,11 @@ def _other_pairs(percent: int):
         label = np.frombuffer(b"".join(r["label"] for r in rows), "<i8")
         sketches, base, at_sketch = [], 0, []
         for r in rows:
-            own = np.frombuffer(r["sketches"], "<u8").reshape(-1, 4)
+            own = np.frombuffer(r["sketches"], "<u8").reshape(-1, 8)
             at_sketch.append(np.frombuffer(r["sketch_of"], "<u4").astype(np.int64) + base)
             sketches.append(own)
             base += len(own)
-        bits, of = (np.concatenate(sketches), np.concatenate(at_sketch)) if rows else (np.zeros((0, 4), np.uint64), np.zeros(0, int))
+        bits, of = (np.concatenate(sketches), np.concatenate(at_sketch)) if rows else (np.zeros((0, 8), np.uint64), np.zeros(0, int))
         order = np.lexsort((c["n"], c["sig"]))
         c, label, of = {k: v[order] for k, v in c.items()}, label[order], of[order]
         at = _starts(c["sig"]) if len(order) else np.zeros(0, int)
@@ -479,7 +479,7 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
         ids, label = right.column("id").to_numpy(), right.column("label").to_numpy()
         order = np.argsort(ids, kind="stable")
         ids, label = ids[order], label[order]
-        bits = np.frombuffer(b"".join(right.column("sketch").to_pylist()), "V32")[order]
+        bits = np.frombuffer(b"".join(right.column("sketch").to_pylist()), "V64")[order]
         rows = []
         for r in left.select(["bucket", *_PROBE]).to_pylist():
             doc, of = np.unique(np.frombuffer(r["doc"], "<i8"), return_inverse=True)
