@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import pkgutil
+import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -30,6 +31,13 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def dual(name: str, sql: str, spark_sql: str | None = None) -> None:
+    """Registers one statement for both engines (tables in braces), or two where their dialects differ. Catalyst plans it either way."""
+    used = sorted(set(re.findall(r"\{(\w+)\}", sql + (spark_sql or ""))))
+    run = lambda t: t.spark.sql(spark_sql or sql, **{x: getattr(t, x) for x in used})
+    query(name, re.sub(r"\{(\w+)\}", r"\1", sql))(run)
+
+
 def registered() -> dict[str, Query]:
     for m in pkgutil.iter_modules(__path__):
         importlib.import_module(f"{__name__}.{m.name}")
