@@ -20,7 +20,7 @@ from tessella.llm._common import dropped, saved
 
 SHINGLE, PERCENT = 5, 80
 #: Postings (16 bytes) that one task sorts, about, and bits of the bitmap that finds candidates' texts.
-BUCKET, BITMAP = 3_000_000, 1 << 24
+BUCKET, BITMAP = 2_000_000, 1 << 24
 #: Ratio of a band's sizes; sets of under SMALL tokens have one-deletion neighbourhoods of all segments, others of every sixteenth.
 RATIO, SMALL = 1.5, 64
 _M = np.uint64(0x9E3779B97F4A7C15)

@@ -341,6 +341,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     shared = spark.sparkContext.broadcast((code.ids, code.lengths, starts))
 
     def write(rows):
+        _encoders.clear()  # the workers go on to other work: the chunks in memory were for the texts
         ids, lengths, starts = shared.value
         mine: dict[int, list] = {}
         for part, row in rows:
