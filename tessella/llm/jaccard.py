@@ -16,11 +16,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm._common import dropped, saved
+from tessella.llm._common import dropped, release, saved
 
 SHINGLE, PERCENT = 5, 80
 #: Postings (16 bytes) that one task sorts, about, and bits of the bitmap that finds candidates' texts.
-BUCKET, BITMAP = 2_000_000, 1 << 24
+BUCKET, BITMAP = 1_000_000, 1 << 24
 #: Ratio of a band's sizes; sets of under SMALL tokens have one-deletion neighbourhoods of all segments, others of every sixteenth.
 RATIO, SMALL = 1.5, 64
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -160,9 +160,10 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
                     heads.append((doc, fp, len(x), s, empty, able))
                     posts.append((sig, seg, dele))
                     held += len(sig)
-                if held >= 1_000_000:
+                if held >= 500_000:
                     yield from flush()
         yield from flush()
+        release()
 
     return documents.mapInArrow(run, "bucket long, " + _fields(names[1:]))
 
@@ -182,6 +183,7 @@ def _share(parts: int):
     def run(key, table):
         import pyarrow as pa
 
+        release()
         d = _unpacked(table, _DOC)
         order = np.lexsort((d["d_doc"], d["d_fp2"], d["d_fp"], d["d_n"]))
         doc, n, bits = d["d_doc"][order], d["d_n"][order], d["d_sketch"][order]
@@ -367,6 +369,7 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
     def sets(batches: Iterable) -> Iterator:
         import pyarrow as pa
 
+        release()
         at = np.unpackbits(bits.value)
         for batch in batches:
             doc = batch.column("doc_id").to_numpy()

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import filesystem, saved, scratch, write_whole
+from tessella.llm._common import filesystem, release, saved, scratch, write_whole
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Bits of the longest code (the decoding table has 2 ** MAX_BITS entries), ids in a block, text bytes in a file.
@@ -353,6 +353,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
             uri = f"{folder}/part-{part:07d}.huf"
             write_whole(uri, pack_file(code, starts[part], [d for d, _, _ in docs], lengths_, np.concatenate([unpack(n, raw) for _, n, raw in docs])))
             yield (uri,)
+        release()
 
     files = spark.createDataFrame(dealt.mapPartitions(write), T.StructType([T.StructField("path", T.StringType())]))
     return saved(files, "token-files")
