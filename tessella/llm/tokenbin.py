@@ -216,8 +216,8 @@ class Encoder:
     is of another kind. The ids are the same either way; the memory is bounded.
     """
 
-    #: Chunks in memory: as many as a dict of 2 ** 21 places holds.
-    LIMIT = 1_390_000
+    #: Chunks in memory: as many as a dict of 2 ** 20 places holds.
+    LIMIT = 695_000
 
     def __init__(self, path: str):
         import os
