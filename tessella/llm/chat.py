@@ -17,8 +17,10 @@ def escaped(text: Column) -> Column:
 
 
 def escaped_role(role: Column) -> Column:
-    role = F.replace(role, F.lit("\\"), F.lit("\\\\"))
-    return F.replace(F.replace(F.replace(role, F.lit("#"), F.lit("\\#")), F.lit(":"), F.lit("\\:")), F.lit("<"), F.lit("\\<"))
+    """Neither HEAD nor AFTER_ROLE is left: a role may hold any text."""
+    for c in "\\#: <":
+        role = F.replace(role, F.lit(c), F.lit("\\" + c))
+    return role
 
 
 def unescaped(text: Column) -> Column:
@@ -90,7 +92,7 @@ WITH rows AS (
   UNION ALL SELECT -7, 0, 'user', '\\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\\### Assistant: </turn> ok'),
 placed AS (
   SELECT *, coalesce(lag(role) OVER w <> role, true) AS opens, {_ESCAPED.format("text")} AS kept,
-    replace(replace(replace(replace(role, '\\', '\\\\'), '#', '\\#'), ':', '\\:'), '<', '\\<') AS kept_role
+    replace(replace(replace(replace(replace(role, '\\', '\\\\'), '#', '\\#'), ':', '\\:'), ' ', '\\ '), '<', '\\<') AS kept_role
   FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text))
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
