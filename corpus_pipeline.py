@@ -34,8 +34,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Writes the mixture's ids as Huffman-coded files and reads them back; a document that the mix repeats has a row for each time."""
-    files = tokenbin.write_tokens(docs, scratch(spark, "pipeline-tokens"))
+    """The workers also hold what earlier stages left, so encoders get half the chunks. Writes the mixture's ids as Huffman-coded files and reads them back; a document that the mix repeats has a row for each time."""
+    files = tokenbin.write_tokens(docs, scratch(spark, "pipeline-tokens"), chunks=695_000)
     return tokenbin.read_tokens(files).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 

@@ -216,16 +216,16 @@ class Encoder:
     is of another kind. The ids are the same either way; the memory is bounded.
     """
 
-    #: Chunks in memory: as many as a dict of 2 ** 20 places holds.
-    LIMIT = 695_000
+    #: Chunks in memory: as many as a dict of 2 ** 21 places holds.
+    LIMIT = 1_390_000
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = LIMIT):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.t = Tokenizer.from_file(path)
+        self.t, self.limit = Tokenizer.from_file(path), limit
         specials = [x.content for x in self.t.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.known = _Chunks(self.t)
@@ -242,7 +242,7 @@ class Encoder:
 
     def encode(self, text: str) -> bytes:
         """Unsigned ids of two bytes if the vocabulary allows, else of four."""
-        if len(self.known) > self.LIMIT:
+        if len(self.known) > self.limit:
             self.known.clear()
         try:
             return b"".join(map(self.known.__getitem__, self._split(text)))
@@ -253,10 +253,11 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, limit: int) -> Encoder:
     """One per Python worker, kept from task to task."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
+    _encoders[path].limit = limit
     return _encoders[path]
 
 
@@ -271,11 +272,11 @@ def _bounds(documents: DataFrame, file_bytes: int) -> list[int]:
     return [int(x) for x in documents.where("doc_id IS NOT NULL").approxQuantile("doc_id", steps, 1 / (20 * parts))]
 
 
-def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, max_bits: int = MAX_BITS, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, max_bits: int = MAX_BITS, file_bytes: int = FILE_BYTES, chunks: int = Encoder.LIMIT) -> DataFrame:
     """Writes the ids of all texts, each with end_id after it, as folder/part-*.huf in ascending doc_id; returns the files' table (path).
 
     Null ids come first; rows of one id stand together, ordered by their ids' number and bytes. A null text is empty. An
-    empty table writes no file. The tokens cross one shuffle, whose files serve both passes over them: the counts by id,
+    empty table writes no file. `chunks` bounds the encoders' memory of encoded chunks; ids don't depend on it. The tokens cross one shuffle, whose files serve both passes over them: the counts by id,
     of which the code is made, and the writing. If executors are lost, Spark makes the lost part of them again.
     """
     import public_tokenizers
@@ -293,7 +294,7 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
         return lo if hi - lo < 2 else lo + zlib.crc32(text.encode("utf-8", "replace")) % (hi - lo)
 
     def tokens(rows: Iterable) -> Iterator:
-        enc = encoder(path)
+        enc = encoder(path, chunks)
         end = array(enc.code, [end_id]).tobytes()
         width = len(end)
         for doc_id, text in rows:
