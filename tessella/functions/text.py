@@ -40,10 +40,10 @@ def indel_ratio(a: str, b: str) -> float:
 
 
 def window_ratio(query: str, key: str) -> float:
-    """The best ratio of the query with the key or, for queries of two words and more, with its runs of about as many words."""
+    """The best ratio of the query with the key or, for queries of two words and more and longer keys, with its runs of about as many words."""
     words, n = key.split(), len(query.split())
     best = indel_ratio(query, key)
-    if n > 1:
+    if 1 < n < len(words):
         for k in range(max(1, n - 1), n + 2):
             for i in range(len(words) - k + 1):
                 best = max(best, indel_ratio(query, " ".join(words[i : i + k])))

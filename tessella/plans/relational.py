@@ -42,7 +42,8 @@ dual("match_or_all", "WITH m AS (SELECT p_partkey, p_size = 999 AS hit FROM {par
 dual("bridge_join", "SELECT o_orderkey, p_partkey, p_brand FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey WHERE o_totalprice > 250000")
 dual("expand_parent", "WITH m AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - n_nationkey % 5 END AS parent FROM {nation}) SELECT a.code AS asked, coalesce(b.code, a.code) AS code FROM m a LEFT JOIN m b ON b.parent = a.code")
 dual("rollup_parent", "WITH m AS (SELECT n_nationkey AS code, CASE WHEN n_nationkey % 5 = 0 THEN NULL ELSE n_nationkey - n_nationkey % 5 END AS parent FROM {nation}) SELECT coalesce(parent, code) AS root, count(*) AS n FROM {customer} JOIN m ON c_nationkey = code GROUP BY 1")
-dual("lookup_strict", "SELECT c.c_custkey, n.n_name FROM {customer} c LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey WHERE n.n_name IS NOT NULL OR 1 = 1")
+_STRICT = "SELECT c.c_custkey, coalesce(n.n_name, {0}) AS n_name FROM {customer} c LEFT JOIN {nation} n ON c.c_nationkey = n.n_nationkey"
+dual("lookup_strict", _STRICT.replace("{0}", "error('unknown nation')"), _STRICT.replace("{0}", "raise_error('unknown nation')"))
 dual("missing_matrix", """WITH asked AS (SELECT c, y, p FROM (VALUES (1), (2), (4), (7)) AS a(c) CROSS JOIN (VALUES (1995), (1996), (2030)) AS b(y) CROSS JOIN (VALUES ('1-URGENT'), ('5-LOW')) AS d(p)),
 found AS (SELECT DISTINCT o_custkey AS c, year(o_orderdate) AS y, o_orderpriority AS p FROM {orders}),
 years AS (SELECT DISTINCT y FROM found)
@@ -112,4 +113,4 @@ _GATE = "SELECT max(score) AS top, CASE WHEN max(score) < 0.4 THEN 'LOW_RETRIEVA
 dual("confidence_gate", _GATE.format(_S(_COS)), _GATE.format(_S(_COSS)))
 _CONF = "SELECT count(DISTINCT label) > 1 AS conflict FROM (SELECT label FROM {0} s ORDER BY score DESC, vec_id LIMIT 5) t"
 dual("conflict_flag", _CONF.format(_S(_COS)), _CONF.format(_S(_COSS)))
-dual("self_similarity", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) >= 0.98 AS ok FROM {embeddings} WHERE vec_id % 25 = 0", f"SELECT vec_id, {_COSS} >= 0.98 AS ok FROM (SELECT vec_id, embedding, embedding AS q FROM {{embeddings}} WHERE vec_id % 25 = 0) t")
+dual("self_similarity", "SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], embedding::DOUBLE[]), 6) >= 0.98 AS ok FROM {embeddings}", f"SELECT vec_id, {_COSS} >= 0.98 AS ok FROM (SELECT vec_id, embedding, embedding AS q FROM {{embeddings}}) t")

@@ -8,12 +8,12 @@ from tessella.functions import chunks, html
 from tessella.functions.text import fuzzy_score, norm_compact, norm_key
 from tessella.plans import dual, query
 
-_KEYS = "(SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(substr(text, 1, 200)), 'đ', 'd')), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents)"
-_head = lambda t: t.documents.select("doc_id", F.substring("text", 1, 200).alias("text"))
+_KEYS = "(SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(text), 'đ', 'd')), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents)"
+_head = lambda t: t.documents.select("doc_id", "text")
 query("norm_key", f"SELECT doc_id, key FROM {_KEYS}")(lambda t: _head(t).select("doc_id", norm_key(F.col("text")).alias("key")))
 query("norm_compact", f"SELECT doc_id, replace(key, ' ', '') AS key FROM {_KEYS}")(lambda t: _head(t).select("doc_id", norm_compact(F.col("text")).alias("key")))
 query("strip_lead", f"SELECT doc_id, regexp_replace(key, '^((the|of|and|to) )+', '') AS core FROM {_KEYS}")(lambda t: _head(t).select("doc_id", F.regexp_replace(norm_key(F.col("text")), "^((the|of|and|to) )+", "").alias("core")))
-query("slug", f"SELECT doc_id, replace(substr(key, 1, 40), ' ', '-') AS slug FROM {_KEYS}")(lambda t: _head(t).select("doc_id", F.replace(F.substring(norm_key(F.col("text")), 1, 40), F.lit(" "), F.lit("-")).alias("slug")))
+query("slug", f"SELECT doc_id, replace(key, ' ', '-') AS slug FROM {_KEYS}")(lambda t: _head(t).select("doc_id", F.replace(norm_key(F.col("text")), F.lit(" "), F.lit("-")).alias("slug")))
 dual("parse_range", "SELECT v, TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) AS lo, CASE WHEN regexp_matches(v, '^[≥>]') THEN NULL WHEN regexp_matches(v, '[0-9] *[-–÷] *[0-9]') THEN TRY_CAST(replace(regexp_extract(v, '[-–÷] *([0-9]+[.,]?[0-9]*)$', 1), ',', '.') AS DOUBLE) ELSE TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) END AS hi FROM (VALUES ('5.5÷6.5'), ('5,5 - 6,5'), ('6.5'), ('≥ 7.0'), ('>180'), ('Level 3')) AS t(v)",
      "SELECT v, TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) AS lo, CASE WHEN v RLIKE '^[≥>]' THEN NULL WHEN v RLIKE '[0-9] *[-–÷] *[0-9]' THEN TRY_CAST(replace(regexp_extract(v, '[-–÷] *([0-9]+[.,]?[0-9]*)$', 1), ',', '.') AS DOUBLE) ELSE TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) END AS hi FROM (VALUES ('5.5÷6.5'), ('5,5 - 6,5'), ('6.5'), ('≥ 7.0'), ('>180'), ('Level 3')) AS t(v)")
 dual("unit_scale", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size * 1000000 WHEN p_size % 3 = 1 THEN p_size * 1000 ELSE p_size END AS amount FROM {part}")
@@ -31,9 +31,9 @@ dual("looks_english", "SELECT doc_id, len(list_intersect(list_distinct(string_sp
 dual("injection_guard", "SELECT conv_id, turn, regexp_matches(lower(text), 'ignore (all|previous)|system prompt|you are now|reveal|jailbreak') AS flagged FROM {conversations}", "SELECT conv_id, turn, lower(text) RLIKE 'ignore (all|previous)|system prompt|you are now|reveal|jailbreak' AS flagged FROM {conversations}")
 dual("deictic", "SELECT conv_id, turn, lower(trim(text)) IN ('that', 'this', 'it', 'that one') AS deictic FROM {conversations}")
 dual("line_filters", "SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) t WHERE length(line) > 3 AND upper(line) <> line AND NOT contains(line, '%%%')", "SELECT doc_id, line FROM (SELECT doc_id, explode(split(text, '\\n')) AS line FROM {documents}) t WHERE length(line) > 3 AND upper(line) <> line AND NOT contains(line, '%%%')")
-dual("ligatures", "SELECT doc_id, replace(replace(substr(text, 1, 100), 'ﬁ', 'fi'), 'ﬂ', 'fl') AS text FROM {documents}")
+dual("ligatures", "SELECT doc_id, replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl') AS text FROM {documents}")
 dual("glued", "SELECT doc_id, len(regexp_extract_all(text, '[a-z][A-Z]')) >= 2 AS glued FROM {documents}", "SELECT doc_id, regexp_count(text, '[a-z][A-Z]') >= 2 AS glued FROM {documents}")
-dual("ngrams", "WITH w AS (SELECT doc_id, string_split(substr(text, 1, 300), ' ') AS w FROM {documents}) SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM w", "WITH w AS (SELECT doc_id, split(substr(text, 1, 300), ' ') AS w FROM {documents}) SELECT doc_id, transform(filter(sequence(0, size(w)), i -> i < size(w) - 1), i -> w[i] || ' ' || w[i + 1]) AS grams FROM w")
+dual("ngrams", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM {documents}) SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM w", "WITH w AS (SELECT doc_id, split(text, ' ') AS w FROM {documents}) SELECT doc_id, transform(filter(sequence(0, size(w)), i -> i < size(w) - 1), i -> w[i] || ' ' || w[i + 1]) AS grams FROM w")
 dual("short_desc", "SELECT doc_id, substr(array_to_string(string_split(text, '. ')[1:2], '. '), 1, 600) AS summary FROM {documents}", "SELECT doc_id, substr(array_join(slice(split(text, '[.] '), 1, 2), '. '), 1, 600) AS summary FROM {documents}")
 dual("dedupe_adjacent_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line",
      "WITH l AS (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents}) SELECT doc_id, pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line")
@@ -52,9 +52,10 @@ dual("merge_continued", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn)
 dual("chunk_ids", "SELECT doc_id, source || '::' || lang || '-' || CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS VARCHAR) AS chunk_id FROM {documents}", "SELECT doc_id, source || '::' || lang || '-' || row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS chunk_id FROM {documents}")
 _ATTR = "WITH l AS {0}, u AS (SELECT line, min(doc_id) AS page FROM l WHERE length(line) > 20 GROUP BY line HAVING count(*) = 1) SELECT page AS doc_id, count(*) AS unique_lines FROM u GROUP BY 1"
 dual("attribute_page", _ATTR.replace("{0}", _L), _ATTR.replace("{0}", _LS))
-_COV = "WITH l AS {0} SELECT l.doc_id, count(*) AS missing FROM l JOIN {documents} d ON l.doc_id = d.doc_id WHERE NOT contains(substr(d.text, 1, 1000), l.line) GROUP BY 1"
-dual("text_coverage", _COV.replace("{0}", _L), _COV.replace("{0}", _LS))
-dual("embed_string", "SELECT doc_id, source || CASE WHEN contains(source, '1') THEN '' ELSE ' 2026' END || ' | ' || lang || chr(10) || substr(text, 1, 50) AS s FROM {documents}")
+# Lines that are lost when short ones are left out (unless a longer line holds them).
+_COV = "WITH l AS {0}, p AS (SELECT doc_id, {1} AS kept FROM {documents}) SELECT l.doc_id, count(*) AS missing FROM l JOIN p ON l.doc_id = p.doc_id WHERE NOT contains(p.kept, l.line) GROUP BY 1"
+dual("text_coverage", _COV.replace("{0}", _L).replace("{1}", "array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40), chr(10))"), _COV.replace("{0}", _LS).replace("{1}", "array_join(filter(split(text, '\\n'), x -> length(x) >= 40), chr(10))"))
+dual("embed_string", "SELECT doc_id, source || CASE WHEN contains(source, '1') THEN '' ELSE ' 2026' END || ' | ' || lang || chr(10) || text AS s FROM {documents}")
 dual("fill_defaults", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END, ''), 'unknown') AS source, coalesce(lang, 'und') AS lang FROM {documents}")
 dual("dangling_refs", "WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM {pages}) SELECT page_id, href FROM r WHERE href NOT IN (SELECT url FROM {pages} WHERE url IS NOT NULL)", "WITH r AS (SELECT DISTINCT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM {pages}) SELECT page_id, href FROM r LEFT ANTI JOIN {pages} p ON r.href = p.url")
 dual("regex_lines", f"SELECT doc_id, count(DISTINCT lower(line)) AS n FROM {_L} l WHERE regexp_matches(line, '^[A-Z][a-z]+ ') GROUP BY 1", f"SELECT doc_id, count(DISTINCT lower(line)) AS n FROM {_LS} l WHERE line RLIKE '^[A-Z][a-z]+ ' GROUP BY 1")
