@@ -525,8 +525,8 @@ def jaccard_components(documents: DataFrame, size: int = SHINGLE, percent: int =
 
 
 def deduplicate(documents: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents, in their own columns, of which one of each component stays: that with the smallest doc_id, in one row.
-    Rows with a null id stay, as do texts without words."""
+    """The documents, in their own columns, of which one of each component stays: that with the smallest doc_id.
+    Rows of one doc_id stay or go together; rows with a null id stay, as do texts without words."""
     found = jaccard_components(documents.select("doc_id", "text"), size, percent)
     out = saved(found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
     columns = documents.columns

@@ -77,12 +77,13 @@ def mixture(sizes: DataFrame, seed: str = SEED, partial: bool = True, **how) ->
 
 
 def with_taken(docs: DataFrame, plan: DataFrame, seed: str = SEED, size: str = "size") -> DataFrame:
-    """`docs` (doc_id, source, size and more) with the plan's columns and taken, the words that the mix takes of each."""
+    """`docs` (doc_id, source, size and more) with the plan's columns and taken, the words that the mix takes of each. Columns of these names are replaced."""
     place = _order(F.col("d.doc_id"), seed)
     # The plan is a small written table: Spark broadcasts it if its files are under the threshold, else it joins by shuffle.
     both = docs.alias("d").join(plan.alias("m"), F.col("d.source").eqNullSafe(F.col("m.source")))
-    extra = F.when(place < F.col("cut"), F.col(f"d.{size}")).when(place == F.col("cut"), F.floor(F.col(f"d.{size}") * F.col("rest") / F.col("tied"))).otherwise(0)
-    return both.select("d.*", "source_size", "target", "whole", extra.cast("long").alias("extra")).withColumn("taken", F.col("whole") * F.col(size) + F.col("extra"))
+    extra = F.when(place < F.col("m.cut"), F.col(f"d.{size}")).when(place == F.col("m.cut"), F.floor(F.col(f"d.{size}") * F.col("m.rest") / F.col("m.tied"))).otherwise(0).cast("long")
+    own = [F.col(f"d.`{c}`") for c in docs.columns if c not in ("source_size", "target", "whole", "extra", "taken")]
+    return both.select(*own, "m.source_size", "m.target", "m.whole", extra.alias("extra"), (F.col("m.whole") * F.col(f"d.{size}") + extra).alias("taken"))
 
 
 def sizes_of(documents: DataFrame) -> DataFrame:
@@ -97,11 +98,10 @@ def mix(documents: DataFrame, **how) -> DataFrame:
     """
     sizes = sizes_of(documents)
     plan = mixture(sizes, partial=False, **how)
-    columns = documents.columns
-    rows = documents.withColumn("_words", word_count(F.col("text"))).withColumn("source", F.col("source").cast("string"))
-    rows = with_taken(rows, plan, size="_words")
-    rows = rows.withColumn("_copies", (F.col("whole") + (F.col("extra") > 0).cast("long")).cast("int")).where("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*columns)
+    rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
+    rows = with_taken(rows, plan)
+    rows = rows.withColumn("copies", (F.col("whole") + (F.col("extra") > 0).cast("long")).cast("int")).where("copies > 0")
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:
