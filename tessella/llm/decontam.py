@@ -1,5 +1,5 @@
-"""Benchmark decontamination by templates: numbers, names and units become placeholders, equal template windows are joined by
-their hash, and what stands in the slots must correspond. Spark expressions only."""
+"""Benchmark decontamination by templates: numbers, names and units become placeholders, windows of equal templates, or of equal
+words whatever their letter case, are joined by their hash, and what stands in the slots must correspond. Spark expressions only."""
 
 from __future__ import annotations
 
@@ -32,6 +32,20 @@ def templated(line: Column) -> Column:
     """tokens() with placeholders, token for token: #, @ (a capital and small letters after it), % after #; the rest in lower case."""
     t = F.regexp_replace(line, r"\p{Nd}+(_\p{Nd}+)*", NUMBER)
     t = F.lower(F.regexp_replace(t, r"\p{Lu}\p{Ll}+", NAME))
+    return _with_units(t)
+
+
+def caseless(line: Column) -> Column:
+    """The line in lower case, ß as ss: its upper case has no other way back."""
+    return F.regexp_replace(F.lower(line), "ß", "ss")
+
+
+def folded(line: Column) -> Column:
+    """templated() without the names, which letter case alone tells: # and %, the rest caseless. What is copied in another case is equal here."""
+    return _with_units(caseless(F.regexp_replace(line, r"\p{Nd}+(_\p{Nd}+)*", NUMBER)))
+
+
+def _with_units(t: Column) -> Column:
     return F.regexp_replace(t, rf"{NUMBER} ({'|'.join(UNITS)})( |$)", f"{NUMBER} {UNIT}$2")
 
 
@@ -40,12 +54,12 @@ def _is_slot(t: Column) -> Column:
 
 
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, at, hash, window, slots, item_windows: the windows of each item that hold LITERALS literal tokens."""
+    """item_id, size, at, window, folded, slots, item_windows: the windows of each item that hold LITERALS literal tokens; slots are caseless."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("line")).dropDuplicates()
-    items = items.select("item_id", F.split("line", " ").alias("raw"), F.split(templated(F.col("line")), " ").alias("words")).where(F.size("words") >= LEAST)
+    items = items.select("item_id", F.split(caseless(F.col("line")), " ").alias("raw"), F.split(templated(F.col("line")), " ").alias("words"), F.split(folded(F.col("line")), " ").alias("folded")).where(F.size("words") >= LEAST)
     items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
     rows = items.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
-    rows = rows.select("item_id", "size", "at", F.slice("words", F.col("at") + 1, F.col("size")).alias("window"), F.slice("raw", F.col("at") + 1, F.col("size")).alias("slots"))
+    rows = rows.select("item_id", "size", "at", *(F.slice(c, F.col("at") + 1, F.col("size")).alias(n) for c, n in (("words", "window"), ("folded", "folded"), ("raw", "slots"))))
     rows = rows.where(F.size(F.filter("window", lambda t: ~_is_slot(t))) >= F.least(F.lit(LITERALS), F.col("size") - 1))
     counts = rows.groupBy("item_id").agg(F.countDistinct("size", "at").alias("item_windows"))
     return rows.join(counts, "item_id")
@@ -55,33 +69,33 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
     """doc_id, item_id, n_windows, item_windows, n_slots, kind: documents that hold an item, word for word or re-parameterised.
 
     A document holds an item if on one diagonal (places in the document less places in the item) at least `coverage` of
-    the item's windows match, and what stands in their slots corresponds one to one: an item's value has one
-    counterpart in the document and no two values share one. kind is exact where all values are equal, else
+    the item's windows match, by their templates or by their folded words, and what stands in their slots corresponds
+    one to one whatever its letter case: an item's value has one counterpart in the document and no two values share one. kind is exact where all values are equal, else
     reparameterised; of several diagonals that with the most windows counts, exact before others, then the first.
     All windows of all whole texts are looked at. Only places whose first three tokens start some window of the
-    benchmark get a window hash and a row, if the benchmark is small enough for a literal set; otherwise all places do.
+    benchmark, as a template or folded, get a window hash and a row, if the benchmark is small enough for a literal set; otherwise all places do.
     Null ids take no part, null and empty texts hold nothing; rows of one doc_id are told apart by their text.
     """
     wanted = saved(_item_windows(benchmark), "leak-windows")
     sizes = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}  # WINDOW - LEAST + 1 rows at most
     docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("version"), tokens(F.col("text")).alias("line"))
     # Exploding one struct keeps the optimizer from copying the template's expressions to each place that reads its words.
-    docs = docs.select("doc_id", "version", F.explode(F.array(F.struct("line", F.split(templated(F.col("line")), " ").alias("words")))).alias("t")).select("doc_id", "version", "t.line", "t.words")
+    docs = docs.select("doc_id", "version", F.explode(F.array(F.struct(F.split(templated(F.col("line")), " ").alias("words"), F.split(folded(F.col("line")), " ").alias("folded"), F.split(caseless(F.col("line")), " ").alias("values")))).alias("t")).select("doc_id", "version", "t.*")
     hits = None
     for size, n in sorted(sizes.items()):
         places = F.sequence(F.lit(0), F.size("words") - size)
         if n <= INLINE:
-            starts = [r[0] for r in wanted.where(F.col("size") == size).select(F.xxhash64(*(F.get("window", F.lit(k)) for k in range(3)))).distinct().collect()]
+            starts = [r[0] for r in _keyed(wanted.where(F.col("size") == size), "window").select(F.xxhash64(*(F.get("key", F.lit(k)) for k in range(3)))).distinct().collect()]
             places = F.filter(places, _starts_in(starts))
-        rows = docs.where(F.size("words") >= size).withColumn("place", F.explode(places))
-        cut = lambda words: F.slice(words, F.col("place") + 1, F.lit(size))  # noqa: B023, E731
-        rows = rows.select("doc_id", "version", F.lit(size).alias("size"), "place", cut(F.col("words")).alias("words"), cut(F.split("line", " ")).alias("values"))
-        rows = rows.withColumn("hash", F.xxhash64("words"))
+        cut = lambda i: F.struct(i.alias("place"), *(F.slice(c, i + 1, F.lit(size)).alias(c) for c in ("words", "folded", "values")))  # noqa: B023, E731
+        # Windows are cut before they are exploded, so that no row carries its whole text.
+        rows = docs.where(F.size("words") >= size).select("doc_id", "version", F.lit(size).alias("size"), F.explode(F.transform(places, cut)).alias("w")).select("doc_id", "version", "size", "w.*")
+        rows = _keyed(rows, "words").select("doc_id", "version", "size", "place", "key", "values", F.xxhash64("key").alias("hash"))
         hits = rows if hits is None else hits.unionByName(rows)
     if hits is None:
-        hits = docs.select("doc_id", "version", F.lit(0).alias("size"), F.lit(0).alias("place"), "words", F.col("words").alias("values"), F.lit(0).cast("long").alias("hash")).where("false")
-    keys = wanted.select("item_id", "size", "at", "item_windows", "window", "slots", F.xxhash64("window").alias("hash"))
-    both = hits.alias("d").join(keys.alias("b"), (F.col("d.hash") == F.col("b.hash")) & (F.col("d.size") == F.col("b.size")) & (F.col("d.words") == F.col("b.window")))
+        hits = docs.select("doc_id", "version", F.lit(0).alias("size"), F.lit(0).alias("place"), F.col("words").alias("key"), F.col("words").alias("values"), F.lit(0).cast("long").alias("hash")).where("false")
+    keys = _keyed(wanted, "window").select("item_id", "size", "at", "item_windows", "window", "slots", "key", F.xxhash64("key").alias("hash"))
+    both = hits.alias("d").join(keys.alias("b"), (F.col("d.hash") == F.col("b.hash")) & (F.col("d.size") == F.col("b.size")) & (F.col("d.key") == F.col("b.key")))
     both = both.select("doc_id", "version", "item_id", "item_windows", (F.col("place") - F.col("at")).alias("diagonal"), "at",
         F.transform(F.arrays_zip("window", F.col("slots").alias("i"), F.col("values").alias("v")), lambda z: F.when(_is_slot(z["window"]), F.struct(z["i"].alias("i"), z["v"].alias("v")))).alias("pairs"))
     key = ["doc_id", "version", "item_id", "diagonal"]
@@ -93,8 +107,14 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
     return best.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.item_windows").alias("item_windows"), F.col("best.n_slots").alias("n_slots"), F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"))
 
 
+def _keyed(rows: DataFrame, template: str) -> DataFrame:
+    """A row, with `key`, for the template and one for the folded words where they differ. Equal keys of two kinds hold no name, so they're equal in both."""
+    return rows.select("*", F.explode(F.array_distinct(F.array(template, "folded"))).alias("key"))
+
+
 def _starts_in(starts: list[int]):
-    return lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)).isin(starts)
+    start = lambda words, i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).isin(starts)
+    return lambda i: start("words", i) | start("folded", i)
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:

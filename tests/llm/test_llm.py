@@ -110,6 +110,14 @@ def test_leaks(spark):
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found.collect()} == {(0, 1, "exact"), (1, 1, "reparameterised")}
 
 
+def test_leaks_in_another_letter_case(spark):
+    item = "On Monday Maria sold 12 KG of apples in the Große Straße. Then Peter and Anna bought 30 pears of Maria on the old market"
+    texts = [item.upper(), f"So: {item.lower()}", item.title(), item.replace("12", "15").upper(), item.lower().replace("maria", "peter").replace("12", "30"), item]
+    found = decontam.find_leaks(docs(spark, texts), spark.createDataFrame([(1, item), (2, item.upper()), (3, item.lower())], "item_id long, text string"))
+    want = {(d, i, "reparameterised" if d == 3 else "exact") for d in (0, 1, 2, 3, 5) for i in (1, 2, 3)}
+    assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found.collect() if r["doc_id"] != 4} == want
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.net/en/1?q"), (4, "http://x.net/a#f"), (5, "https://h.example.com/de/2"), (6, "http://net"), (7, "http://o.org/fr/x")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
