@@ -3,7 +3,7 @@ words whatever their letter case, are joined by their hash, and what stands in t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm._common import saved
@@ -12,6 +12,8 @@ from tessella.llm._common import saved
 WINDOW, LEAST, LITERALS = 8, 5, 4
 #: Share of an item's windows that must match for the document to be contaminated by it.
 COVERAGE = 0.5
+#: Altered copies: tokens that diagonals may be apart, tokens of the shortest run that counts, and of a run that is enough by itself.
+SHIFT, RUN, LONG = 4, 4, 13
 #: Benchmark windows up to which their hashes prefilter documents as one literal set; beyond it every window is joined.
 INLINE = 50_000
 #: Units, a fixed list: they are placeholders after a number.
@@ -53,11 +55,15 @@ def _is_slot(t: Column) -> Column:
     return t.contains(NUMBER) | t.contains(NAME) | (t == UNIT)
 
 
-def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, size, at, window, folded, slots, item_windows: the windows of each item that hold LITERALS literal tokens; slots are caseless."""
+def _items(benchmark: DataFrame) -> DataFrame:
+    """item_id, raw, words, folded, size: the items' tokens, caseless, as templates and folded."""
     items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("line")).dropDuplicates()
     items = items.select("item_id", F.split(caseless(F.col("line")), " ").alias("raw"), F.split(templated(F.col("line")), " ").alias("words"), F.split(folded(F.col("line")), " ").alias("folded")).where(F.size("words") >= LEAST)
-    items = items.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
+    return items.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
+
+
+def _item_windows(items: DataFrame) -> DataFrame:
+    """item_id, size, at, window, folded, slots, item_windows: the windows of each item that hold LITERALS literal tokens; slots are caseless."""
     rows = items.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
     rows = rows.select("item_id", "size", "at", *(F.slice(c, F.col("at") + 1, F.col("size")).alias(n) for c, n in (("words", "window"), ("folded", "folded"), ("raw", "slots"))))
     rows = rows.where(F.size(F.filter("window", lambda t: ~_is_slot(t))) >= F.least(F.lit(LITERALS), F.col("size") - 1))
@@ -72,15 +78,19 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
     the item's windows match, by their templates or by their folded words, and what stands in their slots corresponds
     one to one whatever its letter case: an item's value has one counterpart in the document and no two values share one. kind is exact where all values are equal, else
     reparameterised; of several diagonals that with the most windows counts, exact before others, then the first.
+    Where no diagonal has enough, the document also holds the item if on diagonals at most SHIFT from one with a window
+    as many of the item's tokens match, in runs of RUN at least, as an unbroken copy of that share would have, or LONG
+    in one run; the kind is altered then, n_windows counts those diagonals' windows, and slots at a run's edge aren't
+    compared, as they may stand for more tokens than one.
     All windows of all whole texts are looked at. Only places whose first three tokens start some window of the
     benchmark, as a template or folded, get a window hash and a row, if the benchmark is small enough for a literal set; otherwise all places do.
     Null ids take no part, null and empty texts hold nothing; rows of one doc_id are told apart by their text.
     """
-    wanted = saved(_item_windows(benchmark), "leak-windows")
+    items = _items(benchmark)
+    wanted = saved(_item_windows(items), "leak-windows")
     sizes = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}  # WINDOW - LEAST + 1 rows at most
-    docs = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("version"), tokens(F.col("text")).alias("line"))
-    # Exploding one struct keeps the optimizer from copying the template's expressions to each place that reads its words.
-    docs = docs.select("doc_id", "version", F.explode(F.array(F.struct(F.split(templated(F.col("line")), " ").alias("words"), F.split(folded(F.col("line")), " ").alias("folded"), F.split(caseless(F.col("line")), " ").alias("values")))).alias("t")).select("doc_id", "version", "t.*")
+    texts = documents.where(F.col("doc_id").isNotNull()).select("doc_id", F.xxhash64("text").alias("version"), "text")
+    docs = _tokenized(texts, "doc_id", "version")
     hits = None
     for size, n in sorted(sizes.items()):
         places = F.sequence(F.lit(0), F.size("words") - size)
@@ -99,12 +109,48 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
     both = both.select("doc_id", "version", "item_id", "item_windows", (F.col("place") - F.col("at")).alias("diagonal"), "at",
         F.transform(F.arrays_zip("window", F.col("slots").alias("i"), F.col("values").alias("v")), lambda z: F.when(_is_slot(z["window"]), F.struct(z["i"].alias("i"), z["v"].alias("v")))).alias("pairs"))
     key = ["doc_id", "version", "item_id", "diagonal"]
-    found = both.groupBy(*key).agg(F.first("item_windows").alias("item_windows"), F.countDistinct("at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set(F.array_compact("pairs")))).alias("pairs"))
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["v"]))) == F.size("pairs"))
-    found = found.where(one_to_one & (F.col("n_windows") >= coverage * F.col("item_windows")))
+    groups = both.groupBy(*key).agg(F.first("item_windows").alias("item_windows"), F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(F.array_compact("pairs")))).alias("pairs"))
+    groups = saved(groups.withColumn("n_windows", F.size("ats").cast("long")), "leak-diagonals")
+    found = groups.where(_one_to_one("pairs") & (F.col("n_windows") >= coverage * F.col("item_windows")))
     exact = F.forall("pairs", lambda p: p["i"] == p["v"])
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", exact.alias("exact"), (-F.col("diagonal")).alias("first"), F.size("pairs").cast("long").alias("n_slots"), "item_windows")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.item_windows").alias("item_windows"), F.col("best.n_slots").alias("n_slots"), F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"))
+    best = best.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.item_windows").alias("item_windows"), F.col("best.n_slots").alias("n_slots"), F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"))
+    return best.unionByName(_altered(texts, items, groups, found, coverage))
+
+
+def _tokenized(texts: DataFrame, *kept: str) -> DataFrame:
+    """The kept columns with words, folded and values. Exploding one struct keeps the optimizer from copying the expressions to each place that reads them."""
+    lines = texts.select(*kept, tokens(F.col("text")).alias("line"))
+    arrays = F.struct(F.split(templated(F.col("line")), " ").alias("words"), F.split(folded(F.col("line")), " ").alias("folded"), F.split(caseless(F.col("line")), " ").alias("values"))
+    return lines.select(*kept, F.explode(F.array(arrays)).alias("t")).select(*kept, "t.*")
+
+
+def _one_to_one(pairs: str) -> Column:
+    return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["i"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["v"]))) == F.size(pairs))
+
+
+def _altered(texts: DataFrame, items: DataFrame, groups: DataFrame, found: DataFrame, coverage: float) -> DataFrame:
+    """The rows of find_leaks of kind altered. Only texts with a matching window are read again."""
+    near = Window.partitionBy("doc_id", "version", "item_id").orderBy("diagonal").rangeBetween(-SHIFT, SHIFT)
+    tried = groups.withColumn("n_windows", F.size(F.array_distinct(F.flatten(F.collect_list("ats").over(near)))).cast("long")).join(found.select("doc_id", "item_id").distinct(), ["doc_id", "item_id"], "left_anti")
+    tried = tried.groupBy("doc_id", "version").agg(F.collect_list(F.struct("item_id", "diagonal", "n_windows", "item_windows")).alias("tried"))
+    rows = _tokenized(texts.join(tried, ["doc_id", "version"]), "doc_id", "tried").select("*", F.explode("tried").alias("c")).drop("tried")
+    # The document's tokens from SHIFT before the diagonal's start on, so that token j of the item is at j + SHIFT + shift.
+    n, at = F.size("i_words"), F.col("c.diagonal") - SHIFT
+    part = lambda c: F.transform(F.sequence(F.lit(0), n + (2 * SHIFT - 1)), lambda k: F.get(c, at + k)).alias(c)
+    own = items.select("item_id", F.col("words").alias("i_words"), F.col("folded").alias("i_folded"), F.col("raw").alias("i_values"), "size")
+    rows = rows.join(own, F.col("c.item_id") == F.col("item_id")).select("doc_id", "c.*", "i_words", "i_folded", "i_values", "size", *(part(c) for c in ("words", "folded", "values")))
+    places, shifts = F.sequence(F.lit(0), n - 1), F.sequence(F.lit(0), F.lit(2 * SHIFT))
+    same = lambda e, j: (F.get("i_words", j) == F.get("words", j + e)) | (F.get("i_folded", j) == F.get("folded", j + e))
+    rows = rows.withColumn("marks", F.transform(shifts, lambda e: F.array_join(F.transform(places, lambda j: F.when(same(e, j), "1").otherwise("0")), "")))
+    in_run = lambda m, j: F.exists(F.sequence(F.lit(0), F.lit(RUN - 1)), lambda k: (j >= k) & (m.substr(j - k + 1, F.lit(RUN)) == "1" * RUN))
+    rows = rows.withColumn("covered", F.size(F.filter(places, lambda j: F.exists("marks", lambda m: in_run(m, j)))))
+    rows = rows.where((F.col("covered") >= F.col("size") - 1 + coverage * (n - F.col("size") + 1)) | F.exists("marks", lambda m: m.contains("1" * LONG)))
+    inner = lambda m, j: _is_slot(F.get("i_words", j)) & in_run(m, j) & (F.concat(F.lit("1"), m, F.lit("1")).substr(j + 1, F.lit(3)) == "111")
+    pairs = F.transform(shifts, lambda e: F.transform(F.filter(places, lambda j: inner(F.get("marks", e), j)), lambda j: F.struct(F.get("i_values", j).alias("i"), F.get("values", j + e).alias("v"))))
+    rows = rows.withColumn("pairs", F.array_distinct(F.flatten(pairs))).where(_one_to_one("pairs"))
+    best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("covered", "n_windows", (-F.col("diagonal")).alias("first"), F.size("pairs").cast("long").alias("n_slots"), "item_windows")).alias("best"))
+    return best.select("doc_id", "item_id", *(F.col(f"best.{c}").alias(c) for c in ("n_windows", "item_windows", "n_slots")), F.lit("altered").alias("kind"))
 
 
 def _keyed(rows: DataFrame, template: str) -> DataFrame:

@@ -118,6 +118,16 @@ def test_leaks_in_another_letter_case(spark):
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found.collect() if r["doc_id"] != 4} == want
 
 
+def test_leaks_that_are_altered(spark):
+    item = "one day the clever farmer sold nine large baskets of apples that Maria had picked early in the cold morning"
+    short = "seven old ships left the quiet harbour before any of us woke up that morning"
+    w, v = item.split(), short.split()
+    texts = [" ".join(w[:10] + ["really"] + w[10:]), " ".join(w[:9] + ["pears"] + w[10:]), "He said: " + item.replace("Maria", "Mary Ann"), " ".join(w[:13]) + " and no more", " ".join(v[:7] + ["and"] + v[7:]),
+             " ".join(w[:9]) + " and then something else came up", " ".join(w[:5] + ["x"] + w[5:9] + ["y"] + w[12:14])]
+    found = decontam.find_leaks(docs(spark, texts), spark.createDataFrame([(1, item), (2, short)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.net/en/1?q"), (4, "http://x.net/a#f"), (5, "https://h.example.com/de/2"), (6, "http://net"), (7, "http://o.org/fr/x")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
