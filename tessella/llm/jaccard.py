@@ -20,7 +20,7 @@ from tessella.llm._common import dropped, release, saved
 
 SHINGLE, PERCENT = 5, 80
 #: Postings that one task sorts, about, members of a hub that one task compares, and rows of small hubs that one call gets, about.
-BUCKET, BLOCK, CELL = 1_000_000, 4096, 10_000
+BUCKET, BLOCK, CELL = 1_000_000, 2048, 4_000
 #: Bits a candidate, at least, and bits at least and at most, of the bitmap that finds candidates' texts.
 SPARSE, BITMAP = 16, (1 << 20, 1 << 28)
 #: Ratio of a band's sizes; sets of under SMALL tokens have one-deletion neighbourhoods of all segments, others of every sixteenth.
