@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The template, fixed: a block is HEAD, role, AFTER_ROLE, turns, END_BLOCK; a turn is its text and END_TURN.
 HEAD, AFTER_ROLE, END_TURN, END_BLOCK = "### ", ": ", "</turn>", "\n"
+#: Turns whose places are summed in one fold.
+PART = 256
 
 
 def escaped(text: Column) -> Column:
@@ -37,8 +39,11 @@ def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> Data
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
-    rows = conversations.select("conv_id", F.struct(F.col("turn"), escaped_role(role).alias("role"), escaped(text).alias("text"), (role == loss_role).alias("loss")).alias("t"))
+    rows = conversations.select("conv_id", F.struct(F.col("turn"), role.alias("role"), text.alias("text")).alias("t"))
+    # Sorted as they stand, escaped afterwards: escaping changes the order.
     turns = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    kept = lambda t: F.struct(escaped_role(t["role"]).alias("role"), escaped(t["text"]).alias("text"), (t["role"] == loss_role).alias("loss"))
+    turns = turns.select("conv_id", F.transform("turns", kept).alias("turns"))
     at = lambda i: F.col("turns")[i]
     last = F.size("turns") - 1
     starts = F.filter(F.sequence(F.lit(0), last), lambda i: (i == 0) | (at(i)["role"] != at(F.greatest(i - 1, F.lit(0)))["role"]))
@@ -53,11 +58,21 @@ def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> Data
         F.length(at(i)["text"]).cast("long").alias("length"),
         (F.lit(len(END_TURN)) + F.when(closes(i), len(END_BLOCK)).otherwise(0)).cast("long").alias("after"),
         at(i)["loss"].alias("loss")))
-    empty = F.from_json(F.lit("[]"), "array<struct<start:bigint,length:bigint>>")
-    spans = F.aggregate("place", F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), lambda a, p: F.struct(
-        (a["at"] + p["before"] + p["length"] + p["after"]).alias("at"),
+    turns = turns.select("conv_id", F.array_join(F.transform("starts", block), "").alias("formatted"), place.alias("place"))
+    return turns.select("conv_id", "formatted", _spans(F.col("place")).alias("loss_spans"))
+
+
+def _spans(place: Column) -> Column:
+    """start and length of the places under the loss. Starts are summed part by part, since a fold copies what it has gathered at each step."""
+    size = lambda p: p["before"] + p["length"] + p["after"]
+    zero, none = F.lit(0).cast("long"), lambda kind: F.from_json(F.lit("[]"), f"array<{kind}>")
+    parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(place) - 1) / PART).cast("int")), lambda k: F.slice(place, k * PART + 1, PART))
+    starts = F.aggregate(parts, F.struct(zero.alias("at"), none("bigint").alias("starts")), lambda a, c: F.struct(
+        F.aggregate(c, a["at"], lambda n, p: n + size(p)).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+    within = lambda c, start: F.aggregate(c, F.struct(start.alias("at"), none("struct<start:bigint,length:bigint>").alias("spans")), lambda a, p: F.struct(
+        (a["at"] + size(p)).alias("at"),
         F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + p["before"]).alias("start"), p["length"].alias("length"))))).otherwise(a["spans"]).alias("spans")), lambda a: a["spans"])
-    return turns.select("conv_id", F.array_join(F.transform("starts", block), "").alias("formatted"), place.alias("place")).select("conv_id", "formatted", spans.alias("loss_spans"))
+    return F.flatten(F.zip_with(parts, starts, within))
 
 
 def parse_chats(formatted: DataFrame) -> DataFrame:
@@ -71,13 +86,15 @@ def parse_chats(formatted: DataFrame) -> DataFrame:
     return formatted.select("conv_id", turns.alias("turns"), loss.alias("loss_text"), F.length("formatted").cast("long").alias("formatted_chars"))
 
 
-#: The conversation that op1's contract adds.
-PLANTED = [(-7, 0, "user", r"\### Assistant: </turn> ok"), (-7, 1, "assistant", r"\### Assistant: </turn> ok")]
+#: The text of both turns of the conversation that op1's contract adds.
+PLANTED = r"\### Assistant: </turn> ok"
 
 
 def op1_chat_format(spark, sf_dir: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string"))
+    turn = lambda k, role: F.struct(F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(PLANTED).alias("text"))
+    planted = spark.range(1).select(F.lit(-7).cast("long").alias("conv_id"), F.explode(F.array(turn(0, "user"), turn(1, "assistant"))).alias("t")).select("conv_id", "t.*")
+    rows = rows.unionByName(planted)
     read = parse_chats(format_chats(rows))
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

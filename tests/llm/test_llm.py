@@ -22,6 +22,13 @@ def test_chat_round_trip(spark):
     assert out[1]["loss_text"] == rows[1][3] and [tuple(t) for t in out[None]["turns"]] == [("", "t")]
 
 
+def test_chat_ties_and_long_conversations(spark):
+    rows = [(1, 0, "user", "$b"), (1, 0, "user", "###a"), (1, 0, "a b", "x"), (1, 0, None, "y")] + [(2, i, "user" if i % 3 else "assistant", f"t{i}") for i in range(1000)]
+    out = {r["conv_id"]: r for r in chat.parse_chats(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [tuple(t) for t in out[1]["turns"]] == sorted((r or "", t) for _, _, r, t in rows[:4])
+    assert out[2]["loss_text"] == "".join(f"t{i}" for i in range(0, 1000, 3))
+
+
 def test_mixing_takes_its_targets(spark):
     rows = [(i, "w " * (i % 17 + 1), "abc"[i % 3] if i % 7 else None) for i in range(400)]
     sizes = mixing.sizes_of(spark.createDataFrame(rows, "doc_id long, text string, source string"))
@@ -87,16 +94,39 @@ def test_encoder_equals_the_library():
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     enc, t = tokenbin.Encoder(path), Tokenizer.from_file(path)
-    for s in ["", " ", "a  b", "x \n y", " lead", "trail ", "<|endoftext|> x", "é ü  z", "it's 's", "a\tb\r\nc", "\x01 q", "one\n\n\ntwo\n", "½. ²! %%* *a*", "日本 語。"]:
-        assert np.frombuffer(enc.encode(s), "<u2").tolist() == t.encode(s, add_special_tokens=False).ids
+    texts = ["", " ", "a  b", "x \n y", " lead", "trail ", "<|endoftext|> x", "é ü  z", "it's 's", "a\tb\r\nc", "\x01 q", "one\n\n\ntwo\n", "½. ²! %%* *a*", "日本 語。", "one\ntwo\n", "\n", "a.\n-b, 12 x1. \u3000y\u3000", "x\u00a0 y", "a. a, a b\nb a"]
+    for _ in range(2):  # the second time from memory
+        assert [x.tolist() for x in enc.encode(texts)] == [t.encode(s, add_special_tokens=False).ids for s in texts]
+    small = tokenbin.Encoder(path, memory=0)
+    for s in texts:
+        assert small.encode([s])[0].tolist() == t.encode(s, add_special_tokens=False).ids
 
 
-def test_nearest_is_exact_on_small_tables(spark):
+def test_nearest_on_small_tables(spark):
     rows = [(i, [float(i % 5), 1.0]) for i in range(40)] + [(100, None), (101, [0.0, 0.0]), (102, [float("nan"), 1.0]), (103, [])]
     got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), lambda i: i == 0, k=3).collect()
     assert sorted((r["rank"], r["vec_id"], r["score"]) for r in got) == [(1, 5, 0.0), (2, 10, 0.0), (3, 15, 0.0)]
 
 
+def test_nearest_recall_by_the_index(spark):
+    """Over several shards whose lists are far longer than what is reranked, against brute force; every score is exact."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(30, 24))
+    x = (centres[rng.integers(0, 30, 6000)] + 0.5 * rng.normal(size=(6000, 24))).astype(np.float32).astype(float)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(7000, [1.0, 2.0]), (7100, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    got = ann.nearest(rows, lambda i: i % 100 == 0).collect()
+    hit = 0
+    for q in range(0, 6000, 100):
+        d = np.sqrt(((x - x[q]) ** 2).sum(1))
+        d[q] = np.inf
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [k for k, *_ in own] == list(range(1, 11)) and all(np.isclose(s, d[i], rtol=1e-12) for _, i, s in own)
+        assert [(s, i) for _, i, s in own] == sorted((s, i) for _, i, s in own)
+        hit += len({i for _, i, _ in own} & set(np.argsort(d, kind="stable")[:10].tolist()))
+    assert hit / 600 >= 0.9
+    assert [(r["query_id"], r["vec_id"]) for r in got if r["query_id"] >= 7000] in ([(7000, 7100), (7100, 7000)], [(7100, 7000), (7000, 7100)])
+
+
 def test_quality_scores_every_row(spark):
     labels = spark.createDataFrame([(0, 1)], "doc_id long, quality int")
     got = quality.quality_scores(docs(spark), labels).select("score", "predicted").collect()
@@ -110,6 +140,20 @@ def test_leaks(spark):
     assert {(r["doc_id"], r["item_id"], r["kind"]) for r in found.collect()} == {(0, 1, "exact"), (1, 1, "reparameterised")}
 
 
+def test_leaks_of_short_items(spark):
+    items = [(1, "Name the capital of France"), (2, "What is two plus"), (3, "yes"), (4, "12 13 14 15 16 17 18 19 20 21"), (5, ""), (6, "Anna Otto")]
+    texts = ["So: NAME the capital of france!", "what is two plus two", "yes", "yes it is", "so 12 13 14 15 16 17 18 19 20 21 on", "12 13 14 15 16 17 18", "name the capital", "anna otto.", "Anna Otto went", "12 13 14 15 16 17 18 19"]
+    found = decontam.find_leaks(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"], r["n_windows"], r["item_windows"], r["kind"]) for r in found} == {(0, 1, 1, 1, "exact"), (1, 2, 1, 1, "exact"), (2, 3, 1, 1, "exact"), (4, 4, 3, 3, "exact"), (7, 6, 1, 1, "exact")}
+
+
+@pytest.mark.parametrize("inline", [0, 50_000])
+def test_leaks_with_and_without_a_literal_set(spark, monkeypatch, inline):
+    monkeypatch.setattr(decontam, "INLINE", inline)
+    test_leaks(spark)
+    test_leaks_of_short_items(spark)
+
+
 def test_leaks_in_another_letter_case(spark):
     item = "On Monday Maria sold 12 KG of apples in the Große Straße. Then Peter and Anna bought 30 pears of Maria on the old market"
     texts = [item.upper(), f"So: {item.lower()}", item.title(), item.replace("12", "15").upper(), item.lower().replace("maria", "peter").replace("12", "30"), item]
@@ -128,6 +172,62 @@ def test_leaks_that_are_altered(spark):
     assert {(r["doc_id"], r["item_id"]) for r in found} == {(0, 1), (1, 1), (2, 1), (3, 1), (4, 2)}
 
 
+def brute_tree(rows):
+    """(host, segments) -> purity, by the docstring of template_tree: segments, wildcards, branches, shares on all hosts."""
+    share = lambda n, b, prior=urls.PRIOR: (b + prior * urls.STRENGTH) / (n + urls.STRENGTH)
+    spread = lambda n, b: share(n, b) * (1 - share(n, b)) / (n + urls.STRENGTH)
+    shape = {(h, s): list(s) for h, s, _ in rows}
+    for d in range(max(len(s) for _, s, _ in rows)):
+        children = {}
+        for (h, _), t in shape.items():
+            if len(t) > d:
+                children.setdefault((h, tuple(t[:d])), set()).add(t[d])
+        for (h, _), t in shape.items():
+            if len(t) > d and len(children[h, tuple(t[:d])]) > urls.CHILDREN:
+                t[d] = "{*}"
+    nodes, common = {}, {}
+    for h, s, label in rows:
+        for key, into in (((h, tuple(shape[h, s])), nodes), (tuple(shape[h, s]), common)):
+            n = into.setdefault(key, [0, 0])
+            n[0] += label is not None
+            n[1] += label or 0
+    groups = {}
+    for (h, t), (n, b) in nodes.items():
+        groups.setdefault((h, t[:-1], len(t), n > 0), []).append((share(n, b), list(t), n, b))
+    purity = {}
+    for (h, *_), siblings in groups.items():
+        branch, found = [0, 0], []
+        for sh, t, n, b in sorted(siblings):
+            if found and abs(sh - share(*branch)) > urls.ALIKE * (spread(n, b) + spread(*branch)) ** 0.5:
+                branch = [0, 0]
+            if not branch[0] and not branch[1] and (not found or found[-1] is not branch):
+                found.append(branch)
+            branch[0] += n
+            branch[1] += b
+            purity[h, tuple(t)] = branch
+    return {(h, s): share(*purity[h, tuple(t)], share(*common[tuple(t)])) for (h, s), t in shape.items()}
+
+
+def test_template_tree_equals_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(900):
+        host, depth = f"h{rng.integers(6)}", int(rng.integers(0, 6))
+        seg = tuple(f"{'abcdef'[k]}{rng.integers(40 if k == 1 and host == 'h0' else 3)}" for k in range(depth))
+        label = None if rng.random() < 0.3 or host == "h5" else int(rng.random() < (0.95 if seg[:1] == ("a1",) else 0.1))
+        rows.append((host, seg, label))
+    got = {(r["host"], tuple(r["segments"])): r["purity"] for r in urls.template_tree(spark.createDataFrame([(h, list(s), x) for h, s, x in rows], "host string, segments array<string>, label int")).collect()}
+    want = brute_tree(rows)
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+    assert any(got[k] >= urls.PURITY for k in got if k[0] == "h5")  # a host without labels
+
+
+def test_an_unruled_page_is_rejected_by_its_template(spark):
+    rows = [(i, f"http://h{i % 3}.example.com/de/{i}") for i in range(60)] + [(100 + i, f"http://a.org/fr/{i}") for i in range(60)] + [(200, "http://free.io/de/7"), (201, "http://free.io/fr/7"), (202, "http://free.io/a/b/c/d/e/f/g")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert got[200] == (None, "block") and got[201] == got[202] == (None, "allow") and got[5] == ("example.com/de/", "block")
+
+
 def test_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.Example.net/en/1?q"), (4, "http://x.net/a#f"), (5, "https://h.example.com/de/2"), (6, "http://net"), (7, "http://o.org/fr/x")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}
