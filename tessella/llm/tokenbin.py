@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 import struct
 import zlib
-from array import array
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tessella.llm._common import filesystem, release, saved, scratch, write_whole
+from tessella.llm._common import dropped, filesystem, release, saved, scratch, write_whole
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Bits of the longest code (the decoding table has 2 ** MAX_BITS entries), ids in a block, text bytes in a file.
 MAX_BITS, BLOCK, FILE_BYTES = 18, 1024, 8 << 20
+#: Files at most: the driver keeps a number for each.
+MAX_FILES = 400_000
 MAGIC = b"TSLHUF01"
 
 
@@ -84,19 +84,28 @@ class Code:
             return b"", np.zeros(0, np.uint64)
         place = np.zeros(int(self.ids[-1]) + 1, np.uint32)
         place[self.ids] = np.arange(len(self.ids))
-        at = place[tokens]
-        size, code = self.lengths[at].astype(np.int64), self.codes[at]
-        ends = np.cumsum(size)
-        starts = ends - size
-        n = int(ends[-1] + 7) // 8
-        # A code of up to 24 bits touches at most two 32-bit words; bits of different codes never overlap, so sums are unions.
-        value = code << (64 - size - (starts & 31)).astype(np.uint64)
-        word, words = starts >> 5, n // 4 + 2
-        total = np.bincount(word, weights=value >> np.uint64(32), minlength=words)
-        low = value & np.uint64(0xFFFFFFFF)
-        over = np.flatnonzero(low)
-        total += np.bincount(word[over] + 1, weights=low[over], minlength=words)
-        return total.astype(">u4").tobytes()[:n], starts[::block].astype(np.uint64)
+        out, offsets, done, step = bytearray(), [], 0, block << 10  # in steps of bounded memory
+        for i in range(0, len(tokens), step):
+            at = place[tokens[i : i + step]]
+            size, code = self.lengths[at].astype(np.int64), self.codes[at]
+            shift = done & 7  # bits of the byte at hand that the step before took
+            ends = np.cumsum(size) + shift
+            starts = ends - size
+            n = int(ends[-1] + 7) // 8
+            # A code of up to 24 bits touches at most two 32-bit words; bits of different codes never overlap, so sums are unions.
+            value = code << (64 - size - (starts & 31)).astype(np.uint64)
+            word, words = starts >> 5, n // 4 + 2
+            total = np.bincount(word, weights=value >> np.uint64(32), minlength=words)
+            low = value & np.uint64(0xFFFFFFFF)
+            over = np.flatnonzero(low)
+            total += np.bincount(word[over] + 1, weights=low[over], minlength=words)
+            raw = bytearray(total.astype(">u4").tobytes()[:n])
+            if shift:
+                raw[0] |= out.pop()
+            out += raw
+            offsets.append((starts[::block] + (done - shift)).astype(np.uint64))
+            done += int(ends[-1]) - shift
+        return bytes(out), np.concatenate(offsets)
 
     def table(self) -> tuple[np.ndarray, np.ndarray]:
         """For every pattern of `bits` bits: the index of the id that it starts with, and the bits that its code takes."""
@@ -164,120 +173,190 @@ def unpack_file(data: bytes) -> tuple[int, list, np.ndarray, np.ndarray]:
 #: ASCII marks that byte-level BPE keeps apart from the letters before them. (Not the apostrophe: it can join them.)
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _HEAD = "\x01"
-
-
-class _Chunks(dict):
-    """Packed ids by chunk: letters between spaces, or what follows a line's start (then marked by _HEAD). None: not alone."""
-
-    def __init__(self, t):
-        self.t, self.tokenize = t, t.model.tokenize
-        # What this class knows of pieces holds for byte-level pre-tokenizers; others get whole texts.
-        self.byte_level = type(t.pre_tokenizer).__name__ == "ByteLevel" and t.normalizer is None and t.post_processor is None
-        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-        self.letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
-        self.code = "H" if t.get_vocab_size() <= 1 << 16 else "I"
-
-    def _piece(self, s: str) -> bytes:
-        """Letters, or marks, are one piece: the model merges it, in the letters that stand for bytes."""
-        return array(self.code, [k.id for k in self.tokenize(s.encode().decode("latin-1").translate(self.letters))]).tobytes()
-
-    def __missing__(self, c: str) -> bytes | None:
-        if c.isalpha():
-            value = self._piece(" " + c)
-        else:
-            head = c[:1] == _HEAD
-            body = c[1:] if head else c
-            stem = body.rstrip(_MARKS)
-            if c == "\n":
-                value = self._piece(c)
-            elif not body or body != body.strip():
-                value = None
-            elif len(stem) < len(body) and (stem.isalpha() or not stem):
-                marks = body[len(stem) :]
-                if stem:
-                    value = self[_HEAD + stem if head else stem] + self._piece(marks)
-                else:
-                    value = self._piece(marks if head else " " + marks)
-            elif stem.isalpha():
-                value = self._piece(body if head else " " + body)
-            else:
-                value = array(self.code, self.t.encode(body if head else " " + body, add_special_tokens=False).ids).tobytes()
-        self[c] = value
-        return value
+#: White space, for regular expressions.
+_WHITE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class Encoder:
-    """Ids of texts by the tokenizers library, each distinct chunk encoded once while it stays in memory.
+    """Ids of texts by the tokenizers library, column by column: each distinct chunk of a column is encoded once, and not again
+    while it stays in memory.
 
     Byte-level BPE splits a text into pieces before it merges, and a piece ends at a space or line end that stands alone
-    between other characters; so such a text's ids are those of its chunks, each with the space before it, and of a line
-    end. A chunk of letters and marks is two pieces. Texts with runs of white space, with the string of a special token
+    between other characters; so such a text's ids are those of its chunks, each with the space before it, and of its line
+    ends. A chunk of letters and marks is two pieces. Texts with runs of white space, with the string of a special token
     or with the sign that marks a chunk without a space before it are encoded whole, as are all texts if the tokenizer
-    is of another kind. The ids are the same either way; the memory is bounded.
+    is of another kind. The ids are the same either way. The chunks known are Arrow strings and one array of ids, `memory`
+    bytes at most besides those of the column at hand.
     """
 
-    #: Chunks in memory: as many as a dict of 2 ** 21 places holds.
-    LIMIT = 1_390_000
+    #: Bytes of chunks and their ids in memory, and of text in a column, about.
+    MEMORY, COLUMN = 48 << 20, 4 << 20
+    #: Pieces that are merged at once: the library's tokens are objects.
+    MERGED = 20_000
 
-    def __init__(self, path: str, limit: int = LIMIT):
+    def __init__(self, path: str, memory: int = MEMORY):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import pyarrow as pa
         from tokenizers import Tokenizer
 
-        self.t, self.limit = Tokenizer.from_file(path), limit
-        specials = [x.content for x in self.t.get_added_tokens_decoder().values()]
-        self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.known = _Chunks(self.t)
-        self.code = self.known.code
-
-    def _split(self, t: str) -> list[str] | None:
-        if not t:
-            return []
-        if not self.known.byte_level or _HEAD in t or (self.special and self.special.search(t)):
-            return None
-        if t[-1] == "\n":  # the last line's end: the chunk after it would be empty
-            return [*(_HEAD + t[:-1].replace("\n", " \n " + _HEAD)).split(" "), "\n"]
-        return (_HEAD + t.replace("\n", " \n " + _HEAD)).split(" ")
-
-    def encode(self, text: str) -> bytes:
-        """Unsigned ids of two bytes if the vocabulary allows, else of four."""
-        if len(self.known) > self.limit:
-            self.known.clear()
-        try:
-            return b"".join(map(self.known.__getitem__, self._split(text)))
-        except TypeError:  # no list of chunks, or a chunk that can't stand alone
-            return array(self.code, self.t.encode(text, add_special_tokens=False).ids).tobytes()
+        self.t, self.memory = Tokenizer.from_file(path), memory
+        # What this class knows of pieces holds for byte-level pre-tokenizers; others get whole texts.
+        self.byte_level = type(self.t.pre_tokenizer).__name__ == "ByteLevel" and self.t.normalizer is None and self.t.post_processor is None
+        specials = [re.escape(x.content) for x in self.t.get_added_tokens_decoder().values()]
+        # Where white space is irregular: at an end (but for the last line's end) or next to other white space.
+        self.odd = "|".join([_HEAD, *specials, f"^[{_WHITE}]", f"[{_WHITE}][{_WHITE}]", f"[{_WHITE.replace(chr(10), '')}]$"])
+        plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+        letters = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in plain)}
+        self.letters = np.array([letters.get(b, b) for b in range(256)], "<u4")  # the letters that stand for bytes in the model
+        self.kind = np.dtype("<u2" if self.t.get_vocab_size() <= 1 << 16 else "<u4")
+        self.chunks = pa.array([], pa.string())
+        self.sizes, self.pool = np.zeros(0, np.int32), np.zeros(0, self.kind)
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.t.encode(text, add_special_tokens=False).ids, self.kind)
+
+    def _merged(self, pieces: list[str]) -> tuple[list[int], list[int]]:
+        """The number of ids of each piece, and all ids: the model's own merges, on the letters that stand for bytes."""
+        raw, tokenize = [p.encode() for p in pieces], self.t.model.tokenize
+        sizes, ids = [], []
+        for k in range(0, len(raw), self.MERGED):
+            some = raw[k : k + self.MERGED]
+            ends = np.cumsum([len(r) for r in some]).tolist()
+            spelt = self.letters[np.frombuffer(b"".join(some), np.uint8)].tobytes().decode("utf-32-le")
+            found = [tokenize(spelt[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
+            sizes += map(len, found)
+            ids += [k.id for x in found for k in x]
+        return sizes, ids
+
+    def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each chunk, and all ids; chunks of letters come first. Letters, or marks, are one piece."""
+        pieces: dict[str, int] = {}
+        piece = lambda p: pieces.setdefault(p, len(pieces))
+        of: list = []
+        words = [" " + c for c in chunks if c.isalpha()]
+        for c in chunks:
+            if c.isalpha():
+                continue
+            lead, body = ("", c[1:]) if c[:1] == _HEAD else (" ", c)
+            stem = body.rstrip(_MARKS)
+            if c == "\n":
+                of.append((piece(c),))
+            elif not body:
+                of.append(())
+            elif stem and not stem.isalpha():
+                of.append(self.t.encode(lead + body, add_special_tokens=False).ids)
+            elif stem and len(stem) < len(body):
+                of.append((piece(lead + stem), piece(body[len(stem) :])))
+            else:
+                of.append((piece(lead + body),))
+        sizes, ids = self._merged(words)
+        n, more = self._merged(list(pieces))
+        ends = np.cumsum(n).tolist()
+        rest = [x if isinstance(x, list) else [i for k in x for i in more[ends[k] - n[k] : ends[k]]] for x in of]
+        return np.array(sizes + list(map(len, rest)), np.int32), np.array(ids + [i for x in rest for i in x], self.kind)
+
+    def _column(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text of regular white space, and all ids."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lines = pc.binary_join_element_wise(pa.scalar(_HEAD), pc.replace_substring(texts, "\n", f" \n {_HEAD}"), "")
+        split = pc.split_pattern(lines, " ")
+        coded = split.flatten().dictionary_encode()
+        at = pc.index_in(coded.dictionary, value_set=self.chunks)
+        new = coded.dictionary.filter(at.is_null())
+        if len(new):
+            new = new.to_pylist()
+            new = [c for c in new if c.isalpha()] + [c for c in new if not c.isalpha()]
+            sizes, ids = self._encode_new(new)
+            self.chunks = pa.concat_arrays([self.chunks, pa.array(new, pa.string())])
+            self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
+            at = pc.index_in(coded.dictionary, value_set=self.chunks)
+        at = at.to_numpy()
+        # The ids of this column's chunks, in its own order: what the column's places then look up is small.
+        sizes = self.sizes[at]
+        ends, upto = np.cumsum(sizes), np.cumsum(self.sizes) - self.sizes
+        pool = self.pool[np.repeat(upto[at] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        if self.chunks.nbytes + self.sizes.nbytes + self.pool.nbytes > self.memory:
+            self.chunks, self.sizes, self.pool = coded.dictionary, sizes, pool  # only they stay
+        chunk = coded.indices.to_numpy()
+        size = sizes[chunk]
+        upto = np.r_[0, np.cumsum(size)]
+        ids = pool[np.repeat((ends - sizes)[chunk] - upto[:-1], size) + np.arange(upto[-1])]
+        return np.diff(upto[split.offsets.to_numpy()]), ids
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The unsigned ids of each text: of two bytes if the vocabulary allows, else of four."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        column = pa.array(texts, pa.string())
+        odd = pc.match_substring_regex(column, self.odd).to_numpy(zero_copy_only=False) if self.byte_level else np.ones(len(texts), bool)
+        out: list = [None] * len(texts)
+        rest = np.flatnonzero(~odd)
+        if len(rest):
+            sizes, ids = self._column(column.take(pa.array(rest)))
+            for i, x in zip(rest.tolist(), np.split(ids, np.cumsum(sizes)[:-1]), strict=True):
+                out[i] = x
+        for i in np.flatnonzero(odd).tolist():
+            out[i] = self._whole(texts[i])
+        return out
 
 
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str, limit: int) -> Encoder:
+def encoder(path: str, memory: int) -> Encoder:
     """One per Python worker, kept from task to task."""
     if path not in _encoders:
         _encoders[path] = Encoder(path)
-    _encoders[path].limit = limit
+    _encoders[path].memory = memory
     return _encoders[path]
 
 
-def _bounds(documents: DataFrame, file_bytes: int) -> list[int]:
-    """Document ids that part the table into ranges of about file_bytes text. An id that is repeated often comes twice or more."""
+def _bounds(documents: DataFrame, file_bytes: int) -> np.ndarray:
+    """Document ids that part the table into ranges of about file_bytes text. An id that is repeated often comes twice or more.
+
+    Quantiles of the ids cut the table four times finer; a pass over the sizes then tells how many of these make a file.
+    """
     size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
     total = documents.agg(F.sum(size)).first()[0] or 0
-    parts = max(1, -(-total // file_bytes))
+    parts = int(max(1, min(MAX_FILES, -(-total // file_bytes))))
     if parts == 1:
-        return []
-    steps = [i / parts for i in range(1, parts)]
-    return [int(x) for x in documents.where("doc_id IS NOT NULL").approxQuantile("doc_id", steps, 1 / (20 * parts))]
+        return np.zeros(0, np.int64)
+    known = documents.where("doc_id IS NOT NULL")
+    cuts = np.array(known.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (20 * parts)), np.int64)
+    shared = documents.sparkSession.sparkContext.broadcast(cuts)
+
+    def weigh(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        sums = np.zeros(len(shared.value) + 1)
+        for batch in batches:
+            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            lo, hi = np.searchsorted(shared.value, ids, "left"), np.searchsorted(shared.value, ids, "right")
+            lo += np.where(hi - lo < 2, 0, np.arange(len(ids)) % np.maximum(1, hi - lo))
+            sums += np.bincount(lo, weights=n, minlength=len(sums))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(sums[at])})
+
+    sums = np.zeros(len(cuts) + 1)
+    for r in known.select("doc_id", size.cast("long").alias("n")).mapInArrow(weigh, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
+        sums[r["at"]] = r["n"]
+    file = (np.cumsum(sums) / (sums.sum() / parts)).astype(np.int64)  # which file a cut ends
+    return cuts[np.flatnonzero(file[1:] != file[:-1])]
 
 
-def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, max_bits: int = MAX_BITS, file_bytes: int = FILE_BYTES, chunks: int = Encoder.LIMIT) -> DataFrame:
+def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, max_bits: int = MAX_BITS, file_bytes: int = FILE_BYTES, memory: int = Encoder.MEMORY) -> DataFrame:
     """Writes the ids of all texts, each with end_id after it, as folder/part-*.huf in ascending doc_id; returns the files' table (path).
 
     Null ids come first; rows of one id stand together, ordered by their ids' number and bytes. A null text is empty. An
-    empty table writes no file. `chunks` bounds the encoders' memory of encoded chunks; ids don't depend on it. The tokens cross one shuffle, whose files serve both passes over them: the counts by id,
-    of which the code is made, and the writing. If executors are lost, Spark makes the lost part of them again.
+    empty table writes no file. `memory` bounds the encoders' memory of encoded chunks; ids don't depend on it. There are
+    MAX_FILES files at most, which grow beyond file_bytes then. The encoded documents are a written table, many to a row,
+    that also has each task's counts by id and by file: these make the code and the files' starts; one shuffle then
+    brings the documents of a file together.
     """
     import public_tokenizers
 
@@ -286,78 +365,115 @@ def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER,
     documents = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds = _bounds(documents, file_bytes)
     parts = len(bounds) + 1
+    cuts = spark.sparkContext.broadcast(bounds)
+
+    def parts_of(ids: list, texts: list[str]) -> np.ndarray:
+        known = np.array([i or 0 for i in ids], np.int64)
+        lo, hi = np.searchsorted(cuts.value, known, "left"), np.searchsorted(cuts.value, known, "right")
+        for i in np.flatnonzero(hi - lo > 1).tolist():
+            lo[i] += zlib.crc32(texts[i].encode("utf-8", "replace")) % (hi[i] - lo[i])
+        return np.where([i is None for i in ids], 0, lo)
+
+    names = ("docs", "known", "sizes", "ids")
+
+    def tokens(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        enc = encoder(path, memory)
+        end = np.array([end_id], enc.kind)
+        counts, totals = np.zeros(max(enc.t.get_vocab_size(), end_id + 1), np.int64), np.zeros(parts, np.int64)
+
+        def rows(kind: int, part: list[int], *columns: list[bytes]):
+            return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(part), pa.int32()), "part": pa.array(part, pa.int64())} | {k: pa.array(c, pa.binary()) for k, c in zip(names, columns, strict=True)})
+
+        for batch in batches:
+            for some in _columns(batch):
+                ids, texts = some.column("doc_id").to_pylist(), some.column("text").to_pylist()
+                encoded = enc.encode(texts)
+                part = parts_of(ids, texts)
+                order = np.argsort(part, kind="stable")
+                edges = np.r_[0, np.flatnonzero(np.diff(part[order])) + 1, len(order)].tolist()
+                packs = []
+                for a, z in zip(edges[:-1], edges[1:], strict=True):
+                    mine, p = order[a:z].tolist(), int(part[order[a]])
+                    raw = np.concatenate([x for i in mine for x in (encoded[i], end)])
+                    counts += np.bincount(raw, minlength=len(counts))
+                    totals[p] += len(raw)
+                    packs.append((p, np.array([ids[i] or 0 for i in mine], np.int64).tobytes(), bytes(ids[i] is not None for i in mine), np.array([len(encoded[i]) + 1 for i in mine], np.int64).tobytes(), raw.tobytes()))
+                del encoded
+                if packs:
+                    yield rows(0, *map(list, zip(*packs, strict=True)))
+        for kind, sums in ((1, counts), (2, totals)):
+            at = np.flatnonzero(sums)
+            if len(at):
+                yield rows(kind, [0], [at.tobytes()], [b""], [sums[at].tobytes()], [b""])
+        release()
+
+    store = scratch(spark, "token-ids")
+    documents.mapInArrow(tokens, "kind int, part long, docs binary, known binary, sizes binary, ids binary").write.option("compression", "zstd").parquet(store)
+    encoded = spark.read.schema("kind int, part long, docs binary, known binary, sizes binary, ids binary").parquet(store)
+
+    def summed(batches: Iterable) -> Iterator:
+        import pyarrow as pa
+
+        sums = np.zeros(0, np.int64)
+        for batch in batches:
+            for at, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                at = np.frombuffer(at, np.int64)
+                sums = np.pad(sums, (0, max(0, int(at[-1]) + 1 - len(sums))))
+                sums[at] += np.frombuffer(n, np.int64)
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(sums[at], pa.int64())})
+
+    def sums_of(kind: int) -> tuple[np.ndarray, np.ndarray]:
+        """On the driver: a number for each id of the vocabulary, or for each file."""
+        tasks = encoded.where(F.col("kind") == kind).select("docs", "sizes").coalesce(spark.sparkContext.defaultParallelism)
+        got = tasks.mapInArrow(summed, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+        at, n = (np.array([r[k] for r in got], np.int64) for k in (0, 1))
+        order = np.argsort(at)
+        return at[order], n[order]
+
+    ids, counts = sums_of(1)
+    code = Code(ids, code_lengths(counts, max_bits))
+    totals = np.zeros(parts, np.int64)
+    at, n = sums_of(2)
+    totals[at] = n
+    shared = spark.sparkContext.broadcast((code.ids, code.lengths, np.cumsum(totals) - totals))
+
+    def write(key, table):
+        import pyarrow as pa
 
-    def part_of(doc_id, text: str) -> int:
-        if doc_id is None:
-            return 0
-        lo, hi = bisect.bisect_left(bounds, doc_id), bisect.bisect_right(bounds, doc_id)
-        return lo if hi - lo < 2 else lo + zlib.crc32(text.encode("utf-8", "replace")) % (hi - lo)
-
-    def tokens(rows: Iterable) -> Iterator:
-        enc = encoder(path, chunks)
-        end = array(enc.code, [end_id]).tobytes()
-        width = len(end)
-        for doc_id, text in rows:
-            raw = enc.encode(text) + end
-            yield part_of(doc_id, text), (doc_id, len(raw) // width, raw)
-
-    dealt = documents.rdd.mapPartitions(tokens).partitionBy(parts, lambda part: part)
-
-    def unpack(n: int, raw: bytes) -> np.ndarray:
-        return np.frombuffer(raw, "<u2").astype(np.uint32) if len(raw) == 2 * n else np.frombuffer(raw, "<u4")
-
-    def counted(rows):
-        totals: dict[int, int] = {}
-        counts = np.zeros(1, np.int64)
-        held, size = {2: [], 4: []}, 0
-
-        def flush():
-            nonlocal counts
-            for width, raws in held.items():
-                if raws:
-                    c = np.bincount(np.frombuffer(b"".join(raws), f"<u{width}"), minlength=len(counts))
-                    c[: len(counts)] += counts
-                    counts = c
-                    raws.clear()
-
-        for part, (_, n, raw) in rows:
-            totals[part] = totals.get(part, 0) + n
-            held[len(raw) // n].append(raw)
-            size += len(raw)
-            if size >= 1 << 23:
-                flush()
-                size = 0
-        flush()
-        yield from (("part", p, n) for p, n in totals.items())
-        yield from (("id", int(i), int(counts[i])) for i in np.flatnonzero(counts))
-
-    sums = dealt.mapPartitions(counted).map(lambda x: (x[:2], x[2])).reduceByKey(lambda a, b: a + b, max(1, min(parts, spark.sparkContext.defaultParallelism))).collect()
-    # On the driver: a number for each id of the vocabulary and for each file.
-    ids = np.array(sorted(k[1] for k, _ in sums if k[0] == "id"), np.int64)
-    by_id = {k[1]: n for k, n in sums if k[0] == "id"}
-    code = Code(ids, code_lengths(np.array([by_id[i] for i in ids.tolist()], np.int64), max_bits))
-    starts, at = {}, 0
-    for part, n in sorted((k[1], n) for k, n in sums if k[0] == "part"):
-        starts[part], at = at, at + n
-    shared = spark.sparkContext.broadcast((code.ids, code.lengths, starts))
-
-    def write(rows):
         _encoders.clear()  # the workers go on to other work: the chunks in memory were for the texts
         ids, lengths, starts = shared.value
-        mine: dict[int, list] = {}
-        for part, row in rows:
-            mine.setdefault(part, []).append(row)
-        code = Code(ids, lengths)
-        for part in sorted(mine):
-            docs = sorted(mine.pop(part), key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
-            lengths_ = np.array([n for _, n, _ in docs], np.int64)
-            uri = f"{folder}/part-{part:07d}.huf"
-            write_whole(uri, pack_file(code, starts[part], [d for d, _, _ in docs], lengths_, np.concatenate([unpack(n, raw) for _, n, raw in docs])))
-            yield (uri,)
+        part = key[0].as_py()
+        joined = {k: b"".join(x.as_buffer() for x in table.column(k)) for k in names}
+        sizes, known = np.frombuffer(joined["sizes"], np.int64), np.frombuffer(joined["known"], np.uint8)
+        docs = [d if k else None for d, k in zip(np.frombuffer(joined["docs"], np.int64).tolist(), known.tolist(), strict=True)]
+        raw = np.frombuffer(joined["ids"], f"<u{len(joined['ids']) // int(sizes.sum())}")
+        ends = np.cumsum(sizes)
+        own = lambda i: raw[ends[i] - sizes[i] : ends[i]]
+        repeated = {d for d, n in Counter(docs).items() if n > 1}
+        key = lambda i: (docs[i] is not None, docs[i] or 0, *((int(sizes[i]), own(i).tobytes()) if docs[i] in repeated else ()))
+        order = sorted(range(len(docs)), key=key)
+        uri = f"{folder}/part-{part:07d}.huf"
+        write_whole(uri, pack_file(Code(ids, lengths), int(starts[part]), [docs[i] for i in order], sizes[order], np.concatenate([own(i) for i in order])))
         release()
+        return pa.table({"path": pa.array([uri])})
+
+    files = saved(encoded.where("kind = 0").select("part", *names).groupBy("part").applyInArrow(write, "path string"), "token-files")
+    dropped(encoded)
+    return files
+
+
+def _columns(batch) -> Iterator:
+    """The batch in slices of about Encoder.COLUMN bytes of text."""
+    import pyarrow.compute as pc
 
-    files = spark.createDataFrame(dealt.mapPartitions(write), T.StructType([T.StructField("path", T.StringType())]))
-    return saved(files, "token-files")
+    upto = np.cumsum(pc.binary_length(batch.column("text")).to_numpy()) // Encoder.COLUMN
+    edges = np.r_[0, np.flatnonzero(np.diff(upto)) + 1, batch.num_rows].tolist()
+    for a, z in zip(edges[:-1], edges[1:], strict=True):
+        if z > a:
+            yield batch.slice(a, z - a)
 
 
 def read_tokens(files: DataFrame) -> DataFrame:
