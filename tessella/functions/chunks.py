@@ -47,15 +47,36 @@ def split_clauses(heading: str, text: str) -> list[str]:
     return [f"[{heading}] {p}" for p in parts] if wanted > 2 else [f"[{heading}] {text}"]
 
 
-def split_long(text: str, longest: int = LONG, near: int = NEAR) -> list[str]:
-    """Text over `longest` in pieces cut at the last line end, or else space, before `near`."""
-    out = []
-    while len(text) > longest:
-        at = max(text.rfind("\n", 1, near), text.rfind(" ", 1, near) if "\n" not in text[1:near] else -1)
-        at = at if at > 0 else near
-        out.append(text[:at])
-        text = text[at:].lstrip()
-    return [*out, text]
+def _is_row(line: str) -> bool:
+    return line.lstrip().startswith("|")
+
+
+def split_long(text: str, prefix: str = "", longest: int = LONG, near: int = NEAR) -> list[str]:
+    """Text over `longest` in pieces of about `near` characters: between lines, before a list's item where one is in reach, else
+    within a line after a space, else anywhere.
+
+    Every character stands in one piece. Pieces after the first begin with the prefix and a line end; one that starts within a
+    table begins with the table's header (two lines, if the second is a rule) as well.
+    """
+    out, start = [], 0
+    while len(text) - start > longest:
+        ends = [m.end() for m in re.finditer("\n", text[start : start + near])]
+        items = [e for e in ends if e > near // 2 and re.match(r"[-*•] |[0-9a-z]{1,2}[.)] ", text[start + e :])]
+        space = text.rfind(" ", start, start + near) + 1 - start
+        cut = items[-1] if items else ends[-1] if ends else space if space > 0 else near
+        out.append((start, start + cut))
+        start += cut
+    return [_opened(text, prefix, a) * (a > 0) + text[a:z] for a, z in [*out, (start, len(text))]]
+
+
+def _opened(text: str, prefix: str, at: int) -> str:
+    """What a piece that starts at `at` begins with."""
+    above, head = text[:at].split("\n")[:-1], []
+    if text[at - 1 : at] == "\n" and above and _is_row(above[-1]) and _is_row(text[at:].split("\n", 1)[0]):
+        first = next((i for i in range(len(above) - 1, -1, -1) if not _is_row(above[i])), -1) + 1
+        ruled = len(above) > first + 1 and re.fullmatch(r"[|\s:-]+", above[first + 1])
+        head = above[first : first + (2 if ruled else 1)]
+    return "".join(f"{x}\n" for x in [*([prefix] if prefix else []), *head])
 
 
 def spans(text: str, phrases: list[str]) -> list[tuple[int, int, str]]:

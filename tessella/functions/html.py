@@ -1,19 +1,51 @@
-"""HTML by the standard library's parser: main text, links, tables, labelled facts."""
+"""HTML by the standard library's parser: main text, links, tables, labelled facts. Any page is read, however its tags are nested."""
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
+#: Elements that are no main content, and elements that end a line.
 DROPPED = {"script", "style", "nav", "header", "footer", "noscript", "form"}
 BREAKS = {"p", "div", "br", "li", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "section", "article", "table", "ul", "ol", "title"}
+#: Marks that stand for yes in a table's cell.
+TICKS = {"✓", "✔", "☑", "√"}
+
+
+class _Table:
+    """An open table: its rows, and the text of the cell that is open, if one is."""
+
+    def __init__(self):
+        self.rows: list[list[str]] = []
+        self.cell: list[str] | None = None
+
+    def open_row(self):
+        self.close_cell()
+        self.rows.append([])
+
+    def open_cell(self):
+        self.close_cell()
+        if not self.rows:
+            self.rows.append([])
+        self.cell = []
+
+    def close_cell(self):
+        if self.cell is not None:
+            text = squeezed("".join(self.cell))
+            self.rows[-1].append("x" if text in TICKS else text)
+            self.cell = None
 
 
 class _Page(HTMLParser):
+    """Open tables form a stack: a nested table's text is its own, and the outer cell goes on after it. A cell outside all
+    tables is plain text. What a page leaves open ends with the page."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.skip, self.out, self.links, self.href = 0, [], [], None
-        self.tables, self.cell = [], None
+        self.tables: list[_Table] = []
+        self.open: list[_Table] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in DROPPED:
@@ -23,11 +55,12 @@ class _Page(HTMLParser):
         if tag == "a":
             self.href = (dict(attrs).get("href") or "", [])
         if tag == "table":
-            self.tables.append([])
-        if tag == "tr" and self.tables:
-            self.tables[-1].append([])
-        if tag in ("td", "th") and self.tables and self.tables[-1]:
-            self.cell = []
+            self.open.append(_Table())
+            self.tables.append(self.open[-1])
+        elif tag == "tr" and self.open:
+            self.open[-1].open_row()
+        elif tag in ("td", "th") and self.open:
+            self.open[-1].open_cell()
 
     def handle_endtag(self, tag):
         if tag in DROPPED and self.skip:
@@ -35,19 +68,29 @@ class _Page(HTMLParser):
         if tag in BREAKS:
             self.out.append("\n")
         if tag == "a" and self.href:
-            self.links.append((self.href[0], " ".join("".join(self.href[1]).split())))
+            self.links.append((self.href[0], squeezed("".join(self.href[1]))))
             self.href = None
-        if tag in ("td", "th") and self.cell is not None:
-            self.tables[-1][-1].append(" ".join("".join(self.cell).split()))
-            self.cell = None
+        if tag in ("td", "th", "tr") and self.open:
+            self.open[-1].close_cell()
+        elif tag == "table" and self.open:
+            self.open.pop().close_cell()
 
     def handle_data(self, data):
         if not self.skip:
             self.out.append(data)
             if self.href:
                 self.href[1].append(data)
-            if self.cell is not None:
-                self.cell.append(data)
+            if self.open and self.open[-1].cell is not None:
+                self.open[-1].cell.append(data)
+
+    def close(self):
+        super().close()
+        while self.open:
+            self.open.pop().close_cell()
+
+
+def squeezed(text: str) -> str:
+    return " ".join(text.split())
 
 
 def _page(html: str | None) -> _Page:
@@ -59,30 +102,55 @@ def _page(html: str | None) -> _Page:
 
 def main_text(html: str | None) -> str:
     """Lines of two characters and more outside navigation and scripts, without adjacent repeats."""
-    lines = [" ".join(x.split()) for x in "".join(_page(html).out).split("\n")]
+    lines = [squeezed(x) for x in "".join(_page(html).out).split("\n")]
     kept = [x for x in lines if len(x) >= 2]
     return "\n".join(x for i, x in enumerate(kept) if not i or kept[i - 1] != x)
 
 
 def links(html: str | None, base: str | None) -> list[tuple[str, str]]:
-    """Absolute url and text of links, each url once, without the page itself."""
+    """Absolute url and text of links, each url once, without the page itself. What is no url is left out."""
     found: dict[str, str] = {}
     for href, text in _page(html).links:
-        url = urljoin(base or "", href)
+        try:
+            url = urljoin(base or "", href)
+        except ValueError:  # such as an unclosed bracket of an address
+            continue
         if url != base:
             found.setdefault(url, text)
     return list(found.items())
 
 
 def tables(html: str | None) -> list[list[list[str]]]:
-    return [t for t in _page(html).tables if t]
+    """Rows of cells of each table with rows, in the order in which the tables open; a tick is x."""
+    return [t.rows for t in _page(html).tables if t.rows]
+
+
+def table_rows(html: str | None, keywords: tuple[str, ...] = ()) -> list[dict[str, str]]:
+    """Rows of the tables whose header, the first of their rows to hold every keyword, is found; each as a map of header to cell.
+
+    A row with one filled cell, the table having more columns, is a group's heading: it is the value of `group` in the rows after it.
+    """
+    found = []
+    for rows in tables(html):
+        low = [[c.lower() for c in r] for r in rows]
+        at = next((i for i, r in enumerate(low) if len(r) > 1 and all(any(k in c for c in r) for k in keywords)), None)
+        if at is None:
+            continue
+        group = ""
+        for r in rows[at + 1 :]:
+            filled = [c for c in r if c]
+            if len(filled) == 1 and len(rows[at]) > 1:
+                group = filled[0]
+            elif filled:
+                found.append({"group": group} | dict(zip(rows[at], r, strict=False)))
+    return found
 
 
 def facts(html: str | None) -> dict[str, str]:
     """`label: value` lines of the main text, the first value of each label."""
     found: dict[str, str] = {}
     for line in main_text(html).split("\n"):
-        label, colon, value = line.partition(": ")
-        if colon and 2 <= len(label) <= 40 and value:
-            found.setdefault(label, value)
+        m = re.match(r"(.{2,40}?): (.+)$", line)
+        if m and ": " not in m[1]:
+            found.setdefault(m[1], m[2])
     return found

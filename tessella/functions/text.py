@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,17 +39,62 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def window_ratio(query: str, key: str) -> float:
-    """The best ratio of the query with the key or, for queries of two words and more and longer keys, with its runs of about as many words."""
-    words, n = key.split(), len(query.split())
-    best = indel_ratio(query, key)
-    if 1 < n < len(words):
-        for k in range(max(1, n - 1), n + 2):
-            for i in range(len(words) - k + 1):
-                best = max(best, indel_ratio(query, " ".join(words[i : i + k])))
-    return best
+def word_runs(query: Column, key: Column) -> Column:
+    """What a query is compared with: the key and, for queries of two words and more and longer keys, the key's runs of about as many words."""
+    words, n = F.split(key, " "), F.size(F.split(query, " "))
+    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
+    near = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: of_length(n + d)))
+    return F.array_distinct(F.concat(F.array(key), F.when((n > 1) & (n < F.size(words)), near).otherwise(F.array().cast("array<string>"))))
 
 
 @F.pandas_udf(T.DoubleType())
-def fuzzy_score(query: pd.Series, key: pd.Series) -> pd.Series:
-    return pd.Series([window_ratio(a or "", b or "") for a, b in zip(query, key, strict=True)])
+def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def with_fuzzy_score(df: DataFrame, query: str, key: str, name: str = "score") -> DataFrame:
+    """The distinct rows of `df` with the best indel ratio of a query with the key's word runs, a row for each run in between."""
+    runs = df.withColumn("_run", F.explode(word_runs(F.col(query), F.col(key))))
+    return runs.groupBy(*df.columns).agg(F.max(ratio(F.col(query), F.col("_run"))).alias(name))
+
+
+#: Ligatures and what they spell.
+LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
+
+
+def without_ligatures(text: Column) -> Column:
+    for mark, letters in LIGATURES:
+        text = F.replace(text, F.lit(mark), F.lit(letters))
+    return text
+
+
+@F.pandas_udf(T.StringType())
+def nfc(text: pd.Series) -> pd.Series:
+    """Unicode's composed form, for which Spark has no function."""
+    return text.str.normalize("NFC")
+
+
+def spaced_out(text: Column) -> Column:
+    """Words whose letters are set apart (four single letters and more, a space between each) closed up."""
+    return F.regexp_replace(text, r"(?:(?<!\p{L})(?=(?:\p{L} ){3,}\p{L}(?!\p{L}))|\G(?<!^))(\p{L}) (?=\p{L}(?!\p{L}))", "$1")
+
+
+def slug(text: Column) -> Column:
+    """Lower case, base letters, runs of all else but a-z, 0-9 and points one -; none at the ends."""
+    t = F.regexp_replace(F.translate(F.lower(text), MARKED, PLAIN), r"\p{Mn}+", "")
+    return F.trim(F.regexp_replace(t, "[^a-z0-9.]+", "-"), F.lit("-"))
+
+
+def unit_factor(unit: Column, units: tuple[tuple[str, int], ...]) -> tuple[Column, Column]:
+    """The factor of the first of `units` that the text starts with, and what follows it. Null stays null, an unknown unit is an error."""
+    factor, rest = F.raise_error(F.concat(F.lit("unknown unit: "), unit)).cast("int"), F.lit(None).cast("string")
+    for name, k in reversed(units):
+        factor = F.when(unit.startswith(name), F.lit(k)).otherwise(factor)
+        rest = F.when(unit.startswith(name), F.substr(unit, F.lit(len(name) + 1))).otherwise(rest)
+    return F.when(unit.isNotNull(), factor), rest
+
+
+def cohort_number(text: Column) -> Column:
+    """The first number of a text; a calendar year from 1956 on counts from 1955."""
+    n = F.nullif(F.regexp_extract(text, "([0-9]+)", 1), F.lit("")).cast("int")
+    return F.when(n >= 1956, n - 1955).otherwise(n)

@@ -5,7 +5,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import chunks, html
-from tessella.functions.text import fuzzy_score, norm_compact, norm_key
+from tessella.functions.text import norm_compact, norm_key, with_fuzzy_score
 from tessella.plans import dual, query
 
 _KEYS = "(SELECT doc_id, trim(regexp_replace(strip_accents(replace(lower(text), 'đ', 'd')), '[^a-z0-9]+', ' ', 'g')) AS key FROM documents)"
@@ -13,27 +13,14 @@ _head = lambda t: t.documents.select("doc_id", "text")
 query("norm_key", f"SELECT doc_id, key FROM {_KEYS}")(lambda t: _head(t).select("doc_id", norm_key(F.col("text")).alias("key")))
 query("norm_compact", f"SELECT doc_id, replace(key, ' ', '') AS key FROM {_KEYS}")(lambda t: _head(t).select("doc_id", norm_compact(F.col("text")).alias("key")))
 query("strip_lead", f"SELECT doc_id, regexp_replace(key, '^((the|of|and|to) )+', '') AS core FROM {_KEYS}")(lambda t: _head(t).select("doc_id", F.regexp_replace(norm_key(F.col("text")), "^((the|of|and|to) )+", "").alias("core")))
-query("slug", f"SELECT doc_id, replace(key, ' ', '-') AS slug FROM {_KEYS}")(lambda t: _head(t).select("doc_id", F.replace(norm_key(F.col("text")), F.lit(" "), F.lit("-")).alias("slug")))
 dual("parse_range", "SELECT v, TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) AS lo, CASE WHEN regexp_matches(v, '^[≥>]') THEN NULL WHEN regexp_matches(v, '[0-9] *[-–÷] *[0-9]') THEN TRY_CAST(replace(regexp_extract(v, '[-–÷] *([0-9]+[.,]?[0-9]*)$', 1), ',', '.') AS DOUBLE) ELSE TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) END AS hi FROM (VALUES ('5.5÷6.5'), ('5,5 - 6,5'), ('6.5'), ('≥ 7.0'), ('>180'), ('Level 3')) AS t(v)",
      "SELECT v, TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) AS lo, CASE WHEN v RLIKE '^[≥>]' THEN NULL WHEN v RLIKE '[0-9] *[-–÷] *[0-9]' THEN TRY_CAST(replace(regexp_extract(v, '[-–÷] *([0-9]+[.,]?[0-9]*)$', 1), ',', '.') AS DOUBLE) ELSE TRY_CAST(replace(regexp_extract(v, '^[≥>= ]*([0-9]+[.,]?[0-9]*)', 1), ',', '.') AS DOUBLE) END AS hi FROM (VALUES ('5.5÷6.5'), ('5,5 - 6,5'), ('6.5'), ('≥ 7.0'), ('>180'), ('Level 3')) AS t(v)")
-dual("unit_scale", "SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN p_size * 1000000 WHEN p_size % 3 = 1 THEN p_size * 1000 ELSE p_size END AS amount FROM {part}")
-dual("parse_amount", "SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS amount FROM {events}")
-dual("cohort", "SELECT c_custkey, CASE WHEN n >= 1956 THEN n - 1955 ELSE n END AS cohort FROM (SELECT c_custkey, CAST(regexp_extract(c_name, '([0-9]+)', 1) AS INTEGER) + 1900 AS n FROM {customer}) t")
 dual("first_digit", "SELECT p_partkey, regexp_extract(p_brand, '([0-9])', 1) AS digit FROM {part}")
 dual("extract_years", "SELECT page_id, list_sort(list_distinct(list_transform(regexp_extract_all(html, '(?:^|[^0-9])(20[0-9][0-9])\\b', 1), lambda y: CAST(y AS INTEGER)))) AS years FROM {pages}",
      "SELECT page_id, sort_array(array_distinct(transform(regexp_extract_all(html, '(?:^|[^0-9])(20[0-9][0-9])\\\\b', 1), y -> int(y)))) AS years FROM {pages}")
 dual("strip_suffix", "SELECT s_suppkey, regexp_replace(s_name, '[0-9]+$', '') AS name FROM {supplier}")
-dual("canonical_code", "SELECT c_custkey, coalesce(a.code, upper(c_mktsegment)) AS code FROM {customer} LEFT JOIN (VALUES ('BUILDING', 'BLD'), ('MACHINERY', 'MCH')) AS a(alias, code) ON c_mktsegment = alias")
 dual("citation", "SELECT doc_id, concat_ws(' — ', source, CASE WHEN doc_id % 2 = 0 THEN 'section ' || doc_id ELSE lang END, CASE WHEN doc_id % 3 = 0 THEN 'page ' || (doc_id % 40) END) AS citation FROM {documents}")
-dual("contact_format", "SELECT c_custkey, regexp_matches(regexp_replace(c_name, '[^0-9]', '', 'g'), '^0[0-9]{7,9}$') AS ok FROM {customer}".replace("{7,9}", "[0-9]*"), "SELECT c_custkey, regexp_replace(c_name, '[^0-9]', '') RLIKE '^0[0-9][0-9]*$' AS ok FROM {customer}")
-dual("extract_phrases", "SELECT doc_id, list_sort(list_filter(['of the', 'in the', 'de la', 'la de'], lambda p: contains(' ' || lower(text) || ' ', ' ' || p || ' '))) AS phrases FROM {documents}", "SELECT doc_id, sort_array(filter(array('of the', 'in the', 'de la', 'la de'), p -> contains(' ' || lower(text) || ' ', ' ' || p || ' '))) AS phrases FROM {documents}")
-dual("looks_english", "SELECT doc_id, len(list_intersect(list_distinct(string_split(lower(text), ' ')), ['the', 'of', 'and', 'to', 'is', 'in'])) >= 2 AS english FROM {documents}", "SELECT doc_id, size(array_intersect(split(lower(text), ' '), array('the', 'of', 'and', 'to', 'is', 'in'))) >= 2 AS english FROM {documents}")
-dual("injection_guard", "SELECT conv_id, turn, regexp_matches(lower(text), 'ignore (all|previous)|system prompt|you are now|reveal|jailbreak') AS flagged FROM {conversations}", "SELECT conv_id, turn, lower(text) RLIKE 'ignore (all|previous)|system prompt|you are now|reveal|jailbreak' AS flagged FROM {conversations}")
 dual("deictic", "SELECT conv_id, turn, lower(trim(text)) IN ('that', 'this', 'it', 'that one') AS deictic FROM {conversations}")
-dual("line_filters", "SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM {documents}) t WHERE length(line) > 3 AND upper(line) <> line AND NOT contains(line, '%%%')", "SELECT doc_id, line FROM (SELECT doc_id, explode(split(text, '\\n')) AS line FROM {documents}) t WHERE length(line) > 3 AND upper(line) <> line AND NOT contains(line, '%%%')")
-dual("ligatures", "SELECT doc_id, replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl') AS text FROM {documents}")
-dual("glued", "SELECT doc_id, len(regexp_extract_all(text, '[a-z][A-Z]')) >= 2 AS glued FROM {documents}", "SELECT doc_id, regexp_count(text, '[a-z][A-Z]') >= 2 AS glued FROM {documents}")
-dual("ngrams", "WITH w AS (SELECT doc_id, string_split(text, ' ') AS w FROM {documents}) SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM w", "WITH w AS (SELECT doc_id, split(text, ' ') AS w FROM {documents}) SELECT doc_id, transform(filter(sequence(0, size(w)), i -> i < size(w) - 1), i -> w[i] || ' ' || w[i + 1]) AS grams FROM w")
 dual("short_desc", "SELECT doc_id, substr(array_to_string(string_split(text, '. ')[1:2], '. '), 1, 600) AS summary FROM {documents}", "SELECT doc_id, substr(array_join(slice(split(text, '[.] '), 1, 2), '. '), 1, 600) AS summary FROM {documents}")
 dual("dedupe_adjacent_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line",
      "WITH l AS (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents}) SELECT doc_id, pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line")
@@ -44,37 +31,32 @@ dual("unpivot", "SELECT p_partkey, 'size' AS field, CAST(p_size AS DOUBLE) AS va
 dual("rule_rows", "SELECT p_partkey, 'base' AS grp, CAST(p_size AS DOUBLE) AS value, 'given' AS status FROM {part} UNION ALL SELECT p_partkey, 'other', p_size + 0.5, 'rule_derived' FROM {part} WHERE p_size > 10", "SELECT p_partkey, e.grp, double(e.value) AS value, e.status FROM (SELECT p_partkey, explode(filter(array(struct('base' AS grp, double(p_size) AS value, 'given' AS status), struct('other' AS grp, p_size + 0.5D AS value, 'rule_derived' AS status)), x -> x.grp = 'base' OR p_size > 10)) AS e FROM {part}) t")
 _L = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents})"
 _LS = "(SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents})"
-for _name, _head_rule in (("chunk_by_heading", "length(line) < 40"), ("chunk_by_caps", "upper(line) = line")):
-    _q = f"WITH s AS (SELECT *, sum(CASE WHEN {_head_rule} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS seg FROM {{0}} l) SELECT doc_id, CAST(seg AS INTEGER) AS seg, CAST(sum(length(line)) AS BIGINT) AS chars, count(*) AS lines FROM s GROUP BY doc_id, seg HAVING sum(length(line)) >= 60"
-    dual(_name, _q.replace("{0}", _L), _q.replace("{0}", _LS))
 dual("line_kind", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN len(regexp_extract_all(line, '[|]')) >= 4 THEN 'table' WHEN length(line) > 80 THEN 'prose' ELSE 'other' END AS kind FROM {_L} l", f"SELECT doc_id, pos, CASE WHEN regexp_count(line, '[|]') >= 4 THEN 'table' WHEN length(line) > 80 THEN 'prose' ELSE 'other' END AS kind FROM {_LS} l")
-dual("merge_continued", "SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM {conversations} WHERE role = 'user' GROUP BY 1", "SELECT conv_id, array_join(transform(sort_array(collect_list(struct(turn, text))), x -> x.text), chr(10)) AS text FROM {conversations} WHERE role = 'user' GROUP BY 1")
-dual("chunk_ids", "SELECT doc_id, source || '::' || lang || '-' || CAST(row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS VARCHAR) AS chunk_id FROM {documents}", "SELECT doc_id, source || '::' || lang || '-' || row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS chunk_id FROM {documents}")
-_ATTR = "WITH l AS {0}, u AS (SELECT line, min(doc_id) AS page FROM l WHERE length(line) > 20 GROUP BY line HAVING count(*) = 1) SELECT page AS doc_id, count(*) AS unique_lines FROM u GROUP BY 1"
-dual("attribute_page", _ATTR.replace("{0}", _L), _ATTR.replace("{0}", _LS))
-# Lines that are lost when short ones are left out (unless a longer line holds them).
-_COV = "WITH l AS {0}, p AS (SELECT doc_id, {1} AS kept FROM {documents}) SELECT l.doc_id, count(*) AS missing FROM l JOIN p ON l.doc_id = p.doc_id WHERE NOT contains(p.kept, l.line) GROUP BY 1"
-dual("text_coverage", _COV.replace("{0}", _L).replace("{1}", "array_to_string(list_filter(string_split(text, chr(10)), lambda x: length(x) >= 40), chr(10))"), _COV.replace("{0}", _LS).replace("{1}", "array_join(filter(split(text, '\\n'), x -> length(x) >= 40), chr(10))"))
 dual("embed_string", "SELECT doc_id, source || CASE WHEN contains(source, '1') THEN '' ELSE ' 2026' END || ' | ' || lang || chr(10) || text AS s FROM {documents}")
 dual("fill_defaults", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END, ''), 'unknown') AS source, coalesce(lang, 'und') AS lang FROM {documents}")
 dual("dangling_refs", "WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM {pages}) SELECT page_id, href FROM r WHERE href NOT IN (SELECT url FROM {pages} WHERE url IS NOT NULL)", "WITH r AS (SELECT DISTINCT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM {pages}) SELECT page_id, href FROM r LEFT ANTI JOIN {pages} p ON r.href = p.url")
 dual("regex_lines", f"SELECT doc_id, count(DISTINCT lower(line)) AS n FROM {_L} l WHERE regexp_matches(line, '^[A-Z][a-z]+ ') GROUP BY 1", f"SELECT doc_id, count(DISTINCT lower(line)) AS n FROM {_LS} l WHERE line RLIKE '^[A-Z][a-z]+ ' GROUP BY 1")
-# Dialogue
-dual("carry_forward", "SELECT conv_id, turn, last_value(v IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS carried FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role END AS v FROM {conversations}) t",
-     "SELECT conv_id, turn, last_value(v, true) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS carried FROM (SELECT conv_id, turn, CASE WHEN turn % 3 = 0 THEN role END AS v FROM {conversations}) t")
-dual("streak_reset", "WITH f AS (SELECT conv_id, turn, length(text) < 200 AS unclear, sum(CASE WHEN length(text) < 200 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS grp FROM {conversations}) SELECT conv_id, turn, CAST(sum(CASE WHEN unclear THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, grp ORDER BY turn) AS INTEGER) AS streak FROM f")
-dual("guard_calls", "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 0 WHEN length(text) < 20 THEN 0 ELSE least(3, length(text) // 200) END AS calls FROM {conversations}", "SELECT conv_id, turn, CASE WHEN role <> 'user' THEN 0 WHEN length(text) < 20 THEN 0 ELSE least(3, length(text) div 200) END AS calls FROM {conversations}")
 
 
 # What SQL can't express
 @query("fuzzy_join")
 def fuzzy_join(t):
-    """Mentions (names with their last two letters swapped) against all names; the cheap length bound prunes before the UDF."""
+    """Mentions (names with their last two letters swapped) against all names, joined by a bigram that a score of 85 can't do without.
+
+    A ratio of 85 leaves at most 15 % of both lengths unmatched, so of more than that many disjoint bigrams of a mention,
+    one stands in the name unbroken: each mention is joined by its first ones, each name by all of its own.
+    """
     names = t.nation.select(norm_key(F.col("n_name")).alias("key"), "n_nationkey")
     asked = names.select(F.col("n_nationkey").alias("asked"), F.expr("concat(substr(key, 1, length(key) - 2), reverse(right(key, 2)))").alias("mention"))
     la, lb = F.length("mention"), F.length("key")
-    pairs = asked.crossJoin(F.broadcast(names)).where(200 * F.least(la, lb) >= 85 * (la + lb))  # 25 catalogue names on either side
-    return pairs.withColumn("score", fuzzy_score("mention", "key")).where("score >= 85").withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "n_nationkey"))).where("k <= 3").drop("k")
+    grams = lambda c, step: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 1, F.lit(1)), F.lit(step)), lambda i: F.substr(c, i, F.lit(2))))
+    # Unmatched letters: 0.15 * (la + lb) at most, and lb <= la * 1.15 / 0.85. Each can break one disjoint bigram.
+    broken = F.floor(0.15 * (la + la * 1.15 / 0.85)).cast("int") + 1
+    left = asked.withColumn("gram", F.explode(F.slice(grams(F.col("mention"), 2), F.lit(1), broken)))
+    short = asked.where(F.floor(la / 2) < broken).select("asked", "mention", F.lit("").alias("gram"))  # too few bigrams: all names of near length
+    right = names.withColumn("gram", F.explode(F.concat(grams(F.col("key"), 1), F.array(F.lit("")))))
+    pairs = left.unionByName(short).join(right, "gram").drop("gram").distinct().where(200 * F.least(la, lb) >= 85 * (la + lb))
+    return with_fuzzy_score(pairs, "mention", "key").withColumn("k", F.row_number().over(Window.partitionBy("asked").orderBy(F.desc("score"), "n_nationkey"))).where("k <= 3 AND score >= 85").drop("k")
 
 
 def _of_pages(name: str, f, kind: str):
@@ -92,22 +74,23 @@ _of_pages("html_facts", lambda h, u: [f"{k}={v}" for k, v in html.facts(h).items
 _of_pages("html_tables", lambda h, u: ["|".join(r) for tb in html.tables(h) for r in tb], "array<string>")
 
 
-def _of_documents(name: str, f):
-    @query(name)
+def _of_documents(name: str, f, sql: str | None = None):
+    @query(name, sql)
     def run(t):
         udf = F.pandas_udf(lambda s: pd.Series([f(x or "") for x in s]), "array<string>")
         return t.documents.select("doc_id", udf("text").alias("pieces"))
 
 
-_of_documents("pack_paragraphs", lambda x: chunks.pack(x.split("\n")))
-_of_documents("carry_short", lambda x: chunks.carry_short(x.split("\n")))
+#: A piece starts at the first line with text after the one before, and ends at the first line with which it has {0} characters; a tail of
+#: under {1} joins the piece before it. The line that ends a piece is found for each start at once, the recursion only follows them.
+_FOLD = """WITH RECURSIVE l AS (SELECT doc_id, i, line, length(line) AS n, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS c FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM documents)),
+starts AS (SELECT doc_id, i AS s, c - n + {0} AS wanted FROM l WHERE n > 0), e AS (SELECT s.doc_id, s.s, l.i AS e FROM starts s ASOF LEFT JOIN l ON s.doc_id = l.doc_id AND s.wanted <= l.c),
+step AS (SELECT e.doc_id, e.s, e.e, n.s AS next FROM e ASOF LEFT JOIN starts n ON e.doc_id = n.doc_id AND e.e < n.s),
+r AS (SELECT doc_id, min(s) AS s, 1 AS k FROM starts GROUP BY 1 UNION ALL SELECT r.doc_id, step.next, k + 1 FROM r JOIN step USING (doc_id, s) WHERE step.e IS NOT NULL AND step.next IS NOT NULL),
+p AS (SELECT r.doc_id, r.k, step.e IS NULL AS tail, string_agg(l.line, chr(10) ORDER BY l.i) AS piece FROM r JOIN step USING (doc_id, s) JOIN l ON l.doc_id = r.doc_id AND l.i >= r.s AND l.i <= coalesce(step.e, 1000000000) GROUP BY ALL),
+m AS (SELECT doc_id, k - CASE WHEN tail AND k > 1 AND length(piece) < {1} THEN 1 ELSE 0 END AS g, k, piece FROM p), j AS (SELECT doc_id, g, string_agg(piece, chr(10) ORDER BY k) AS piece FROM m GROUP BY ALL)
+SELECT d.doc_id, coalesce((SELECT list(piece ORDER BY g) FROM j WHERE j.doc_id = d.doc_id), []) AS pieces FROM documents d"""
+_of_documents("pack_paragraphs", lambda x: chunks.pack(x.split("\n")), _FOLD.format(chunks.TARGET, chunks.LEAST))
+_of_documents("carry_short", lambda x: chunks.carry_short(x.split("\n")), _FOLD.format(chunks.SHORT, 0))
 _of_documents("split_clauses", lambda x: chunks.split_clauses("doc", x))
-_of_documents("split_long", chunks.split_long)
 _of_documents("span_scan", lambda x: [f"{a}:{z}:{p}" for a, z, p in chunks.spans(x, ["of the", "the", "in", "de la", "la"])])
-
-
-@query("context_fold")
-def context_fold(t):
-    """Per conversation, the roles seen so far after each turn: a fold over the ordered turns."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, 0)
-    return t.conversations.select("conv_id", "turn", F.sort_array(F.collect_set("role").over(w)).alias("seen"))

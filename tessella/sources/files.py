@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-BOM = "﻿"
 
 
 def strings(columns: Sequence[str]) -> T.StructType:

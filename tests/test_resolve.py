@@ -2,9 +2,18 @@
 
 import random
 
-from tessella.functions.text import indel_ratio, window_ratio
+from tessella.functions.text import indel_ratio
 from tessella.operators.resolve import resolve
 
+
+
+def best_run(query, key):
+    """The best ratio with the key, or with a run of its words that is at most one word shorter or longer than a query of several."""
+    w, n = key.split(" "), query.count(" ") + 1
+    pieces = {key} | {" ".join(w[i:j]) for i in range(len(w)) for j in range(i + 1, len(w) + 1) if abs(j - i - n) < 2 and 1 < n < len(w)}
+    return max(indel_ratio(query, p) for p in pieces)
+
+
 ENTRIES = [
     ("IT1", "program", "IT1", "unique", "code"), ("Computer Science", "program", "IT1", "unique", "name"), ("CS", "program", "IT1", "unique", "abbrev"),
     ("IT2", "program", "IT2", "unique", "code"), ("Computer Engineering", "program", "IT2", "unique", "name"),
@@ -52,7 +61,7 @@ def plain(mention, names):
             if stage == "words":
                 score = indel_ratio(mention, k) if f" {mention} " in f" {k} " else 0.0
             else:
-                score = window_ratio(mention, k)
+                score = best_run(mention, k)
             if score >= (85.0 if stage == "spelling" else 1e-9):
                 best[c] = max(best.get(c, 0.0), score)
         ranked = sorted(best, key=lambda c: (-best[c], c))

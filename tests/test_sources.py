@@ -55,3 +55,23 @@ def test_incremental_load(spark):
     with pytest.raises(sinks.Rejected) as e:
         sinks.add_missing(old, new.where("id <> 'a'").replace("z", "y"), "id", ["text"])
     assert e.value.found == {"gone": 1}
+
+
+def test_html_tables_nest_and_pages_may_be_broken():
+    from tessella.functions import html
+
+    assert html.tables("<table><tr><td>a<table></table>b</td></tr></table>") == [[["ab"]]]
+    assert html.tables("<table><tr><td>a<table><tr><td>in<td>two</table>b<td>c") == [[["ab", "c"]], [["in", "two"]]]
+    assert html.tables("<table><tr><td>x</td></tr></table><td>loose</td>") == [[["x"]]]
+    assert html.tables("</td></table><tr><td>q</td><table><td>no row</table>") == [[["no row"]]]
+    assert html.tables(None) == [] and html.main_text("<p>one<p>one<nav>menu</nav><p>two") == "one\ntwo"
+    assert html.links('<a href="//[x">bad</a><a href="/b">b</a><a href="u">self</a>', "http://h/u") == [("http://h/b", "b")]
+    assert html.facts("<p>Phone: 12<p>Phone: 13<p>no colon") == {"Phone": "12"}
+
+
+def test_html_rows_by_header():
+    from tessella.functions import html
+
+    page = "<table><tr><th>Skip</th></tr></table><table><tr><td>title<tr><th>Code<th>Full name<th>Day<tr><td>Group A<tr><td>1<td>one<td>✓<tr><td>Group B<td><td><tr><td>2<td>two<td></table>"
+    assert html.table_rows(page, ("code", "name")) == [{"group": "Group A", "Code": "1", "Full name": "one", "Day": "x"}, {"group": "Group B", "Code": "2", "Full name": "two", "Day": ""}]
+    assert html.table_rows(page, ("nowhere",)) == []
