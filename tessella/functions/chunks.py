@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 
 TARGET, LEAST, SHORT, LONG, NEAR = 1200, 200, 200, 2500, 1800
 
@@ -88,3 +89,20 @@ def spans(text: str, phrases: list[str]) -> list[tuple[int, int, str]]:
                 taken[m.start() : m.end()] = [True] * (m.end() - m.start())
                 out.append((m.start(), m.end(), p))
     return sorted(out)
+
+
+def folded(text: str) -> tuple[str, list[int]]:
+    """The text in lower case without accents, anything but letters and digits a space, and for each of its characters the place in `text`."""
+    out, at = [], []
+    for i, c in enumerate(text):
+        for x in unicodedata.normalize("NFD", "d" if c in "đĐ" else c.lower()):
+            if not unicodedata.combining(x):
+                out.append(x if x.isalnum() else " ")
+                at.append(i)
+    return "".join(out), at
+
+
+def folded_spans(text: str, phrases: list[str]) -> list[tuple[int, int, str]]:
+    """spans() of phrases in the folded text, as places in the text itself."""
+    plain, at = folded(text)
+    return [(at[a], at[z - 1] + 1, p) for a, z, p in spans(plain, phrases)]

@@ -24,18 +24,12 @@ dual("deictic", "SELECT conv_id, turn, lower(trim(text)) IN ('that', 'this', 'it
 dual("short_desc", "SELECT doc_id, substr(array_to_string(string_split(text, '. ')[1:2], '. '), 1, 600) AS summary FROM {documents}", "SELECT doc_id, substr(array_join(slice(split(text, '[.] '), 1, 2), '. '), 1, 600) AS summary FROM {documents}")
 dual("dedupe_adjacent_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line",
      "WITH l AS (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents}) SELECT doc_id, pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line")
-dual("token_overlap_match", "WITH w AS (SELECT DISTINCT p_partkey, unnest(string_split(p_type, ' ')) AS t FROM {part}), c AS (SELECT p_partkey, k, count(*) AS n FROM w JOIN (VALUES ('steel', 'STEEL'), ('steel', 'SMALL'), ('brass', 'BRASS'), ('brass', 'LARGE')) AS q(k, t) USING (t) GROUP BY 1, 2) SELECT p_partkey, k, n FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, k) AS r FROM c) x WHERE r = 1",
-     "WITH w AS (SELECT DISTINCT p_partkey, explode(split(p_type, ' ')) AS t FROM {part}), c AS (SELECT p_partkey, k, count(*) AS n FROM w JOIN (VALUES ('steel', 'STEEL'), ('steel', 'SMALL'), ('brass', 'BRASS'), ('brass', 'LARGE')) AS q(k, t) USING (t) GROUP BY 1, 2) SELECT p_partkey, k, n FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY n DESC, k) AS r FROM c) x WHERE r = 1")
 # Documents
 dual("unpivot", "SELECT p_partkey, 'size' AS field, CAST(p_size AS DOUBLE) AS value FROM {part} UNION ALL SELECT p_partkey, 'price', p_retailprice FROM {part}", "SELECT p_partkey, stack(2, 'size', double(p_size), 'price', p_retailprice) AS (field, value) FROM {part}")
 dual("rule_rows", "SELECT p_partkey, 'base' AS grp, CAST(p_size AS DOUBLE) AS value, 'given' AS status FROM {part} UNION ALL SELECT p_partkey, 'other', p_size + 0.5, 'rule_derived' FROM {part} WHERE p_size > 10", "SELECT p_partkey, e.grp, double(e.value) AS value, e.status FROM (SELECT p_partkey, explode(filter(array(struct('base' AS grp, double(p_size) AS value, 'given' AS status), struct('other' AS grp, p_size + 0.5D AS value, 'rule_derived' AS status)), x -> x.grp = 'base' OR p_size > 10)) AS e FROM {part}) t")
 _L = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents})"
 _LS = "(SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents})"
-dual("line_kind", f"SELECT doc_id, CAST(pos AS INTEGER) AS pos, CASE WHEN len(regexp_extract_all(line, '[|]')) >= 4 THEN 'table' WHEN length(line) > 80 THEN 'prose' ELSE 'other' END AS kind FROM {_L} l", f"SELECT doc_id, pos, CASE WHEN regexp_count(line, '[|]') >= 4 THEN 'table' WHEN length(line) > 80 THEN 'prose' ELSE 'other' END AS kind FROM {_LS} l")
 dual("embed_string", "SELECT doc_id, source || CASE WHEN contains(source, '1') THEN '' ELSE ' 2026' END || ' | ' || lang || chr(10) || text AS s FROM {documents}")
-dual("fill_defaults", "SELECT doc_id, coalesce(nullif(CASE WHEN doc_id % 4 = 0 THEN '' ELSE source END, ''), 'unknown') AS source, coalesce(lang, 'und') AS lang FROM {documents}")
-dual("dangling_refs", "WITH r AS (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM {pages}) SELECT page_id, href FROM r WHERE href NOT IN (SELECT url FROM {pages} WHERE url IS NOT NULL)", "WITH r AS (SELECT DISTINCT page_id, explode(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM {pages}) SELECT page_id, href FROM r LEFT ANTI JOIN {pages} p ON r.href = p.url")
-dual("regex_lines", f"SELECT doc_id, count(DISTINCT lower(line)) AS n FROM {_L} l WHERE regexp_matches(line, '^[A-Z][a-z]+ ') GROUP BY 1", f"SELECT doc_id, count(DISTINCT lower(line)) AS n FROM {_LS} l WHERE line RLIKE '^[A-Z][a-z]+ ' GROUP BY 1")
 
 
 # What SQL can't express

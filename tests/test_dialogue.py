@@ -47,3 +47,10 @@ def test_long_text_is_split_without_loss():
 
 def test_carried_sections():
     assert carry_short(["a" * 10, "b" * 300, "c" * 5]) == ["a" * 10 + "\n" + "b" * 300, "c" * 5] and carry_short([]) == []
+
+
+def test_folded_spans_keep_their_places():
+    from tessella.functions.chunks import folded_spans
+
+    for text, want in (("Für THE-thé!", [("Für", "fur"), ("THE", "the"), ("thé", "the")]), ("étude of  the", [("the", "the")]), ("Of the thing", [("Of the", "of the")]), ("Đe la mer", [("Đe la", "de la")]), ("", [])):
+        assert [(text[a:z], p) for a, z, p in folded_spans(text, ["of the", "the", "fur", "de la", "la"])] == want

@@ -82,6 +82,7 @@ EXPECTED = {
     "split_clauses": of_documents(lambda x: chunks.split_clauses("doc", x)),
     "split_long": of_documents(lambda x: chunks.split_long(x, "[doc]")),
     "span_scan": of_documents(spans),
+    "span_scan_folded": of_documents(lambda x: [f"{a}:{z}:{p}" for a, z, p in chunks.folded_spans(x, ["of the", "the", "fur", "de la", "la"])]),
 }
 SQL = catalog.oracle_sql()
 
