@@ -88,3 +88,21 @@ def add_missing(old: DataFrame, new: DataFrame, key: str, content: Sequence[str]
     if found:
         raise Rejected(found)
     return new.select(*old.columns)
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; nulls are empty cells, quotes within cells are doubled."""
+    df.write.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """A JSON object a line, null fields included."""
+    df.write.option("ignoreNullFields", False).json(path)
+
+
+def upserted(old: DataFrame, new: DataFrame, key: str, id_column: str = "point_id") -> DataFrame:
+    """`old` with the rows of `new` in place of those of the same key; ids follow from the key, so that a second run changes nothing.
+    Of repeated keys in `new` the row that sorts first stays. Null keys are left out."""
+    one = new.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*[c for c in new.columns if c != key])).alias("row")).select(key, "row.*")
+    one = one.withColumn(id_column, F.sha2(F.col(key).cast("string"), 256))
+    return old.join(one.select(key), key, "left_anti").unionByName(one.select(*old.columns))

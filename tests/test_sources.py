@@ -75,3 +75,26 @@ def test_html_rows_by_header():
     page = "<table><tr><th>Skip</th></tr></table><table><tr><td>title<tr><th>Code<th>Full name<th>Day<tr><td>Group A<tr><td>1<td>one<td>✓<tr><td>Group B<td><td><tr><td>2<td>two<td></table>"
     assert html.table_rows(page, ("code", "name")) == [{"group": "Group A", "Code": "1", "Full name": "one", "Day": "x"}, {"group": "Group B", "Code": "2", "Full name": "two", "Day": ""}]
     assert html.table_rows(page, ("nowhere",)) == []
+
+
+def test_csv_and_json_lines_read_back(spark, tmp_path):
+    from tessella.sources import sinks
+
+    rows = [(1, 'a "b", c', None), (2, "", "x\ny")]
+    df = spark.createDataFrame(rows, "k int, a string, b string")
+    sinks.write_csv(df.select("k", "a"), f"{tmp_path}/c")
+    back = spark.read.schema("k int, a string").option("header", True).option("escape", '"').csv(f"{tmp_path}/c").collect()
+    assert sorted((r["k"], r["a"] or "") for r in back) == [(1, 'a "b", c'), (2, "")]
+    sinks.write_jsonl(df, f"{tmp_path}/j")
+    assert sorted(tuple(r) for r in spark.read.schema("k int, a string, b string").json(f"{tmp_path}/j").collect()) == rows
+
+
+def test_upsert_is_idempotent(spark):
+    from tessella.sources import sinks
+
+    shape = "k int, v string, point_id string"
+    new = spark.createDataFrame([(1, "b"), (1, "a"), (3, "c"), (None, "d")], "k int, v string")
+    once = sinks.upserted(spark.createDataFrame([(1, "old", "x"), (2, "kept", "y")], shape), new, "k")
+    again = sinks.upserted(once, new, "k")
+    got = sorted((r["k"], r["v"]) for r in once.collect())
+    assert got == [(1, "a"), (2, "kept"), (3, "c")] and sorted(map(tuple, again.collect())) == sorted(map(tuple, once.collect()))
