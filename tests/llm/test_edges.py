@@ -54,7 +54,7 @@ def run_all(spark, docs, pages, chats, vectors, labels, bench):
     return {
         "chat": chat.format_chats(chats).count(), "mix": mixing.mix(docs).count(), "jaccard": jaccard.jaccard_components(docs).count(), "near": jaccard.deduplicate(docs).count(),
         "nearest": ann.nearest(vectors, lambda i: i % 100 == 0).count(), "lm": lm.lm_scores(docs).count(), "tokens": tokenbin.read_tokens(tokenbin.write_tokens(docs, scratch(spark, "test-tokens"))).count(),
-        "quality": quality.quality_scores(docs, labels).count(), "leaks": decontam.decontaminate(docs, bench).count(), "urls": urls.filter_urls(pages).count(),
+        "quality": quality.quality_scores(docs, labels).count(), "leaks": decontam.decontaminate(docs, bench).count(), "urls": urls.filter_urls(pages).count(), "warc": warc.read_archives(warc.write_archives(pages, scratch(spark, "test-warc"))).count(),
     }
 
 
@@ -70,4 +70,4 @@ def test_clashing_columns_and_empty_tables(spark, empty):
     else:
         n = tables[0].count()
         assert got["jaccard"] == got["lm"] == got["tokens"] == got["quality"] == got["leaks"] == n
-        assert (got["chat"], got["urls"], got["nearest"]) == (1, 2, 1) and got["near"] == n - 1
+        assert (got["chat"], got["urls"], got["warc"], got["nearest"]) == (1, 2, 2, 1) and got["near"] == n - 1
