@@ -49,33 +49,41 @@ def mixture(sizes: DataFrame, seed: str = SEED, partial: bool = True, **how) ->
     `sizes` (doc_id, source, size) is a written table. Each document is taken `whole` times; for the fraction that is
     left, documents follow in the seeded order: those before `cut` once more, those at `cut` share `rest` words, `tied`
     being their size together (rows of one doc_id stand at the same place). The place of the cut is found by sums over
-    65,536 ranges of the order in each source, then within one range: no task holds a source, nothing is collected.
+    256 ranges of the order in each source, over 256 ranges of one of these, then within one of those: no task holds a
+    source, nothing is collected.
     """
     per = targets(sizes, **how)
     per = per.withColumn("words", F.round("target").cast("long"))
     per = per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("words") / F.col("source_size"))).otherwise(0).cast("long"))
     per = saved(per.withColumn("extra", F.col("words") - F.col("whole") * F.col("source_size")), "mix-sources")
     placed = sizes.select("source", "size", _order(F.col("doc_id"), seed).alias("place"))
-    ranges = placed.groupBy("source", F.substring("place", 1, 4).alias("range")).agg(F.sum("size").alias("n"))
-    upto = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)
-    ranges = ranges.withColumn("before", F.sum("n").over(upto) - F.col("n"))
-    one = ranges.alias("r").join(per.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")))
-    one = one.where((F.col("before") <= F.col("extra")) & (F.col("extra") < F.col("before") + F.col("n")) & (F.col("extra") > 0))
-    one = saved(one.select("r.source", "range", (F.col("extra") - F.col("before")).alias("rest")), "mix-ranges")
-    within = placed.alias("p").join(one.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source")) & (F.substring("p.place", 1, 4) == F.col("o.range")))
-    within = within.groupBy("p.source", "place", "rest").agg(F.sum("size").alias("tied"))
-    upto = Window.partitionBy("source").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
-    within = within.withColumn("before", F.sum("tied").over(upto) - F.col("tied"))
-    cuts = within.where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("tied")))
-    cuts = cuts.select("source", F.col("place").alias("cut"), (F.col("rest") - F.col("before")).alias("rest"), "tied")
+    ranges = saved(placed.groupBy("source", F.substring("place", 1, 4).alias("place")).agg(F.sum("size").alias("n")), "mix-places")
+    asked = per.where("extra > 0").select("source", F.lit("").alias("range"), F.col("extra").alias("rest"))
+    for width in (2, 4):
+        asked = _reached(_within(ranges, asked).groupBy("p.source", F.substring("place", 1, width).alias("range"), "rest").agg(F.sum("n").alias("n")), "range", "n")
+        asked = asked.select("source", "range", (F.col("rest") - F.col("before")).alias("rest"))
+    one = saved(asked, "mix-ranges")
+    within = _reached(_within(placed, one).groupBy("p.source", "place", "rest").agg(F.sum("size").alias("tied")), "place", "tied")
+    cuts = within.select("source", F.col("place").alias("cut"), (F.col("rest") - F.col("before")).alias("rest"), "tied")
     plan = per.alias("s").join(cuts.alias("c"), F.col("s.source").eqNullSafe(F.col("c.source")), "left")
     rest = F.coalesce("rest", F.lit(0)) if partial else F.when(F.col("rest") * 2 >= F.col("tied"), F.col("tied")).otherwise(0)
     plan = plan.select("s.source", "source_size", "target", "whole", F.coalesce("cut", F.lit("")).alias("cut"), rest.cast("long").alias("rest"), F.coalesce("tied", F.lit(1)).alias("tied"))
     plan = saved(plan, "mix-plan")
-    dropped(per, one)
+    dropped(per, ranges, one)
     return plan
 
 
+def _within(places: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The places (p) that start as their source's range (o) does."""
+    return places.alias("p").join(ranges.alias("o"), F.col("p.source").eqNullSafe(F.col("o.source")) & F.col("p.place").startswith(F.col("o.range"))).select("p.*", "o.rest").alias("p")
+
+
+def _reached(sums: DataFrame, order: str, n: str) -> DataFrame:
+    """Of each source, in order, the row in which the sum of n reaches beyond `rest`, with the sum before it."""
+    upto = Window.partitionBy("source").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return sums.withColumn("before", F.sum(n).over(upto) - F.col(n)).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col(n)))
+
+
 def with_taken(docs: DataFrame, plan: DataFrame, seed: str = SEED, size: str = "size") -> DataFrame:
     """`docs` (doc_id, source, size and more) with the plan's columns and taken, the words that the mix takes of each. Columns of these names are replaced."""
     place = _order(F.col("d.doc_id"), seed)
@@ -98,6 +106,7 @@ def mix(documents: DataFrame, **how) -> DataFrame:
     """
     sizes = sizes_of(documents)
     plan = mixture(sizes, partial=False, **how)
+    dropped(sizes)
     rows = documents.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("row"))
     rows = with_taken(rows, plan)
     rows = rows.withColumn("copies", (F.col("whole") + (F.col("extra") > 0).cast("long")).cast("int")).where("copies > 0")
