@@ -587,10 +587,8 @@ def deduplicate(documents: DataFrame, size: int = SHINGLE, percent: int = PERCEN
     """The documents, in their own columns, of which one of each component stays: that with the smallest doc_id.
     Rows of one doc_id stay or go together; rows with a null id stay, as do texts without words."""
     found = jaccard_components(documents.select("doc_id", "text"), size, percent)
-    out = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    columns = documents.columns
-    kept = documents.join(out, F.col("doc_id") == F.col("_gone"), "left_anti")
-    return kept.select(*columns)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return documents.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left_anti")
 
 
 def op4_jaccard(spark, sf_dir: str) -> DataFrame:
