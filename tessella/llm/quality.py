@@ -96,18 +96,24 @@ def class_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     """The share of positives among unlabelled rows, by the smallest ratio of the two tails of a positive-against-unlabelled score.
 
     Above any threshold lie at least prior * (share of positives above it) of the unlabelled rows, and where a region is
-    free of negatives the ratio is the prior. Fitted on one half, measured on the other; tails of under a tenth of the
-    positives are too noisy and left out, each ratio's upper confidence bound is taken.
+    free of negatives the ratio is the prior; so the smallest ratio is no less than it, but for noise. Each half is
+    scored by a fit on the other. Tails of at least half of the positives count, and each ratio less a standard error of
+    both shares: a prior that is too high keeps negatives, one that is a little low costs nothing. One row of a kind
+    can't be halved: 0.5.
     """
-    half = _fit(positive[::2], unlabelled[::2], None, steps=200)
-    sp, su = np.sort(half.score(positive[1::2])), np.sort(half.score(unlabelled[1::2]))
-    if len(sp) < 20 or len(su) < 20:
+    if min(len(positive), len(unlabelled)) < 2:
         return 0.5
-    cuts = np.unique(np.quantile(sp, np.linspace(0, 0.9, 91)))
+    sp, su = [], []
+    for k in (0, 1):
+        half = _fit(positive[k::2], unlabelled[k::2], None, steps=200)
+        sp.append(half.score(positive[1 - k :: 2]))
+        su.append(half.score(unlabelled[1 - k :: 2]))
+    sp, su = np.sort(np.concatenate(sp)), np.sort(np.concatenate(su))
+    cuts = np.unique(np.quantile(sp, np.linspace(0, 0.5, 51)))
     tp = 1 - np.searchsorted(sp, cuts, "left") / len(sp)
     tu = 1 - np.searchsorted(su, cuts, "left") / len(su)
-    ratio = (tu + np.sqrt(tu * (1 - tu) / len(su))) / np.maximum(tp - np.sqrt(tp * (1 - tp) / len(sp)), 1e-9)
-    return float(np.clip(ratio[tp >= 0.1].min(), 0.02, 0.98))
+    ratio = (tu - np.sqrt(tu * (1 - tu) / len(su))) / (tp + np.sqrt(tp * (1 - tp) / len(sp)))
+    return float(np.clip(ratio[tp >= 0.5].min(initial=1.0), 0.02, 0.98))
 
 
 def _measure(documents: DataFrame) -> DataFrame:
@@ -141,14 +147,11 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model
     rows = documents.select("doc_id", F.col("text").cast("string").alias("text")).join(chosen, "doc_id").dropDuplicates(["doc_id", "positive"])
     got = _measure(rows.select("positive", "text")).collect()
     x, y = np.array([r["x"] for r in got]), np.array([r["positive"] for r in got])
-    # Where some labels are 0, the labelled rows' own share of 1 estimates the prior; the fit sees positives alone.
-    seen = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (crc_fold("doc_id", FOLDS) != 0)).agg(F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)).first()
     order = np.lexsort(x.T[::-1])  # rows arrive in any order; the fit must not depend on it
     x, y = x[order], y[order]
     shuffled = np.random.default_rng(0).permutation(len(x))
     x, y = x[shuffled], y[shuffled]
-    prior = float(np.clip((seen[0] + 1) / (seen[0] + seen[1] + 2), 0.02, 0.98)) if seen[1] else class_prior(x[y], x[~y])
-    return _fit(x[y], x[~y], prior)
+    return _fit(x[y], x[~y], class_prior(x[y], x[~y]))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
