@@ -6,10 +6,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import saved
+from tessella.llm._common import dropped, saved
 
-#: Tokens in a window; an item of fewer is one window, from LEAST tokens on. Literal tokens that a window needs.
-WINDOW, LEAST, LITERALS = 8, 5, 4
+#: Tokens in a window; an item of fewer is one window, from LEAST tokens on. Literal tokens that a window needs. Items without such a
+#: window are looked for word for word; of fewer than BRIEF tokens, as the whole of a document.
+WINDOW, LEAST, LITERALS, BRIEF = 8, 5, 4, 3
 #: Share of an item's windows that must match for the document to be contaminated by it.
 COVERAGE = 0.5
 #: Altered copies: tokens that diagonals may be apart, tokens of the shortest run that counts, and of a run that is enough by itself.
@@ -57,14 +58,14 @@ def _is_slot(t: Column) -> Column:
 
 def _items(benchmark: DataFrame) -> DataFrame:
     """item_id, raw, words, folded, size: the items' tokens, caseless, as templates and folded."""
-    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("line")).dropDuplicates()
-    items = items.select("item_id", F.split(caseless(F.col("line")), " ").alias("raw"), F.split(templated(F.col("line")), " ").alias("words"), F.split(folded(F.col("line")), " ").alias("folded")).where(F.size("words") >= LEAST)
+    items = benchmark.where(F.col("item_id").isNotNull()).select("item_id", tokens(F.col("text")).alias("line")).where("line <> ''").dropDuplicates()
+    items = items.select("item_id", F.split(caseless(F.col("line")), " ").alias("raw"), F.split(templated(F.col("line")), " ").alias("words"), F.split(folded(F.col("line")), " ").alias("folded"))
     return items.withColumn("size", F.least(F.lit(WINDOW), F.size("words")))
 
 
 def _item_windows(items: DataFrame) -> DataFrame:
     """item_id, size, at, window, folded, slots, item_windows: the windows of each item that hold LITERALS literal tokens; slots are caseless."""
-    rows = items.select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
+    rows = items.where(F.size("words") >= LEAST).select("*", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("size"))).alias("at"))
     rows = rows.select("item_id", "size", "at", *(F.slice(c, F.col("at") + 1, F.col("size")).alias(n) for c, n in (("words", "window"), ("folded", "folded"), ("raw", "slots"))))
     rows = rows.where(F.size(F.filter("window", lambda t: ~_is_slot(t))) >= F.least(F.lit(LITERALS), F.col("size") - 1))
     counts = rows.groupBy("item_id").agg(F.countDistinct("size", "at").alias("item_windows"))
@@ -82,6 +83,8 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
     as many of the item's tokens match, in runs of RUN at least, as an unbroken copy of that share would have, or LONG
     in one run; the kind is altered then, n_windows counts those diagonals' windows, and slots at a run's edge aren't
     compared, as they may stand for more tokens than one.
+    An item without a window of LITERALS literal tokens (short ones, or all numbers and names) is held where half of its
+    windows match word for word, whatever their letter case; of fewer than BRIEF tokens, where it is the whole document.
     All windows of all whole texts are looked at. Only places whose first three tokens start some window of the
     benchmark, as a template or folded, get a window hash and a row, if the benchmark is small enough for a literal set; otherwise all places do.
     Null ids take no part, null and empty texts hold nothing; rows of one doc_id are told apart by their text.
@@ -115,7 +118,38 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, coverage: float = COV
     exact = F.forall("pairs", lambda p: p["i"] == p["v"])
     best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", exact.alias("exact"), (-F.col("diagonal")).alias("first"), F.size("pairs").cast("long").alias("n_slots"), "item_windows")).alias("best"))
     best = best.select("doc_id", "item_id", F.col("best.n_windows").alias("n_windows"), F.col("best.item_windows").alias("item_windows"), F.col("best.n_slots").alias("n_slots"), F.when(F.col("best.exact"), "exact").otherwise("reparameterised").alias("kind"))
-    return best.unionByName(_altered(texts, items, groups, found, coverage))
+    best = best.unionByName(_altered(texts, items, groups, found, coverage))
+    plain = saved(_plain_windows(items, wanted), "leak-plain")
+    leaks = saved(best if plain.isEmpty() else best.unionByName(_plain_leaks(docs, plain, coverage)), "leaks")
+    dropped(wanted, groups, plain)
+    return leaks
+
+
+def _plain_windows(items: DataFrame, wanted: DataFrame) -> DataFrame:
+    """item_id, n, size, at, item_windows, key: the windows of caseless tokens of the items that have none with enough literals."""
+    rows = items.join(wanted.select("item_id").distinct(), "item_id", "left_anti")
+    rows = rows.select("item_id", F.size("raw").alias("n"), "size", (F.size("raw") - F.col("size") + 1).cast("long").alias("item_windows"), "raw", F.explode(F.sequence(F.lit(0), F.size("raw") - F.col("size"))).alias("at"))
+    return rows.select("item_id", "n", "size", "at", "item_windows", F.slice("raw", F.col("at") + 1, F.col("size")).alias("key"))
+
+
+def _plain_leaks(docs: DataFrame, plain: DataFrame, coverage: float) -> DataFrame:
+    """The rows of find_leaks of such items: windows of equal tokens, whatever their letter case, on one diagonal."""
+    hits = None
+    for r in plain.groupBy("size").agg(F.count("*").alias("n")).collect():  # WINDOW rows at most
+        size, of = r["size"], plain.where(F.col("size") == r["size"])
+        places = F.sequence(F.lit(0), F.size("values") - size)
+        if r["n"] <= INLINE:
+            lead = min(3, size)
+            starts = [x[0] for x in of.select(F.xxhash64(*(F.get("key", F.lit(k)) for k in range(lead)))).distinct().collect()]
+            places = F.filter(places, lambda i: F.xxhash64(*(F.get("values", i + k) for k in range(lead))).isin(starts))  # noqa: B023
+        cut = lambda i: F.struct(i.alias("place"), F.slice("values", i + 1, F.lit(size)).alias("key"))  # noqa: B023, E731
+        rows = docs.where(F.size("values") >= size).select("doc_id", "version", F.size("values").alias("length"), F.explode(F.transform(places, cut)).alias("w")).select("doc_id", "version", "length", "w.*")
+        both = rows.withColumn("hash", F.xxhash64("key")).alias("d").join(of.withColumn("hash", F.xxhash64("key")).alias("b"), (F.col("d.hash") == F.col("b.hash")) & (F.col("d.key") == F.col("b.key")))
+        both = both.where((F.col("n") >= BRIEF) | (F.col("n") == F.col("length"))).select("doc_id", "version", "item_id", "item_windows", (F.col("place") - F.col("at")).alias("diagonal"), "at")
+        hits = both if hits is None else hits.unionByName(both)
+    found = hits.groupBy("doc_id", "version", "item_id", "diagonal").agg(F.first("item_windows").alias("item_windows"), F.countDistinct("at").alias("n_windows")).where(F.col("n_windows") >= coverage * F.col("item_windows"))
+    best = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "item_windows")).alias("best"))
+    return best.select("doc_id", "item_id", "best.n_windows", "best.item_windows", F.lit(0).cast("long").alias("n_slots"), F.lit("exact").alias("kind"))
 
 
 def _tokenized(texts: DataFrame, *kept: str) -> DataFrame:
@@ -165,8 +199,8 @@ def _starts_in(starts: list[int]):
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """The documents, in their own columns, that hold no benchmark item. Rows with a null id stay."""
-    leaks = find_leaks(documents, benchmark, **how).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(leaks, F.col("doc_id") == F.col("_leaked"), "left_anti")
+    leaks = find_leaks(documents, benchmark, **how).select("doc_id").distinct()
+    return documents.alias("d").join(leaks.alias("l"), F.col("d.doc_id") == F.col("l.doc_id"), "left_anti")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
