@@ -12,6 +12,8 @@ from tessella.llm._common import dropped, release, saved
 
 #: Bytes of text in one suffix array, and bytes of text of the whole table for each bucket of keys.
 SHARD, BUCKET = 8 << 20, 4 << 20
+#: Parts of a language's phrases, of each of which the first ones are taken before all are ranked.
+PARTS = 64
 #: Kinds of bytes: of words, between words, between pieces.
 _KIND = np.zeros(256, np.uint8)
 _KIND[[0x20, 0x09]] = 1
@@ -260,7 +262,10 @@ def collocations(docs: DataFrame, shortest: int = 2, longest: int = 3, least: in
     longer = longer.groupBy("lang", joined(F.col("first"), F.col("count")).alias("phrase")).agg(F.max("a").alias("most"))
     kept = lowest.join(longer, ["lang", "phrase"], "left").where(F.col("most").isNull() | (F.lit(100) * F.col("most") < F.lit(inside) * F.col("a")))
     kept = kept.select("lang", "phrase", "a", "cut.l", "cut.r", "cut.score")
-    best = kept.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    ranked = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), F.desc("a"), "phrase"))
+    # The first of each part of a language, so that what meets in one task has a bound whatever the number of tasks before.
+    best = kept.withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).withColumn("rank", ranked("lang", "part")).where(F.col("rank") <= top)
+    best = best.drop("part").withColumn("rank", ranked("lang")).where(F.col("rank") <= top)
     out = saved(best.join(totals, "lang").select("lang", F.col("rank").cast("long"), "phrase", "a", "l", "r", "n", "score"), "collocations")
     dropped(grams)
     return out
