@@ -14,6 +14,8 @@ from tessella.llm._common import dropped, filesystem, saved, scratch, write_whol
 SAMPLE = 4096
 #: Rows in a shard and anchors in a block: a task holds one of each; rows whose products are bounded at once.
 SHARD, BLOCK, STRIDE = 8192, 2048, 1024
+#: Partitions of the meetings of blocks and shards, at most.
+MEETINGS = 20_000
 #: Shares of the sample's energy in the leading components of the first and second partial product.
 ENERGY = (0.6, 0.9)
 #: Components are whole numbers of 1 / SCALE.
@@ -221,6 +223,11 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = 5, negatives: in
     blocks = max(1, -(-anchors.count() // BLOCK))
     anchors = anchors.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
 
+    def meeting(df):
+        """Each block of anchors with each shard; a fixed number of partitions, as a block has few bytes and much work."""
+        asked = df.join(shards, F.col("dim") == F.col("dim_")).drop("dim_")
+        return asked.repartition(min(MEETINGS, -(-total // shard) * blocks + 1), "dim", "shard", "block").groupBy("dim", "shard", "block")
+
     def sides(key, table):
         dim, shard, _ = (k.as_py() for k in key)
         rotation = rotations.value.get(dim)
@@ -257,12 +264,10 @@ def hard_negatives(rows: DataFrame, is_anchor, positives: int = 5, negatives: in
     def first(df, keys, score, then, k, name):
         return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(score), then))).where(F.col(name) <= k)
 
-    asked = anchors.join(shards, F.col("dim") == F.col("dim_")).groupBy("dim", "shard", "block")
-    found = first(asked.applyInArrow(find_positives, "id long, anchor long, positive_id long, positive_score long"), ["id", "anchor"], "positive_score", "positive_id", positives, "place")
+    found = first(meeting(anchors).applyInArrow(find_positives, "id long, anchor long, positive_id long, positive_score long"), ["id", "anchor"], "positive_score", "positive_id", positives, "place")
     found = found.groupBy("id", "anchor").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "positive_id", "positive_score"))), lambda p: F.struct(p["positive_id"].alias("positive_id"), p["positive_score"].alias("positive_score"))).alias("found"))
     with_found = saved(anchors.join(found, ["id", "anchor"]), "negative-positives")
-    asked = with_found.join(shards, F.col("dim") == F.col("dim_")).groupBy("dim", "shard", "block")
-    mined = asked.applyInArrow(find_negatives, "anchor_id long, anchor long, place int, positive_id long, positive_score long, negative_id long, negative_score long")
+    mined = meeting(with_found).applyInArrow(find_negatives, "anchor_id long, anchor long, place int, positive_id long, positive_score long, negative_id long, negative_score long")
     mined = first(mined, ["anchor_id", "anchor", "place"], "negative_score", "negative_id", negatives, "rank")
     out = saved(mined.select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"), "hard-negatives")
     dropped(anchors, shards, with_found)
