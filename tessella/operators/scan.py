@@ -39,7 +39,8 @@ _FOLD, _LOW = _PerCharacter(_folded), _PerCharacter(lambda c: c.lower() if len(c
 
 def fold(text: str) -> tuple[str, list[tuple[int, int]]]:
     """Lower case, no accents, words of a-z and 0-9 with one space between them; and each word's place in the text."""
-    spans = [m.span() for m in _RUN.finditer(plain := text.translate(_FOLD))]
+    plain = text.translate(_FOLD)
+    spans = [m.span() for m in _RUN.finditer(plain)]
     return " ".join(plain[a:z] for a, z in spans), spans
 
 
