@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import unicodedata
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.folding import RUN, PerCharacter, fold
+
 #: Letters that a name needs, folded, to be looked for.
 LEAST = 4
 #: Aliases that a task gets as an automaton, at most; of a larger table, word runs of the texts are joined with it.
@@ -15,33 +16,10 @@ SHIPPED = 100_000
 YEAR = re.compile(r"(?<!\d)(20\d\d)(?!\d)")
 #: The classes of aliases: letter case counts, letter case doesn't count, folded names.
 EXACT, LOWER, FOLDED = "exact", "lower", "folded"
-_TOKEN, _RUN = re.compile(r"[\w-]+"), re.compile(r"[^ ]+")
-
-
-class _PerCharacter(dict):
-    """A table for str.translate with one character for each, so that places in the result are places in the text."""
-
-    def __init__(self, f):
-        self.f = f
-
-    def __missing__(self, code):
-        self[code] = out = self.f(chr(code))
-        return out
-
-
-def _folded(c: str) -> str:
-    base = "".join(x for x in unicodedata.normalize("NFD", c.lower().replace("đ", "d")) if unicodedata.category(x) != "Mn")
-    return base if len(base) == 1 and ("a" <= base <= "z" or "0" <= base <= "9") else " "
-
-
-_FOLD, _LOW = _PerCharacter(_folded), _PerCharacter(lambda c: c.lower() if len(c.lower()) == 1 else c)
+_TOKEN = re.compile(r"[\w-]+")
 
 
-def fold(text: str) -> tuple[str, list[tuple[int, int]]]:
-    """Lower case, no accents, words of a-z and 0-9 with one space between them; and each word's place in the text."""
-    plain = text.translate(_FOLD)
-    spans = [m.span() for m in _RUN.finditer(plain)]
-    return " ".join(plain[a:z] for a, z in spans), spans
+_LOW = PerCharacter(lambda c: c.lower() if len(c.lower()) == 1 else c)
 
 
 def alias_forms(kind: str, alias: str) -> list[tuple[str, str]]:
@@ -126,7 +104,7 @@ def windows(text: str, shapes: list[tuple[str, int, int, int]]):
 
 
 def shape_of(kind: str, key: str) -> tuple[str, int, int, int]:
-    spans = [m.span() for m in (_RUN if kind == FOLDED else _TOKEN).finditer(key)]
+    spans = [m.span() for m in (RUN if kind == FOLDED else _TOKEN).finditer(key)]
     return kind, spans[0][0], len(spans), len(key) - spans[-1][1]
 
 

@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessella.operators.conversation import fold_context, pick_choices
 from tessella.plans import dual, query
 
 #: What stands for a router's reading of a turn: its tool, programmes, faculty and year, and whether it refers to what was said.
@@ -51,3 +52,47 @@ def guard_calls(t):
     user = F.col("role") == "user"
     rows = t.conversations.select("conv_id", "turn", user.alias("user"), asked.alias("asked"), refused.alias("refused"), pending.alias("pending"), (F.length(text) < 40).alias("short"))
     return rows.select("conv_id", "turn", F.when(~F.col("user") | F.col("refused"), 0).otherwise(F.least(F.lit(3), "asked")).alias("calls"), F.expr("user AND short AND pending AND NOT refused").alias("is_pick"), F.expr("user AND NOT refused AND asked > 3").alias("cut"))
+
+
+def readings(t):
+    """What stands for a router's reading of each turn and its tools' results, from the turn's number and text alone."""
+    n, size = F.col("turn"), F.length(F.coalesce("text", F.lit("")))
+    kind = (size + n) % 8
+    code = lambda k: F.concat(F.lit("P"), (k % 5).cast("string"))
+    mention = F.when(kind == 0, F.lit("Mơ hồ")).when(kind.isin(2, 6), F.lit(None)).otherwise(code(size))
+    years = F.when(size % 4 == 0, F.array((size % 3 + 2023).cast("int")))
+    args = F.struct(F.when(mention.isNotNull(), F.array(mention)).alias("programs"), years.alias("years"), F.when(n % 6 == 1, F.array(F.lit("M1"))).alias("methods"))
+    tool = F.when(size % 3 == 0, "scores").when(size % 3 == 1, "fees").otherwise("info")
+    candidates = F.array(*[F.struct(F.lit(c).alias("code"), F.lit(x).alias("name"), F.lit(g).alias("group"), F.lit("program").alias("entity_type")) for c, x, g in (("P1", "Cơ khí ô tô", "chuan"), ("P2", "Cơ khí tàu", "elitech"), ("P-E3", "Điện", "elitech"))])
+    asked = F.struct(F.lit("ambiguous").alias("status"), F.array(F.struct(F.lit("mo ho").alias("mention"), candidates.alias("candidates"))).alias("clarifications"), F.lit(None).cast("array<struct<entity_type: string, codes: array<string>>>").alias("resolved"))
+    resolved = F.array(F.struct(F.lit("program").alias("entity_type"), F.array(code(size), *[F.when(kind == 7, code(size + i)) for i in range(1, 4)]).alias("codes")))
+    plain = F.struct(F.when(kind == 4, "error").otherwise("ok").alias("status"), F.lit(None).cast(t.spark.range(0).select(F.array(F.struct(F.lit("").alias("mention"), candidates.alias("candidates"))).alias("x")).schema["x"].dataType).alias("clarifications"), F.transform(resolved, lambda r: F.struct(r["entity_type"].alias("entity_type"), F.filter(r["codes"], lambda c: c.isNotNull()).alias("codes"))).alias("resolved"))
+    message = F.when(size % 5 == 0, "cái thứ hai").when(size % 5 == 1, "p e3 nhé").when(size % 5 == 2, "điện và gì nữa").when(size % 5 == 3, "tất cả").otherwise(F.col("text"))
+    return t.conversations.select(
+        "conv_id", "turn", message.alias("message"), F.when(size % 11 == 0, "P1").alias("button"),
+        F.when(size % 5 == 2, F.when(n % 3 == 0, "picked").when(n % 3 == 1, "unclear").otherwise("cancel")).alias("status"), F.array(F.lit("P2")).alias("picked"), F.lit("ASK").alias("intent"),
+        (kind != 5).alias("refers"), (kind == 3).alias("refused"),
+        F.to_json(F.array(F.struct(tool.alias("tool"), args.alias("args")))).alias("calls"), F.to_json(F.array(F.when(kind == 0, asked).otherwise(plain))).alias("results"),
+    )
+
+
+@query("context_update")
+def context_update(t):
+    """The state of every conversation after each turn."""
+    return fold_context(readings(t))
+
+
+@query("pick_cascade", """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, p_name FROM lineitem JOIN part ON p_partkey = l_partkey),
+o AS (SELECT l_orderkey, list('P' || l_partkey ORDER BY l_partkey) AS codes, list(string_split(p_name, ' ') ORDER BY l_partkey) AS names FROM l GROUP BY 1),
+p AS (SELECT l_orderkey, codes, names, len(codes) AS n, l_orderkey % 8 AS k, len(list_filter(names[1], lambda w: NOT list_contains(flatten(names[2:]), w))) > 0 AS own FROM o)
+SELECT l_orderkey, CASE WHEN k = 0 AND n >= 2 THEN [codes[2]] WHEN k = 1 THEN [codes[n]] WHEN k = 2 AND n <= 3 THEN codes WHEN k = 3 THEN [codes[n]] WHEN k = 4 AND own THEN [codes[1]] WHEN k = 7 AND n >= 2 THEN [codes[1], codes[2]] ELSE [] END AS codes,
+  CASE WHEN k = 0 AND n >= 2 THEN 4 WHEN k = 1 THEN 1 WHEN k = 2 AND n <= 3 THEN 3 WHEN k = 3 THEN 4 WHEN k = 4 AND own THEN 5 WHEN k = 7 AND n >= 2 THEN 1 END AS stage, k = 2 AND n > 3 AS too_many FROM p""")
+def pick_cascade(t):
+    """An answer to a list of each order's parts: by place, code, all, word of a name; answers that say more, name two places or too many pick nothing."""
+    lines = t.lineitem.select("l_orderkey", "l_partkey").distinct().join(t.part.select("p_partkey", "p_name"), F.col("l_partkey") == F.col("p_partkey"))
+    part = F.struct("l_partkey", F.concat(F.lit("P"), "l_partkey").alias("code"), F.col("p_name").alias("name"), F.lit("").alias("group"))
+    lists = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list(part)), lambda p: F.struct(p["code"].alias("code"), p["name"].alias("name"), p["group"].alias("group"))).alias("candidates"))
+    k, at = F.col("l_orderkey") % 8, lambda i: F.try_element_at("candidates", F.lit(i))
+    two = F.concat(at(2)["code"], F.lit(" với "), at(1)["code"])
+    message = F.when(k == 0, "The second one, please").when(k == 1, F.concat(F.lit("p "), F.substr(at(-1)["code"], F.lit(2)))).when(k == 2, "ALL of them").when(k == 3, "cái cuối cùng nhé").when(k == 4, at(1)["name"]).when(k == 5, "first or last").when(k == 6, F.concat(at(1)["code"], F.lit(" and what does it cost"))).otherwise(two)
+    return pick_choices(lists.withColumns({"message": message, "entity_type": F.lit("program"), "button": F.lit(None).cast("string")})).select("l_orderkey", "codes", "stage", "too_many")
