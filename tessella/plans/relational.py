@@ -85,19 +85,3 @@ _GATE = "SELECT max(score) AS top, CASE WHEN max(score) < 0.4 THEN 'LOW_RETRIEVA
 dual("confidence_gate", _GATE.format(_S(_COS)), _GATE.format(_S(_COSS)))
 _CONF = "SELECT count(DISTINCT label) > 1 AS conflict FROM (SELECT label FROM {0} s ORDER BY score DESC, vec_id LIMIT 5) t"
 dual("conflict_flag", _CONF.format(_S(_COS)), _CONF.format(_S(_COSS)))
-# The same seven searches for every row whose id is divisible by 100, against all rows; those above answer one asked vector.
-_SE = lambda cos, where="true": f"(SELECT qid, vec_id, label, {cos} AS score FROM {{embeddings}} CROSS JOIN {_Q.replace('vec_id = 0', 'vec_id % 100 = 0')} z WHERE vec_id <> qid AND {where})"
-_RANKED = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS k"
-for _name, _where in (("vector_topk_each", "true"), ("vector_topk_filtered_each", "label IN (1, 2, 3)")):
-    _t = f"SELECT qid, vec_id, score FROM (SELECT qid, vec_id, score, {_RANKED} FROM {{0}} s) r WHERE k <= 10"
-    dual(_name, _t.format(_SE(_COS, _where)), _t.format(_SE(_COSS, _where)))
-_RRFE = f"""WITH s AS {{0}}, a AS (SELECT qid, vec_id, {_RANKED} FROM s), b AS (SELECT qid, vec_id, {_RANKED} FROM s WHERE {{1}}),
-u AS (SELECT qid, vec_id, k FROM a WHERE k <= 20 UNION ALL SELECT qid, vec_id, k FROM b WHERE k <= 20),
-f AS (SELECT qid, vec_id, round(sum(1e0 / (60 + k)), 8) AS rrf FROM u GROUP BY 1, 2)
-SELECT qid, vec_id, rrf FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, vec_id) AS k FROM f) r WHERE k <= 5"""
-for _name, _where in (("rrf_general_each", "label % 2 = 0"), ("rrf_boost_each", "label < 3"), ("rrf_fusion_each", "vec_id % 3 = 0")):
-    dual(_name, _RRFE.format(_SE(_COS), _where), _RRFE.format(_SE(_COSS), _where))
-_GATEE = _GATE.replace("SELECT max", "SELECT qid, max") + " GROUP BY qid"
-dual("confidence_gate_each", _GATEE.format(_SE(_COS)), _GATEE.format(_SE(_COSS)))
-_CONFE = f"SELECT qid, count(DISTINCT label) > 1 AS conflict FROM (SELECT qid, label, {_RANKED} FROM {{0}} s) t WHERE k <= 5 GROUP BY qid"
-dual("conflict_flag_each", _CONFE.format(_SE(_COS)), _CONFE.format(_SE(_COSS)))
