@@ -39,25 +39,11 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def word_runs(query: Column, key: Column) -> Column:
-    """What a query is compared with: the key and, for queries of two words and more and longer keys, the key's runs of about as many words."""
-    words, n = F.split(key, " "), F.size(F.split(query, " "))
-    of_length = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, k), " "))
-    near = F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda d: of_length(n + d)))
-    return F.array_distinct(F.concat(F.array(key), F.when((n > 1) & (n < F.size(words)), near).otherwise(F.array().cast("array<string>"))))
-
-
 @F.pandas_udf(T.DoubleType())
 def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-def with_fuzzy_score(df: DataFrame, query: str, key: str, name: str = "score") -> DataFrame:
-    """The distinct rows of `df` with the best indel ratio of a query with the key's word runs, a row for each run in between."""
-    runs = df.withColumn("_run", F.explode(word_runs(F.col(query), F.col(key))))
-    return runs.groupBy(*df.columns).agg(F.max(ratio(F.col(query), F.col("_run"))).alias(name))
-
-
 #: Ligatures and what they spell.
 LIGATURES = (("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬀ", "ff"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"))
 
@@ -98,3 +84,10 @@ def cohort_number(text: Column) -> Column:
     """The first number of a text; a calendar year from 1956 on counts from 1955."""
     n = F.nullif(F.regexp_extract(text, "([0-9]+)", 1), F.lit("")).cast("int")
     return F.when(n >= 1956, n - 1955).otherwise(n)
+
+
+def value_range(text: Column) -> tuple[Column, Column]:
+    """Lower and upper end of a range written in text: a - b with any dash or a division mark, a single number (both ends), >, >= or ≥ (no
+    upper end); a comma is decimal. Text that doesn't start with one of these has no ends."""
+    number = lambda group: F.replace(F.nullif(F.regexp_extract(text, r"^([≥>= ]*)([0-9]+(?:[.,][0-9]+)?)(?: *[-–—÷] *([0-9]+(?:[.,][0-9]+)?))?$", group), F.lit("")), F.lit(","), F.lit(".")).cast("double")
+    return number(2), F.when(~text.rlike("^[≥>]"), F.coalesce(number(3), number(2)))

@@ -7,6 +7,7 @@ statement, in correlated subqueries, and shares no text with the DataFrame code.
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tessella.operators.intervals import join_overlaps
 from tessella.operators.tools import envelope, invalid, plain, resolved
 from tessella.plans import query
 
@@ -177,11 +178,11 @@ def tool_fees(t):
 
 
 # ---------------------------------------------------------------- lookup: a value in a table of ranges, by purpose; whether it meets a level
-_LEVELS = [("size", 1, 10, "low", 1), ("size", 10, 25, "mid", 2), ("size", 25, 40, "high", 3), ("size", 40, None, "top", 4), ("price", 900, 950, "low", 1), ("price", 950, None, "high", 2)]
-_LOOKUPS = [(1, "size", "24", 2), (2, "size", "10", 2), (3, None, "24", 2), (4, "price", "905.5", None), (5, "size", "≥ 45", 3), (6, "size", "mid", 3), (7, "size", "unheard of", 1), (8, "weight", "3", 1), (9, "size", "5-30", 2)]
 _PURPOSES = ("price", "size")
 _LOOKUP_SQL = f"""
-WITH req(req, purpose, value, need) AS {_values(_LOOKUPS)}, levels(purpose, lo, hi, level, place) AS {_values(_LEVELS)},
+WITH req AS (SELECT p_partkey AS req, CASE WHEN p_partkey % 10 = 9 THEN NULL WHEN p_partkey % 10 = 8 THEN 'colour' WHEN p_partkey % 2 = 0 THEN 'size' ELSE 'price' END AS purpose, CASE WHEN p_partkey % 3 > 0 THEN p_partkey % 25 END AS need,
+  CASE p_partkey % 7 WHEN 0 THEN '' || p_size WHEN 1 THEN '≥ ' || p_size WHEN 2 THEN p_size || '-' || (p_size + 5) WHEN 3 THEN 'a NATION_' || (p_partkey % 30) WHEN 4 THEN p_size || '.5' WHEN 5 THEN 'unheard of' ELSE '' || (p_size * 20 + 880) END AS value FROM part),
+levels AS (SELECT purpose, CAST(CASE purpose WHEN 'size' THEN 2 * n_nationkey ELSE 900 + 40 * n_nationkey END AS INTEGER) AS lo, CAST(CASE WHEN n_nationkey < 24 THEN CASE purpose WHEN 'size' THEN 2 * n_nationkey + 3 ELSE 940 + 40 * n_nationkey END END AS INTEGER) AS hi, {_NORM("n_name")} AS level, n_nationkey AS place FROM nation, (VALUES ('size'), ('price')) AS x(purpose)),
 parsed AS (SELECT *, TRY_CAST(regexp_extract(value, '^[≥>= ]*([0-9]+([.][0-9]+)?)', 1) AS DOUBLE) AS a, CASE WHEN value LIKE '≥%' THEN 1e308 ELSE coalesce(TRY_CAST(regexp_extract(value, '[0-9] *- *([0-9]+([.][0-9]+)?)$', 1) AS DOUBLE), TRY_CAST(regexp_extract(value, '^ *([0-9]+([.][0-9]+)?)', 1) AS DOUBLE)) END AS z FROM req),
 got AS (SELECT p.req, p.value, p.need, l.level, l.place, p.purpose FROM parsed p JOIN levels l ON l.purpose = p.purpose AND CASE WHEN p.a IS NOT NULL THEN p.z >= l.lo AND (l.hi IS NULL OR p.a <= l.hi) ELSE contains(' ' || {_NORM("p.value")} || ' ', ' ' || l.level || ' ') END),
 clarify AS (SELECT req, unnest(['price', 'size']) AS candidate FROM req WHERE purpose IS NULL),
@@ -196,21 +197,29 @@ missing AS (SELECT req, purpose AS item, 'not collected' AS reason FROM req WHER
 def tool_lookup(t):
     """Levels whose closed range a value, an interval or an open bound meets; words are looked for in the levels' names. The lowest of the
     levels must reach the one needed: yes, no or unknown. Without a match the whole table is returned. Without a purpose it is asked back."""
-    req = _requests(t, "req int, purpose string, value string, need int", _LOOKUPS)
-    levels = F.broadcast(_requests(t, "of string, lo int, hi int, level string, place int", _LEVELS))
-    number = lambda pattern, group: F.try_to_number(F.nullif(F.regexp_extract("value", pattern, group), F.lit("")), F.lit("999999.99")).cast("double")
+    k, n = F.col("p_partkey"), F.col("p_size")
+    put = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    value = F.when(k % 7 == 0, put(n)).when(k % 7 == 1, put("≥ ", n)).when(k % 7 == 2, put(n, "-", n + 5)).when(k % 7 == 3, put("a NATION_", k % 30)).when(k % 7 == 4, put(n, ".5")).when(k % 7 == 5, "unheard of").otherwise(put(n * 20 + 880))
+    req = t.part.select(k.alias("req"), F.when(k % 10 == 9, None).when(k % 10 == 8, "colour").when(k % 2 == 0, "size").otherwise("price").alias("purpose"), value.alias("value"), F.when(k % 3 > 0, k % 25).alias("need"))
+    at, last = F.col("n_nationkey"), F.col("n_nationkey") < 24
+    band = lambda purpose, lo, wide: t.nation.select(F.lit(purpose).alias("purpose"), lo.alias("lo"), F.when(last, lo + wide).alias("hi"), plain(F.col("n_name")).alias("level"), at.alias("place"))
+    levels = band("size", 2 * at, 3).unionByName(band("price", 900 + 40 * at, 40))
+    number = lambda pattern, group: F.nullif(F.regexp_extract("value", pattern, group), F.lit("")).cast("double")
     a, z = number(r"^[≥>= ]*([0-9]+([.][0-9]+)?)", 1), F.coalesce(number(r"[0-9] *- *([0-9]+([.][0-9]+)?)$", 1), number(r"^ *([0-9]+([.][0-9]+)?)", 1))
-    parsed = req.withColumn("a", a).withColumn("z", F.when(F.col("value").startswith("≥"), float("inf")).otherwise(z))
-    inside = F.when(F.col("a").isNotNull(), (F.col("z") >= F.col("lo")) & (F.col("hi").isNull() | (F.col("a") <= F.col("hi")))).otherwise(F.contains(F.concat(F.lit(" "), plain(F.col("value")), F.lit(" ")), F.concat(F.lit(" "), "level", F.lit(" "))))
-    both = parsed.join(levels, F.col("of") == F.col("purpose")).withColumn("hit", inside)
-    both = both.withColumn("any", F.max(F.col("hit").cast("int")).over(Window.partitionBy("req")))
+    parsed = req.withColumn("a", a).withColumn("z", F.when(~F.col("value").startswith("≥"), z))
+    columns = ("req", "purpose", "need", "level", "place")
+    ranged = join_overlaps(parsed.where("a IS NOT NULL"), levels, "a", "z", "lo", "hi", ["purpose"]).select(*columns)
+    words = F.split(plain(F.col("value")), " ")  # a level's name is one of the value's runs of words
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: F.transform(F.sequence(F.lit(1), F.size(words) - i + 1), lambda m: F.array_join(F.slice(words, i, m), " "))))
+    named = parsed.where("a IS NULL").withColumn("level", F.explode(F.array_distinct(runs))).join(levels, ["purpose", "level"]).select(*columns)
+    hits = ranged.unionByName(named)
     source = F.concat(F.lit("levels "), "purpose").alias("source")
-    hits = both.where("hit")
     meets = hits.groupBy("req", "purpose").agg(F.min("place").alias("least"), F.first("need").alias("need")).select("req", F.concat_ws("|", F.lit("meets"), F.when(F.col("need").isNull(), "unknown").when(F.col("least") >= F.col("need"), "yes").otherwise("no")).alias("row"), source)
-    whole = both.where("any = 0")
-    data = hits.select("req", F.concat_ws("|", F.lit("level"), "level").alias("row"), source).unionByName(meets).unionByName(whole.select("req", F.concat_ws("|", F.lit("table"), "level", "lo", "hi").alias("row"), source))
+    without = parsed.where(F.col("purpose").isin(*_PURPOSES)).join(hits.select("req").distinct(), "req", "left_anti")
+    whole = without.join(levels, "purpose").select("req", F.concat_ws("|", F.lit("table"), "level", "lo", "hi").alias("row"), source)
+    data = hits.select("req", F.concat_ws("|", F.lit("level"), "level").alias("row"), source).unionByName(meets).unionByName(whole)
     strange = req.where(~F.col("purpose").isin(*_PURPOSES)).select("req", F.col("purpose").alias("item"), F.lit("not collected").alias("reason"))
-    unmatched = whole.select("req", F.col("value").alias("item"), F.lit("no match: the whole table").alias("reason")).distinct()
+    unmatched = without.select("req", F.col("value").alias("item"), F.lit("no match: the whole table").alias("reason"))
     clarify = req.where("purpose IS NULL").select("req", F.explode(F.array(*map(F.lit, _PURPOSES))).alias("candidate"))
     return envelope(req, data, strange.unionByName(unmatched), clarify)
 

@@ -33,20 +33,20 @@ def unit_scale(t):
     return t.part.join(priced, F.col("p_partkey") % 10 == F.col("k")).select("k", "p_partkey", (F.col("v") * F.col("p_size") * factor).alias("amount"), F.concat(F.lit("USD"), rest).alias("unit"))
 
 
-_AMOUNTS = [(1, "about 12 to 15 million per year"), (2, "~3,5 thousand"), (3, "200 per term"), (4, "free"), (5, "from 1.250 up to 2.000 or 3 million"), (6, None)]
 _NUM = "[0-9]+(?:[.,][0-9]+)*"
-_AS_NUM = "CAST(replace(regexp_replace({0}, '[.]([0-9][0-9][0-9])', '\\1', 'g'), ',', '.') AS DOUBLE)"
 
 
-@query("parse_amount", f"""SELECT k, coalesce(regexp_matches(s, '~|about|approx'), false) AS approximate, {_AS_NUM.format("n[1]")} AS first, {_AS_NUM.format("n[-1]")} AS last,
-  CASE WHEN s LIKE '%million%' THEN 'million' WHEN s LIKE '%thousand%' THEN 'thousand' WHEN len(n) > 0 THEN 'one' END AS unit FROM (SELECT k, s, regexp_extract_all(s, '{_NUM}') AS n FROM {_sql_values(_AMOUNTS)} AS t(k, s))""")
+@query("parse_amount", """SELECT p_partkey, k < 2 AS approximate, CASE k WHEN 0 THEN n WHEN 1 THEN n + 0.5 WHEN 2 THEN n WHEN 4 THEN 1250 END AS first, CASE k WHEN 0 THEN n + 3 WHEN 1 THEN n + 0.5 WHEN 2 THEN n WHEN 4 THEN n * 1000 END AS last,
+  CASE k WHEN 0 THEN 'million' WHEN 1 THEN 'thousand' WHEN 2 THEN 'one' WHEN 4 THEN 'million' END AS unit FROM (SELECT p_partkey, p_partkey % 5 AS k, CAST(p_size AS DOUBLE) AS n FROM part)""")
 def parse_amount(t):
-    """Whether an amount is approximate, its first and last number (points group thousands, a comma is decimal) and its unit by keyword."""
-    s = F.col("s")
-    n = F.regexp_extract_all(s, F.lit(_NUM), F.lit(0))
+    """Amounts of parts, written in five ways: whether one is approximate, its first and last number (points group thousands, a comma is decimal) and its unit by keyword."""
+    k, n = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    more = (F.col("p_size") + 3).cast("string")
+    s = F.when(k == 0, F.concat(F.lit("about "), n, F.lit(" to "), more, F.lit(" million per year"))).when(k == 1, F.concat(F.lit("~"), n, F.lit(",5 thousand"))).when(k == 2, F.concat(n, F.lit(" per term"))).when(k == 3, "free").otherwise(F.concat(F.lit("from 1.250 million up to "), n, F.lit(".000")))
+    found = F.regexp_extract_all(s, F.lit(_NUM), F.lit(0))
     number = lambda x: F.replace(F.regexp_replace(x, "[.]([0-9]{3})", "$1"), F.lit(","), F.lit(".")).cast("double")
-    unit = F.when(s.contains("million"), "million").when(s.contains("thousand"), "thousand").when(F.size(n) > 0, "one")
-    return _values(t, "k int, s string", _AMOUNTS).select("k", F.coalesce(s.rlike("~|about|approx"), F.lit(False)).alias("approximate"), number(F.get(n, F.lit(0))).alias("first"), number(F.when(F.size(n) > 0, F.element_at(n, -1))).alias("last"), unit.alias("unit"))
+    unit = F.when(s.contains("million"), "million").when(s.contains("thousand"), "thousand").when(F.size(found) > 0, "one")
+    return t.part.select("p_partkey", s.rlike("~|about|approx").alias("approximate"), number(F.get(found, F.lit(0))).alias("first"), number(F.when(F.size(found) > 0, F.element_at(found, -1))).alias("last"), unit.alias("unit"))
 
 
 _CENTS = "CAST(round(l_extendedprice * l_discount * 1000) AS BIGINT)"
@@ -59,14 +59,13 @@ def round_half_even(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", n.alias("n"), F.bround((n.cast("decimal(20,0)") / F.lit(1000).cast("decimal(4,0)")).cast("decimal(24,3)"), 2).cast("double").alias("value"))
 
 
-_COHORTS = [(1, "K66"), (2, "cohort 65 and later"), (3, "2021"), (4, "class of 1956"), (5, "none"), (6, None), (7, "1955")]
-
-
-@query("cohort", f"SELECT k, CASE WHEN n >= 1956 THEN n - 1955 ELSE n END AS number, 'K' || CASE WHEN n >= 1956 THEN n - 1955 ELSE n END AS label FROM (SELECT k, TRY_CAST(regexp_extract(s, '([0-9]+)', 1) AS INTEGER) AS n FROM {_sql_values(_COHORTS)} AS t(k, s))")
+@query("cohort", "SELECT c_custkey, n AS number, 'K' || n AS label FROM (SELECT c_custkey, CAST(CASE c_custkey % 4 WHEN 0 THEN c_custkey % 100 WHEN 1 THEN 60 + c_custkey % 10 WHEN 2 THEN CASE WHEN c_custkey % 80 >= 6 THEN c_custkey % 80 - 5 ELSE 1950 + c_custkey % 80 END END AS INTEGER) AS n FROM customer)")
 def cohort(t):
-    """The first number of a text; a calendar year from 1956 on counts from 1955."""
-    number = tx.cohort_number(F.col("s"))
-    return _values(t, "k int, s string", _COHORTS).select("k", number.alias("number"), F.concat(F.lit("K"), number.cast("string")).alias("label"))
+    """Cohorts of customers, written as a number, in words, as a calendar year, or not at all: a year from 1956 on counts from 1955."""
+    c = F.col("c_custkey")
+    text = F.when(c % 4 == 0, F.concat(F.lit("K"), c % 100)).when(c % 4 == 1, F.concat(F.lit("cohort "), c % 10 + 60, F.lit(" and later, not 2050"))).when(c % 4 == 2, F.concat(F.lit("class of "), c % 80 + 1950)).otherwise("none")
+    number = tx.cohort_number(text)
+    return t.customer.select("c_custkey", number.alias("number"), F.concat(F.lit("K"), number.cast("string")).alias("label"))
 
 
 _ALIASES = [("BUILD ING", 1997, "BLD"), ("BUILDING", 1998, "BD2"), ("MACHINERY", 1997, "MCH")]
@@ -87,15 +86,15 @@ def slug(t):
     return t.documents.select("doc_id", tx.slug(F.col("text")).alias("slug"))
 
 
-_CONTACTS = [(1, "024 3869 2222; 0912.345.678", "a.b@x.org"), (2, "+84 24-38692222", "no at sign"), (3, "0123", "two@at@x.org"), (4, "", "a@b"), (5, None, None), (6, "0987654321;;02838651670", "X@Y.com ")]
-
-
-@query("contact_format", f"""WITH c(k, phones, mail) AS (SELECT * FROM {_sql_values(_CONTACTS)}), p AS (SELECT k, pos, regexp_replace(regexp_replace(part, '[^0-9]', '', 'g'), '^84', '0') AS digits FROM (SELECT k, unnest(string_split(phones, ';')) AS part, unnest(range(1, len(string_split(phones, ';')) + 1)) AS pos FROM c WHERE phones IS NOT NULL) WHERE trim(part) <> '')
-SELECT c.k, CAST(p.pos AS INTEGER) AS pos, p.digits, CASE WHEN regexp_matches(digits, '^0[35789][0-9]{{8}}$') THEN 'mobile' WHEN regexp_matches(digits, '^02[0-9]{{8,9}}$') THEN 'landline' WHEN digits IS NOT NULL THEN 'wrong' END AS kind,
-  regexp_matches(trim(mail), '^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]+$') AS mail_ok FROM c LEFT JOIN p USING (k)""")
+@query("contact_format", """WITH s AS (SELECT s_suppkey AS k, lpad(CAST(s_suppkey % 10000 AS VARCHAR), 4, '0') AS d, CASE s_suppkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS mail_ok FROM supplier)
+SELECT k, 1 AS pos, '0243869' || d AS digits, 'landline' AS kind, mail_ok FROM s WHERE k % 4 < 2 UNION ALL SELECT k, 3, '0912' || d || '78', 'mobile', mail_ok FROM s WHERE k % 4 = 0
+UNION ALL SELECT k, 1, '0123' || d, 'wrong', mail_ok FROM s WHERE k % 4 = 2 UNION ALL SELECT k, NULL, NULL, NULL, mail_ok FROM s WHERE k % 4 = 3""")
 def contact_format(t):
-    """Each number of a list, digits only, as mobile, landline or wrong; whether the e-mail address is one."""
-    rows = _values(t, "k int, phones string, mail string", _CONTACTS)
+    """Suppliers' contacts, written in several ways: each number of a list, digits only, as mobile, landline or wrong; whether the e-mail address is one."""
+    k, d = F.col("s_suppkey"), F.lpad((F.col("s_suppkey") % 10000).cast("string"), 4, "0")
+    phones = F.when(k % 4 == 0, F.concat(F.lit("024 3869 "), d, F.lit("; ;0912."), d, F.lit(".78"))).when(k % 4 == 1, F.concat(F.lit("+84 24-3869"), d)).when(k % 4 == 2, F.concat(F.lit("0123"), d)).otherwise("")
+    mail = F.when(k % 3 == 0, F.concat(F.lit(" S."), k, F.lit("@x-y.Org "))).when(k % 3 == 1, F.concat(F.lit("two@at@"), k))
+    rows = t.supplier.select(k.alias("k"), phones.alias("phones"), mail.alias("mail"))
     digits = F.regexp_replace(F.regexp_replace("part", "[^0-9]", ""), "^84", "0")
     split = rows.select("k", F.posexplode(F.split("phones", ";")).alias("at", "part")).where(F.trim("part") != "").select("k", (F.col("at") + 1).alias("pos"), digits.alias("digits"))
     kind = F.when(F.col("digits").rlike("^0[35789][0-9]{8}$"), "mobile").when(F.col("digits").rlike("^02[0-9]{8,9}$"), "landline").when(F.col("digits").isNotNull(), "wrong")

@@ -42,6 +42,21 @@ def fuzzy_pairs():
             yield {"asked": asked, "mention": mention, "key": key, "n_nationkey": k, "score": -score}
 
 
+def fuzzy_window_pairs():
+    """All mentions with all keys and their runs of about as many words."""
+    fold = lambda x: " ".join("".join(c if c.isalnum() else " " for c in x.lower()).split())
+    keys = sorted({fold(f"{p['p_type']} {p['p_name']} {p['p_brand']}") for p in rows("part")})
+    for asked in sorted({p["p_name"] for p in rows("part")}):
+        mention, found = asked[:2] + asked[3:], []
+        n = len(mention.split())
+        for key in keys:
+            w = key.split()
+            texts = [key] + [" ".join(w[i : i + m]) for m in (n - 1, n, n + 1) if 1 < n < len(w) for i in range(len(w) - m + 1)]
+            found.append((-max(indel_ratio(mention, x) for x in texts if x), key))
+        for score, key in sorted(f for f in found if f[0] <= -85)[:5]:
+            yield {"asked": asked, "mention": mention, "key": key, "score": -score}
+
+
 def spans(text):
     """Longest phrases first; a place that is taken is left out."""
     taken, out = set(), []
@@ -125,6 +140,7 @@ def scanned():
 #: What the queries without SQL give, by functions that have tests of their own, or by brute force.
 EXPECTED = {
     "fuzzy_join": lambda: [tuple(r[c] for c in sorted(r)) for r in fuzzy_pairs()],
+    "fuzzy_windows": lambda: [tuple(r[c] for c in sorted(r)) for r in fuzzy_window_pairs()],
     "html_text": of_pages(lambda p: page_lines(p["html"])),
     "html_main": of_pages(lambda p: main_lines(p["html"])),
     "html_links": of_pages(page_links),
