@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.search import search
 from tessella.plans import query
+from tessella.sources.vectors import PAGE, pages
 
 PER_BRANCH, CONSTANT = 20, 60
 _COS = "round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6)"
@@ -112,3 +113,9 @@ _each("confidence_gate", f"SELECT qid, max(score) AS top, CASE WHEN max(score) <
       lambda t: found(t, [ALL], 1).select("qid", F.col("score").alias("top"), F.when(F.col("score") < 0.4, "LOW_RETRIEVAL_CONFIDENCE").otherwise("ok").alias("status")))
 _each("conflict_flag", f"SELECT qid, count(DISTINCT label) > 1 AS conflict FROM (SELECT qid, label, {_RANKED} FROM {_S.format('true')} s) t WHERE k <= 5 GROUP BY qid",
       lambda t: found(t, [ALL], 5).groupBy("qid").agg((F.count_distinct("tag") > 1).alias("conflict")))
+
+
+@query("vector_pages", f"SELECT vec_id, CAST((row_number() OVER (ORDER BY sha256(CAST(vec_id AS VARCHAR))) - 1) // {PAGE} AS BIGINT) AS page FROM embeddings WHERE vec_id IS NOT NULL")
+def vector_pages(t):
+    """The page on which a scroll over the stored points gives each vector."""
+    return pages(t.embeddings, "vec_id")

@@ -169,6 +169,17 @@ def ligatures(t):
     return t.documents.select("doc_id", tx.nfc(tx.without_ligatures(F.col("text"))).alias("text"))
 
 
+_SPACED = "CASE WHEN p_partkey % 3 = 0 THEN upper({name}) ELSE {name} END"
+
+
+@query("spaced_out", "SELECT p_partkey, 'Part: ' || array_to_string(list_transform(string_split(" + _SPACED.format(name="p_name") + ", ' '), lambda w: CASE WHEN length(w) < 4 THEN array_to_string(string_split(w, ''), ' ') ELSE w END), ' ') || ', a b c by ' || p_brand AS text FROM part")
+def spaced_out(t):
+    """Names set letter by letter (as of a parts list's headings) closed up; words of three letters stay apart, as initials do."""
+    apart = F.expr("trim(regexp_replace(replace(" + _SPACED.format(name="p_name") + ", ' ', '\\u00a0'), '(\\\\p{L})(?=\\\\p{L})', '$1 '))")
+    text = F.concat(F.lit("Part: "), F.replace(apart, F.lit("\u00a0"), F.lit(" . ")), F.lit(", a b c by "), "p_brand")
+    return t.part.select("p_partkey", F.replace(tx.spaced_out(text), F.lit(" . "), F.lit(" ")).alias("text"))
+
+
 @query("glued", """SELECT doc_id, hits >= 3 OR (words > 0 AND hits * 20 >= words) AS glued FROM (SELECT doc_id, len(regexp_extract_all(text, '[a-z][A-Z]')) + len(regexp_extract_all(text, '[0-9][A-Za-z]{3}')) + len(regexp_extract_all(text, '[.,;][A-Za-z]')) AS hits, len(regexp_extract_all(text, '[^ \\n]+')) AS words FROM documents)""")
 def glued(t):
     """A flattened table: words run together, three times or in one word of twenty."""
