@@ -17,15 +17,19 @@ def _cells(low: float, high: float, levels: int):
 
 def _nodes(first: Column, last: Column, levels: int) -> Column:
     """The fewest nodes (level, number) that cover the cells first to last: at each level at most one at either end."""
-    out = []
-    a, z = first, last + 1  # half open, shrunk from level to level
-    for level in range(levels + 1):
+
+    def at(level):
+        size = F.call_function("shiftleft", F.lit(1).cast("long"), level)
+        a, z = _shifted(first + size - 1, level), _shifted(last + 1, level)  # half open, ever fewer nodes at either side
         left, right = (a % 2 == 1) & (a < z), (z % 2 == 1) & (a < z)
-        out.append(F.when(left | (F.lit(level) == levels) & (a < z), F.struct(F.lit(level).alias("level"), a.alias("node"))))
-        out.append(F.when(right & ~(left & (a + 1 == z)) & (F.lit(level) < levels), F.struct(F.lit(level).alias("level"), (z - 1).alias("node"))))
-        if level < levels:
-            a, z = F.floor((a + 1) / 2).cast("long"), F.floor(z / 2).cast("long")
-    return F.filter(F.array(*out), lambda n: n.isNotNull())
+        node = lambda n: F.struct(level.alias("level"), n.alias("node"))
+        return F.array(F.when(left | (level == levels) & (a < z), node(a)), F.when(right & ~(left & (a + 1 == z)) & (level < levels), node(z - 1)))
+
+    return F.array_compact(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)))
+
+
+def _shifted(x: Column, by: Column) -> Column:
+    return F.call_function("shiftright", x, by)
 
 
 def join_ranges(values: DataFrame, ranges: DataFrame, value: str, lo: str, hi: str, on: list[str] | None = None, levels: int = LEVELS) -> DataFrame:
@@ -41,7 +45,7 @@ def join_ranges(values: DataFrame, ranges: DataFrame, value: str, lo: str, hi: s
     low, high = values.agg(F.min(value).cast("double"), F.max(value).cast("double")).first()
     cell = _cells(low or 0.0, high or 0.0, levels)
     v, a, z = F.col(value).cast("double"), F.col(lo).cast("double"), F.col(hi).cast("double")
-    mine = values.where(F.col(value).isNotNull()).withColumn("_cell", cell(v)).withColumn("_n", F.explode(F.array(*[F.struct(F.lit(k).alias("level"), F.shiftright("_cell", k).alias("node")) for k in range(levels + 1)])))
+    mine = values.where(F.col(value).isNotNull()).withColumn("_cell", cell(v)).withColumn("_n", F.explode(F.transform(F.sequence(F.lit(0), F.lit(levels)), lambda k: F.struct(k.alias("level"), _shifted(F.col("_cell"), k).alias("node")))))
     first, last = F.when(F.col(lo).isNull(), F.lit(0).cast("long")).otherwise(cell(a)), F.when(F.col(hi).isNull(), F.lit((1 << levels) - 1).cast("long")).otherwise(cell(z))
     theirs = ranges.where(F.col(lo).isNull() | F.col(hi).isNull() | (F.col(lo) <= F.col(hi))).withColumn("_a", first).withColumn("_z", last)
     theirs = theirs.withColumn("_n", F.explode(_nodes(F.col("_a"), F.col("_z"), levels))).select("*", F.col("_n.level").alias("_level"), F.col("_n.node").alias("_node")).drop("_n", "_a", "_z")

@@ -47,8 +47,6 @@ dual("short_desc", "SELECT doc_id, substr(array_to_string(string_split(text, '.
 dual("dedupe_adjacent_lines", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents}) SELECT doc_id, CAST(pos AS INTEGER) AS pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line",
      "WITH l AS (SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents}) SELECT doc_id, pos, line FROM (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l) t WHERE before IS NULL OR before <> line")
 # Documents
-dual("unpivot", "SELECT p_partkey, 'size' AS field, CAST(p_size AS DOUBLE) AS value FROM {part} UNION ALL SELECT p_partkey, 'price', p_retailprice FROM {part}", "SELECT p_partkey, stack(2, 'size', double(p_size), 'price', p_retailprice) AS (field, value) FROM {part}")
-dual("rule_rows", "SELECT p_partkey, 'base' AS grp, CAST(p_size AS DOUBLE) AS value, 'given' AS status FROM {part} UNION ALL SELECT p_partkey, 'other', p_size + 0.5, 'rule_derived' FROM {part} WHERE p_size > 10", "SELECT p_partkey, e.grp, double(e.value) AS value, e.status FROM (SELECT p_partkey, explode(filter(array(struct('base' AS grp, double(p_size) AS value, 'given' AS status), struct('other' AS grp, p_size + 0.5D AS value, 'rule_derived' AS status)), x -> x.grp = 'base' OR p_size > 10)) AS e FROM {part}) t")
 _L = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM {documents})"
 _LS = "(SELECT doc_id, posexplode(split(text, '\\n')) AS (pos, line) FROM {documents})"
 dual("embed_string", "SELECT doc_id, source || CASE WHEN contains(source, '1') THEN '' ELSE ' 2026' END || ' | ' || lang || chr(10) || text AS s FROM {documents}")
