@@ -96,6 +96,8 @@ class _Builder(HTMLParser):
                 up = up.parent
             if last is not None:
                 self.at = last.parent
+        if tag in ("td", "th") and (up := Node("", {}, self.at).within("tr", "table")) is not None and up.tag == "table":
+            self.handle_starttag("tr", [])  # cells without a row make one
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)}, self.at)
         self.at.children.append(node)
         if tag in VOID:
@@ -160,7 +162,7 @@ def main_text(html: str | Node | None, spam: str | None = None, start: int = STA
     return "\n".join(lines[first:])
 
 
-def links(html: str | Node | None, base: str | None, least: int = 6, keep: str = "") -> list[tuple[str, str]]:
+def links(html: str | Node | None, base: str | None, least: int = 0, keep: str = "") -> list[tuple[str, str]]:
     """Absolute url and text of the links with a text of `least` characters and a url that matches `keep`; each url once, without the page itself. What is no url is left out."""
     found: dict[str, str] = {}
     for a in tree(html).elements("a", whole=True):
@@ -177,7 +179,7 @@ def links(html: str | Node | None, base: str | None, least: int = 6, keep: str =
 
 
 def facts(html: str | Node | None, labels: dict[str, str] | None = None) -> dict[str, str]:
-    """`label: value` items, paragraphs and table rows of two cells outside what is dropped. With `labels` (in lower case), only those, under their keys; the last value of a key counts."""
+    """`label: value` items, paragraphs and table rows of two cells outside what is dropped. The first value of a label counts; with `labels` (in lower case), only those, under their keys, and the last value of a key."""
     found: dict[str, str] = {}
     for node in tree(html).elements("li", "p", "dd", "tr"):
         if node.tag == "tr":
@@ -189,7 +191,7 @@ def facts(html: str | Node | None, labels: dict[str, str] | None = None) -> dict
         if pair:
             label, value = pair[0].strip(" :"), pair[1].strip()
             key = labels.get(label.lower()) if labels is not None else label if 2 <= len(label) <= 40 else None
-            if key and value:
+            if key and value and (labels is not None or key not in found):
                 found[key] = value
     return found
 
@@ -221,6 +223,22 @@ def sections(html: str | Node | None, skip: frozenset[str] = frozenset(), noise:
     return out
 
 
+def cell_text(cell: Node) -> str:
+    """A cell's own text: inline elements join their letters, others end a word; what a nested table holds is that table's."""
+    out, stack = [], [iter(cell.children)]
+    while stack:
+        for x in stack[-1]:
+            if isinstance(x, str):
+                out.append(x)
+            elif x.tag != "table" and not x.dropped():
+                out.append(" " if x.tag in _BLOCKS or x.tag in ("p", "br", "h1", "h2", "h3", "h4", "h5", "h6") else "")
+                stack.append(iter(x.children))
+                break
+        else:
+            stack.pop()
+    return squeezed("".join(out))
+
+
 def _span(cell: Node, name: str, most: int) -> int:
     n = cell.attrs.get(name, "1").strip()
     return min(max(int(n), 1), most) if n.isdecimal() else 1
@@ -243,7 +261,7 @@ def grid(table: Node) -> list[list[tuple[str, Node | None]]]:
         after: dict[int, tuple[int, tuple[str, Node]]] = {}
         for cell in (x for x in tr.elements("td", "th") if x.within("tr") is tr):
             hung()
-            own = squeezed(" ".join(cell.text().split()))
+            own = cell_text(cell)
             what = ("x" if own in TICKS else own, cell)
             down = _span(cell, "rowspan", SPANS[1])
             for _ in range(_span(cell, "colspan", SPANS[0])):

@@ -15,7 +15,7 @@ def _stage(f, kind: str):
 
 # Pages
 query("html_text")(lambda t: t.pages.select("page_id", _stage(html.main_text, "string")("html").alias("value")))
-query("html_links")(lambda t: t.pages.select("page_id", _stage(lambda h, u: [f"{x} {y}" for x, y in html.links(h, u, keep="^https?://")], "array<string>")("html", "url").alias("value")))
+query("html_links")(lambda t: t.pages.select("page_id", _stage(lambda h, u: [f"{x} {y}" for x, y in html.links(h, u, least=6, keep="^https?://")], "array<string>")("html", "url").alias("value")))
 query("html_facts")(lambda t: t.pages.select("page_id", _stage(lambda h: [f"{k}={v}" for k, v in html.facts(h).items()], "array<string>")("html").alias("value")))
 query("html_tables")(lambda t: t.pages.select("page_id", _stage(lambda h: ["|".join(r) for x in html.tables(h) for r in x], "array<string>")("html").alias("value")))
 
