@@ -38,13 +38,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleared(spark: SparkSession, *folders: str) -> None:
+    """Deletes folders of the shared folder with all that is in them."""
+    for f in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def dropped(*frames: DataFrame) -> None:
     """Deletes tables that saved() wrote."""
     for df in frames:
-        spark = df.sparkSession
-        for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        cleared(df.sparkSession, *{x.rpartition("/")[0] for x in df.inputFiles()})
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -6,15 +6,17 @@ import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm._common import crc_fold, dropped, filesystem, saved, scratch, write_whole
+from tessella.llm._common import cleared, crc_fold, dropped, filesystem, saved, scratch, write_whole
 
 FOLDS, VOCABULARY = 10, "piece_bpe_32k.model"
 #: Bytes of text in a block: a block's distinct words and their scores are one task's dictionary.
 BLOCK_BYTES = 24 << 20
+#: A word's places are rows of the blocks of 2 ** SLICE_BITS tasks each.
+SLICE_BITS = 5
 #: Added to each piece's count.
 PIECE_ADD = 0.05
 #: Classes of texts (languages) that get word edges of their own.
@@ -175,7 +177,8 @@ def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str |
     which the text's own value of that column plays no part.
 
     Counts cover all training rows and are summed by word in the cluster; no task or driver holds the vocabulary of the
-    corpus: texts stand in blocks of bounded bytes, and each block gets the scores of its own words as one file.
+    corpus: texts stand in blocks of bounded bytes, and each block gets the scores of its own words as one file. A word
+    that stands in all blocks has its places in many rows of bounded length. What is written on the way is deleted.
     A null text is empty: one end. An empty table gives none. With no training rows N is 0 and the pieces have all mass.
     Repeated rows count as often as they occur. Null ids belong to the fold of an empty text.
     """
@@ -186,15 +189,20 @@ def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str |
     blocks = _blocks(documents, id_type, block_bytes, class_column, classes)
     listed = blocks.where("kind = 1")
     sums = [F.sum(F.col("n")[k].cast("long")) for k in range(width)]
-    grouped = listed.groupBy("word").agg(F.array(*sums).alias("by_class"), F.collect_list(F.struct("block", "number")).alias("places"))
+    # One shuffle by word serves the slices of its places and its counts over all of them.
+    sliced = listed.repartition("word").groupBy("word", F.shiftright("block", 24 + SLICE_BITS).alias("slice"))
+    sliced = sliced.agg(F.array(*sums).alias("some"), F.collect_list(F.struct("block", "number")).alias("places"))
+    whole = Window.partitionBy("word")
+    grouped = sliced.select("word", "places", F.array(*(F.sum(F.col("some")[k]).over(whole) for k in range(width))).alias("by_class"), (F.col("slice") == F.min("slice").over(whole)).alias("leading"))
     words = saved(grouped.withColumn("c", sum(F.col("by_class")[k] for k in range(width))), "lm-words")
+    each = words.where("leading")
     class_ends = np.zeros(width)
     for r in blocks.where("kind = 0 AND NOT held_out").groupBy("class").count().collect():
         class_ends[r["class"]] = r["count"]
     ends = int(class_ends.sum())
-    sums = words.agg(*(F.coalesce(F.sum(F.col("by_class")[k]), F.lit(0)) for k in range(width)), *(F.count_if(F.col("by_class")[k] > 0) for k in range(width))).first()
+    sums = each.agg(*(F.coalesce(F.sum(F.col("by_class")[k]), F.lit(0)) for k in range(width)), *(F.count_if(F.col("by_class")[k] > 0) for k in range(width))).first()
     class_words, class_types = np.array(sums[:width], float), np.array(sums[width:], float)
-    one = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
+    one = each.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.count_if(F.col("c") == 1), F.count_if(F.col("c") == 2)).first()
     in_words, types, once, twice = (int(x) for x in one)
     total, distinct = in_words + ends, types + (ends > 0)
     discount = once / (once + 2 * twice) if once and twice else 0.5
@@ -212,7 +220,7 @@ def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str |
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_pydict({"id": pa.array(ids, pa.int32()), "n": pa.array(counts[ids], pa.int64())})
 
-    found = words.where("c > 0").select("word").mapInArrow(count_pieces, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    found = each.where("c > 0").select("word").mapInArrow(count_pieces, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
     pieces, byte_ids, prior = vocabulary(model)
     weights = PIECE_ADD * len(prior) * prior
     for r in found.collect():  # at most a row per piece of the vocabulary
@@ -315,8 +323,9 @@ def lm_scores(documents: DataFrame, model: str = VOCABULARY, class_column: str |
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array([total] * len(rows), pa.int64()), pa.array(bases, pa.float64()), pa.array(scores, pa.float64())], schema=kinds)
 
     texts = blocks.where("kind = 0").select("block", "doc_id", "held_out", "words")
-    result = texts.mapInArrow(score_texts, out)
-    dropped(words)
+    result = saved(texts.mapInArrow(score_texts, out), "lm-scores")
+    dropped(words, blocks)
+    cleared(spark, folder)
     return result
 
 
