@@ -163,12 +163,12 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
                 bucket, within = sig % np.uint64(buckets), sig // np.uint64(buckets)
                 low, high = (within & np.uint64(0xFFFFFFFF)).astype("<u4"), (within >> np.uint64(32)).astype("u1")
                 order = np.argsort(bucket, kind="stable")
-                cuts = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=np.uint64))
-                for b in range(buckets):
-                    o = order[cuts[b] : cuts[b + 1]]
-                    if len(o):
-                        mine, count = np.unique(of[o], return_counts=True)
-                        out.append({"bucket": b, "h_count": count.astype("<u4").tobytes(), "low": low[o].tobytes(), "high": high[o].tobytes(), "seg": seg[o].tobytes(), "del_": dele[o].tobytes()} | {k: v[mine].tobytes() for k, v in h.items()})
+                at = _starts(bucket[order])
+                # Only buckets that occur here, however many there are.
+                for a, z in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
+                    o = order[a:z]
+                    mine, count = np.unique(of[o], return_counts=True)
+                    out.append({"bucket": int(bucket[o[0]]), "h_count": count.astype("<u4").tobytes(), "low": low[o].tobytes(), "high": high[o].tobytes(), "seg": seg[o].tobytes(), "del_": dele[o].tobytes()} | {k: v[mine].tobytes() for k, v in h.items()})
             heads, posts, docs, sketches, held = [], [], [], [], 0
             table = _batch(out, names, ["bucket"])
             yield from table.to_batches()
@@ -403,9 +403,12 @@ def _cross_pairs(percent: int):
     return run
 
 
-def _bitmap(ids: DataFrame) -> np.ndarray:
-    """Packed bits, set at the hash of each id: a filter of bounded size (32 MB) before the join that decides."""
+def _bitmap(ids: DataFrame) -> np.ndarray | None:
+    """Packed bits, set at the hash of each id: a filter of bounded size (32 MB) before the join that decides. None where
+    there are so many ids that most bits would be set."""
     wanted = SPARSE * ids.count()
+    if wanted > SPARSE // 2 * BITMAP[1]:
+        return None
     size = int(np.clip(1 << max(0, wanted - 1).bit_length(), *BITMAP))
 
     def run(batches: Iterable) -> Iterator:
@@ -429,7 +432,10 @@ def _place(ids: np.ndarray, size: int) -> np.ndarray:
 def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link. Only candidates' texts become sets; rows of one id are all compared."""
     ids = saved(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "jaccard-ids")
-    bits = documents.sparkSession.sparkContext.broadcast(_bitmap(ids))
+    bitmap = _bitmap(ids)
+    if bitmap is None:
+        documents = documents.join(ids, F.col("doc_id") == F.col("id"), "left_semi")
+    bits = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def sets(batches: Iterable) -> Iterator:
         import pyarrow as pa
@@ -438,8 +444,11 @@ def _verified(documents: DataFrame, pairs: DataFrame, size: int, percent: int) -
         packed = bits.value
         for batch in batches:
             doc = batch.column("doc_id").to_numpy()
-            at = _place(doc, 8 * len(packed))
-            hit = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
+            if packed is None:
+                hit = np.arange(len(doc))
+            else:
+                at = _place(doc, 8 * len(packed))
+                hit = np.flatnonzero(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1)
             texts = batch.column("text").take(pa.array(hit)).to_pylist()
             for i in range(0, len(hit), 1000):
                 yield pa.RecordBatch.from_pydict({"id": pa.array(doc[hit[i : i + 1000]], pa.int64()), "x": pa.array([shingle_set(t, size).tobytes() for t in texts[i : i + 1000]], pa.binary())})
