@@ -9,10 +9,10 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm._common import dropped, filesystem, release, saved, scratch, write_whole
+from tessella.llm._common import dropped, filesystem, release, saved, scratch, shuffle_parts, write_whole
 
 TOKENIZER, END_ID = "byte_bpe_50k.json", 2
 #: Bits of the longest code (the decoding table has 2 ** MAX_BITS entries), ids in a block, text bytes in a file.
@@ -319,34 +319,27 @@ def encoder(path: str, memory: int) -> Encoder:
 def _bounds(documents: DataFrame, file_bytes: int) -> np.ndarray:
     """Document ids that part the table into ranges of about file_bytes text. An id that is repeated often comes twice or more.
 
-    Quantiles of the ids cut the table four times finer; a pass over the sizes then tells how many of these make a file.
+    The sizes are parted by ranges of ids; each range's sums start where the one before it ends, and an id that takes
+    the sum over a multiple of a file's share ends a file. The driver gets a number for each range and each file.
     """
-    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    total = documents.agg(F.sum(size)).first()[0] or 0
+    spark = documents.sparkSession
+    # A document's id, length and end count too, so that files of empty texts are bounded.
+    size = F.octet_length(F.coalesce(F.col("text").cast("string"), F.lit(""))) + 16
+    known = saved(documents.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), size.cast("long").alias("n")), "token-sizes")
+    total = known.agg(F.sum("n")).first()[0] or 0
     parts = int(max(1, min(MAX_FILES, -(-total // file_bytes))))
     if parts == 1:
+        dropped(known)
         return np.zeros(0, np.int64)
-    known = documents.where("doc_id IS NOT NULL")
-    cuts = np.array(known.approxQuantile("doc_id", [i / (4 * parts) for i in range(1, 4 * parts)], 1 / (20 * parts)), np.int64)
-    shared = documents.sparkSession.sparkContext.broadcast(cuts)
-
-    def weigh(batches: Iterable) -> Iterator:
-        import pyarrow as pa
-
-        sums = np.zeros(len(shared.value) + 1)
-        for batch in batches:
-            ids, n = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            lo, hi = np.searchsorted(shared.value, ids, "left"), np.searchsorted(shared.value, ids, "right")
-            lo += np.where(hi - lo < 2, 0, np.arange(len(ids)) % np.maximum(1, hi - lo))
-            sums += np.bincount(lo, weights=n, minlength=len(sums))
-        at = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_pydict({"at": pa.array(at, pa.int64()), "n": pa.array(sums[at])})
-
-    sums = np.zeros(len(cuts) + 1)
-    for r in known.select("doc_id", size.cast("long").alias("n")).mapInArrow(weigh, "at long, n double").groupBy("at").agg(F.sum("n").alias("n")).toLocalIterator():
-        sums[r["at"]] = r["n"]
-    file = (np.cumsum(sums) / (sums.sum() / parts)).astype(np.int64)  # which file a cut ends
-    return cuts[np.flatnonzero(file[1:] != file[:-1])]
+    ranged = saved(known.repartitionByRange(shuffle_parts(spark), "doc_id").withColumn("range", F.spark_partition_id()), "token-ranges")
+    before = {r["range"]: r["n"] for r in ranged.groupBy("range").agg(F.sum("n").alias("n")).collect()}
+    starts = spark.createDataFrame([(k, sum(before[x] for x in before if x < k)) for k in before], "range int, start long")
+    upto = Window.partitionBy("range").orderBy("doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
+    placed = ranged.join(starts, "range").withColumn("upto", F.col("start") + F.sum("n").over(upto))
+    share = -(-total // parts)
+    ends = placed.where(F.expr(f"upto div {share} > (upto - n) div {share}")).select("doc_id").collect()
+    dropped(known, ranged)
+    return np.sort(np.array([r["doc_id"] for r in ends], np.int64))
 
 
 def write_tokens(documents: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_id: int = END_ID, max_bits: int = MAX_BITS, file_bytes: int = FILE_BYTES, memory: int = Encoder.MEMORY) -> DataFrame:
