@@ -212,30 +212,50 @@ def _sql_line(text: str) -> str:
     return f"trim(regexp_replace({numbers}, '[^\\p{{L}}\\p{{Nd}}_]+', ' ', 'g'))"
 
 
-def _sql_template(line: str) -> str:
-    named = f"lower(regexp_replace(regexp_replace({line}, '\\p{{Nd}}+(_\\p{{Nd}}+)*', '#', 'g'), '\\p{{Lu}}\\p{{Ll}}+', '@', 'g'))"
-    return f"regexp_replace({named}, '# ({'|'.join(UNITS)})( |$)', '# %\\2', 'g')"
+def _sql_units(t: str) -> str:
+    return f"regexp_replace({t}, '# ({'|'.join(UNITS)})( |$)', '# %\\2', 'g')"
+
+
+def _sql_caseless(t: str) -> str:
+    return f"replace(lower({t}), 'ß', 'ss')"
+
+
+def _sql_words(name: str, lines: str, key: str) -> str:
+    """The rows of `lines` (key, line) with raw, words and folded: caseless tokens, templates, templates without names."""
+    numbers = "regexp_replace(line, '\\p{Nd}+(_\\p{Nd}+)*', '#', 'g')"
+    named = f"lower(regexp_replace({numbers}, '\\p{{Lu}}\\p{{Ll}}+', '@', 'g'))"
+    split = lambda t: f"string_split({t}, ' ')"
+    return f"{name} AS (SELECT {key}, {split(_sql_caseless('line'))} AS raw, {split(_sql_units(named))} AS words, {split(_sql_units(_sql_caseless(numbers)))} AS folded FROM {lines})"
 
 
 _SQL_SLOT = "(contains({0}, '#') OR contains({0}, '@') OR {0} = '%')"
+#: All kinds but altered, which no row of the given tables is.
 OP9_SQL = f"""
-WITH i AS (SELECT DISTINCT item_id, {_sql_line("text")} AS line FROM benchmark WHERE item_id IS NOT NULL),
-iw AS (SELECT item_id, string_split(line, ' ') AS raw, string_split({_sql_template("line")}, ' ') AS words FROM i),
-ip AS (SELECT *, least({WINDOW}, len(words)) AS size FROM iw WHERE len(words) >= {LEAST}),
-ix AS (SELECT item_id, size, ia, words[ia + 1:ia + size] AS win, raw[ia + 1:ia + size] AS vals FROM (SELECT *, unnest(range(0, len(words) - size + 1)) AS ia FROM ip)),
-ik AS (SELECT * FROM ix WHERE len(list_filter(win, lambda t: NOT {_SQL_SLOT.format("t")})) >= least({LITERALS}, size - 1)),
+WITH i AS (SELECT DISTINCT item_id, {_sql_line("text")} AS line FROM benchmark WHERE item_id IS NOT NULL AND {_sql_line("text")} <> ''),
+{_sql_words("iw", "i", "item_id")},
+ip AS (SELECT *, least({WINDOW}, len(words)) AS size FROM iw),
+ia AS (SELECT item_id, size, unnest(range(0, len(words) - size + 1)) AS ia, words, folded, raw FROM ip),
+ix AS (SELECT item_id, size, ia, len(words) AS n, words[ia + 1:ia + size] AS win, folded[ia + 1:ia + size] AS fold, raw[ia + 1:ia + size] AS vals FROM ia),
+ik AS (SELECT * FROM ix WHERE n >= {LEAST} AND len(list_filter(win, lambda t: NOT {_SQL_SLOT.format("t")})) >= least({LITERALS}, size - 1)),
 b AS (SELECT *, count(*) OVER (PARTITION BY item_id) AS item_windows FROM ik),
+q AS (SELECT *, n - size + 1 AS item_windows FROM ix WHERE item_id NOT IN (SELECT item_id FROM b)),
 d AS (SELECT doc_id, {_sql_line("text")} AS line FROM documents WHERE doc_id IS NOT NULL),
-dw AS (SELECT doc_id, string_split(line, ' ') AS raw, string_split({_sql_template("line")}, ' ') AS words FROM d),
-dp AS (SELECT dw.*, s.size, unnest(range(0, len(words) - s.size + 1)) AS place FROM dw, (SELECT DISTINCT size FROM b) s WHERE len(words) >= s.size),
-dx AS (SELECT doc_id, size, place, words[place + 1:place + size] AS win, raw[place + 1:place + size] AS vals FROM dp),
-m AS (SELECT doc_id, item_id, item_windows, place - ia AS diagonal, ia, dx.win, dx.vals AS dv, b.vals AS iv FROM dx JOIN b ON dx.size = b.size AND dx.win = b.win),
+{_sql_words("dw", "d", "doc_id")},
+ds AS (SELECT size FROM b UNION SELECT size FROM q),
+dt AS (SELECT doc_id, len(words) AS n, generate_subscripts(words, 1) - 1 AS place, unnest(words) AS w, unnest(folded) AS f, unnest(raw) AS v FROM dw),
+dl AS (SELECT doc_id, n, place, list(w) OVER o AS ws, list(f) OVER o AS fs, list(v) OVER o AS vs FROM dt WINDOW o AS (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+dx AS (SELECT doc_id, size, place, n, ws[1:size] AS win, fs[1:size] AS fold, vs[1:size] AS vals FROM dl, ds WHERE place + size <= n),
+m AS (SELECT doc_id, item_id, item_windows, place - ia AS diagonal, ia, b.win, dx.vals AS dv, b.vals AS iv FROM dx JOIN b ON dx.size = b.size AND dx.win = b.win
+  UNION ALL SELECT doc_id, item_id, item_windows, place - ia, ia, b.win, dx.vals, b.vals FROM dx JOIN b ON dx.size = b.size AND dx.fold = b.fold WHERE dx.win <> b.win),
 n AS (SELECT doc_id, item_id, diagonal, any_value(item_windows) AS item_windows, count(DISTINCT ia) AS n_windows FROM m GROUP BY ALL),
 u AS (SELECT doc_id, item_id, diagonal, unnest(win) AS w, unnest(iv) AS i, unnest(dv) AS v FROM m),
 p AS (SELECT DISTINCT doc_id, item_id, diagonal, i, v FROM u WHERE {_SQL_SLOT.format("w")}),
 c AS (SELECT doc_id, item_id, diagonal, count(*) AS n_slots, count(DISTINCT i) AS ni, count(DISTINCT v) AS nv, bool_and(i = v) AS exact FROM p GROUP BY ALL),
 f AS (SELECT n.*, coalesce(n_slots, 0) AS n_slots, coalesce(exact, true) AS exact FROM n LEFT JOIN c USING (doc_id, item_id, diagonal)
   WHERE coalesce(ni = n_slots AND nv = n_slots, true) AND n_windows >= {COVERAGE} * item_windows),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, exact DESC, diagonal) AS k FROM f)
-SELECT doc_id, item_id, n_windows, item_windows, n_slots::BIGINT AS n_slots, CASE WHEN exact THEN 'exact' ELSE 'reparameterised' END AS kind FROM r WHERE k = 1
+e AS (SELECT doc_id, item_id, place - ia AS diagonal, any_value(item_windows) AS item_windows, count(DISTINCT ia) AS n_windows
+  FROM dx JOIN q ON dx.size = q.size AND dx.vals = q.vals WHERE q.n >= {BRIEF} OR q.n = dx.n GROUP BY ALL HAVING n_windows >= {COVERAGE} * any_value(item_windows)),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY n_windows DESC, exact DESC, diagonal) AS k
+  FROM (SELECT doc_id, item_id, diagonal, item_windows, n_windows, n_slots, exact FROM f UNION ALL SELECT doc_id, item_id, diagonal, item_windows, n_windows, 0, true FROM e))
+SELECT doc_id, item_id, n_windows, item_windows::BIGINT AS item_windows, n_slots::BIGINT AS n_slots, CASE WHEN exact THEN 'exact' ELSE 'reparameterised' END AS kind FROM r WHERE k = 1
 """
