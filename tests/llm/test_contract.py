@@ -176,3 +176,30 @@ def leaks_of(spark, docs):
 
     found = decontam.find_leaks(docs, spark.read.parquet(f"{SF}/benchmark.parquet"))
     return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+
+
+def test_pipeline_run(spark):
+    """run() whole: the stages' operators one after the other, then the ids of what is left by the library itself."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    import struct
+    import zlib
+
+    import public_tokenizers
+    import tokenizers
+
+    from tessella.llm import mixing
+    from tessella.llm._common import saved
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for step in (quality_of, near_of, leaks_of):
+        docs = saved(docs.join(step(spark, docs).select("doc_id"), "doc_id", "left_semi").select(*docs.columns), "test-pipeline")
+    library = tokenizers.Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want, start = [], 0
+    for r in sorted(mixing.mix(docs).select("doc_id", "text").collect(), key=lambda r: r["doc_id"]):
+        ids = [*library.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want.append((r["doc_id"], len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))))
+    got = sorted(map(tuple, corpus_pipeline.run(spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").collect()), key=lambda r: (r[0], r[1]))
+    assert want and sorted((i, n, c) for i, _, n, c in got) == sorted(want)
+    for _, at, n, _ in got:
+        assert at == start
+        start += n

@@ -71,3 +71,48 @@ def test_clashing_columns_and_empty_tables(spark, empty):
         n = tables[0].count()
         assert got["jaccard"] == got["lm"] == got["tokens"] == got["quality"] == got["leaks"] == n
         assert (got["chat"], got["urls"], got["warc"], got["nearest"]) == (1, 2, 2, 1) and got["near"] == n - 1
+
+
+def test_decontamination_of_two_texts_of_one_id_and_of_long_texts(spark):
+    item = "the quick brown river carries seven old boats down to the quiet harbour before winter"
+    words = item.split()
+    half = [" ".join(words[:9]), " ".join(words[6:])]  # each by itself: neither half of one id makes a whole
+    rows = [(1, "nothing"), (1, f"so {item} then"), (2, "filler words here " * 60_000 + item), (3, half[0]), (3, half[1] + " x"), (4, None), (None, item), (5, item.upper())]
+    got = decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(9, item)], "item_id long, text string"))
+    found = {r["doc_id"]: r for r in got.collect()}
+    n = len(words) - decontam.WINDOW + 1
+    assert {1, 2, 5} <= set(found) and not {4, None} & set(found)
+    assert all((found[i]["n_windows"], found[i]["item_windows"], found[i]["kind"]) == (n, n, "exact") for i in (1, 2, 5))
+    assert 3 not in found or found[3]["n_windows"] < n
+
+
+def test_urls_of_null_and_repeated_pages(spark):
+    rows = [(None, "https://a.net/x", None), (1, "https://b.example.net/en/x", None), (1, "https://b.example.net/en/x", None), (2, None, None), (2, "https://Q.example.com/de/?x", None)]
+    got = urls.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"] or 0, r["host"], r["path"], r["rule"], r["verdict"]) for r in got if r["rule"]) == [
+        (0, "a.net", "/x", "net/", "block"), (1, "b.example.net", "/en/x", "example.net/en/", "allow"), (1, "b.example.net", "/en/x", "example.net/en/", "allow"), (2, "q.example.com", "/de/", "example.com/de/", "block")]
+    assert [(r["host"], r["path"]) for r in got if not r["rule"]] == [("", "")]
+
+
+def test_chats_of_null_turns_and_roles(spark):
+    rows = [(1, None, "user", "first"), (1, 0, None, "b"), (1, 0, "assistant", None), (1, 1, "assistant", "c"), (None, 0, "user", "d"), (None, 0, "user", "d")]
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert sorted(r["conv_id"] or 0 for r in got.collect()) == [0, 1]
+
+
+def test_quality_of_repeated_ids_with_other_texts(spark):
+    texts = ["good solid prose about rivers and towns", "click here win win win now", "", None]
+    rows = [(i % 20, texts[(i + i // 20) % 4], "en", "s", 0) for i in range(80)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(20)], "doc_id long, quality int")
+    got = quality.quality_scores(spark.createDataFrame(rows, DOCS), labels).collect()
+    assert len(got) == 80 and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in got)
+    assert len({(r["text"] or "", r["score"]) for r in got}) == len({r["text"] or "" for r in got})
+
+
+def test_nearest_ties_by_the_index(spark):
+    """Repeated vectors on the indexed path: ties go to the smaller id, and every copy may be found."""
+    rows = [(i, [float(i % 40), float(i % 40 % 7), 1.0]) for i in range(1200)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), lambda i: i % 100 == 0).collect()
+    for q in range(0, 1200, 100):
+        own = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert own == [(k + 1, i, 0.0) for k, i in enumerate([i for i in range(q % 40, 1200, 40) if i != q][:10])]
