@@ -170,3 +170,57 @@ def lists(req, units, catalog, methods, fact, segments):
     late = year.where("NOT covered").select("req", F.col("year").cast("string").alias("item"), F.lit("year not covered").alias("reason"))
     odd = good.where("metric = 'quota' AND method IS NOT NULL").select("req", F.concat(F.lit("quota by "), "method").alias("item"), F.lit("not collected").alias("reason"))
     return envelope(req, data, unknown.unionByName(bad).unionByName(late).unionByName(odd), req.where("false").select("req", F.lit("").alias("candidate")))
+
+
+# ---------------------------------------------------------------- fees: four kinds, each with years of its own
+_KINDS = ("program", "year_rule", "credit", "fee")
+_ALL_KINDS_SQL = "[" + ", ".join(f"'{k}'" for k in _KINDS) + "]"
+_MONEY = "DECIMAL(15,2)"
+_FEES_SQL = f"""
+WITH req AS (SELECT s_suppkey AS req, 'nation ' || CASE WHEN s_suppkey % 11 = 10 THEN 99 ELSE s_nationkey END AS mention, CASE s_suppkey % 6 WHEN 0 THEN {_ALL_KINDS_SQL} WHEN 1 THEN ['program'] WHEN 2 THEN ['year_rule'] WHEN 3 THEN ['credit', 'fee', 'colour'] WHEN 4 THEN ['fee'] ELSE ['colour'] END AS kinds,
+  CASE s_suppkey % 4 WHEN 1 THEN 1996 WHEN 2 THEN 1950 WHEN 3 THEN 1999 END AS year FROM supplier),
+paid AS (SELECT c_nationkey AS code, n_regionkey AS region, CAST(year(o_orderdate) AS INTEGER) AS year, CAST(o_totalprice AS {_MONEY}) AS amount FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey),
+general AS (SELECT region, year, min(amount) AS amount FROM paid GROUP BY ALL),
+fact AS (SELECT 'program' AS kind, code, year, concat_ws('|', 'program', year, min(amount), max(amount), 'per order') AS row, 'orders' AS source FROM paid GROUP BY code, year
+  UNION ALL SELECT 'year_rule', code, year, concat_ws('|', 'year_rule', year, 'flat', min(amount), 'per year'), 'orders' FROM paid WHERE code % 5 = 0 GROUP BY code, year
+  UNION ALL SELECT 'year_rule', n_nationkey, year, concat_ws('|', 'year_rule', year, 'general', amount, 'per year'), 'orders' FROM general JOIN nation ON n_regionkey = region WHERE NOT EXISTS (SELECT 1 FROM paid p WHERE p.code = n_nationkey AND p.year = general.year AND p.code % 5 = 0)
+  UNION ALL SELECT 'credit', code, year, concat_ws('|', 'credit', year, max(amount), 'per unit'), 'lineitem' FROM (SELECT s_nationkey AS code, CAST(year(l_shipdate) AS INTEGER) AS year, CAST(l_extendedprice AS {_MONEY}) AS amount FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_quantity = 1) GROUP BY code, year
+  UNION ALL SELECT 'fee', -1, year, concat_ws('|', 'fee', year, l_linestatus, max(amount), 'once'), 'lineitem' FROM (SELECT CAST(year(l_shipdate) AS INTEGER) AS year, l_linestatus, CAST(l_tax AS {_MONEY}) AS amount FROM lineitem) GROUP BY year, l_linestatus),
+found AS (SELECT req, n_nationkey AS code, kinds, year FROM req JOIN nation ON mention = {_NORM("n_name")}),
+asked AS (SELECT req, code, kind, coalesce(a.year, (SELECT max(year) FROM fact f WHERE f.kind = a.kind)) AS year FROM (SELECT req, code, year, unnest(kinds) AS kind FROM found) a),
+data AS (SELECT req, row, source FROM asked a JOIN fact f ON a.kind = f.kind AND a.year = f.year AND f.code = CASE WHEN a.kind = 'fee' THEN -1 ELSE a.code END),
+missing AS (SELECT req, mention AS item, 'unknown' AS reason FROM req WHERE req NOT IN (SELECT req FROM found) UNION ALL SELECT req, kind, 'no such kind' FROM asked WHERE kind NOT IN (SELECT unnest({_ALL_KINDS_SQL}))
+  UNION ALL SELECT req, kind || ' ' || year, CASE WHEN EXISTS (SELECT 1 FROM fact f WHERE f.kind = a.kind AND f.year = a.year) THEN 'no row' ELSE 'year not collected' END FROM asked a
+    WHERE year IS NOT NULL AND kind IN (SELECT unnest({_ALL_KINDS_SQL})) AND NOT EXISTS (SELECT 1 FROM fact f WHERE f.kind = a.kind AND f.year = a.year AND f.code = CASE WHEN a.kind = 'fee' THEN -1 ELSE a.code END)),
+clarify AS (SELECT 0 AS req, '' AS candidate WHERE false)
+{_ANSWER}"""
+
+
+@query("tool_fees_requests", _FEES_SQL)
+def tool_fees_requests(t):
+    """Fees of four kinds, a request a supplier: amounts of an entity, rules of a year (a flat one suppresses the general one of the region),
+    rates a unit, and fees that hold for all. A kind has years of its own: its last one counts where none is asked for, and one that it
+    lacks is missing for it alone. Amounts keep their unit; none is turned into another kind's."""
+    k = F.col("s_suppkey")
+    kinds = F.when(k % 6 == 0, F.array(*map(F.lit, _KINDS))).when(k % 6 == 1, F.array(F.lit("program"))).when(k % 6 == 2, F.array(F.lit("year_rule"))).when(k % 6 == 3, F.array(F.lit("credit"), F.lit("fee"), F.lit("colour"))).when(k % 6 == 4, F.array(F.lit("fee"))).otherwise(F.array(F.lit("colour")))
+    entity = F.when(k % 11 == 10, 99).otherwise(F.col("s_nationkey"))
+    req = t.supplier.select(k.alias("req"), F.concat(F.lit("nation "), entity.cast("string")).alias("mention"), kinds.alias("kinds"), F.when(k % 4 == 1, 1996).when(k % 4 == 2, 1950).when(k % 4 == 3, 1999).alias("year"))
+    place = t.nation.select(F.col("n_nationkey").alias("code"), F.col("n_regionkey").alias("region"), plain(F.col("n_name")).alias("mention"))
+    money = lambda c: F.col(c).cast("decimal(15,2)")
+    paid = t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("code"), F.year("o_orderdate").alias("year")).agg(F.min(money("o_totalprice")).alias("low"), F.max(money("o_totalprice")).alias("high"))
+    fact = lambda df, kind, source, *parts: df.select(F.lit(kind).alias("kind"), "code", "year", F.concat_ws("|", F.lit(kind), *parts).alias("row"), F.lit(source).alias("source"))
+    # Amounts by entity and year, at most: the regions' rules come from these, not from the orders again.
+    flat = paid.where("code % 5 = 0")
+    general = paid.join(place, "code").groupBy("region", "year").agg(F.min("low").alias("low")).join(place.select("region", "code"), "region").join(flat.select("code", "year"), ["code", "year"], "left_anti")
+    credit = t.lineitem.where("l_quantity = 1").join(t.supplier, F.col("l_suppkey") == F.col("s_suppkey")).groupBy(F.col("s_nationkey").alias("code"), F.year("l_shipdate").alias("year")).agg(F.max(money("l_extendedprice")).alias("high"))
+    once = t.lineitem.groupBy(F.year("l_shipdate").alias("year"), "l_linestatus").agg(F.max(money("l_tax")).alias("high")).withColumn("code", F.lit(-1))
+    facts = fact(paid, "program", "orders", "year", "low", "high", F.lit("per order")).unionByName(fact(flat, "year_rule", "orders", "year", F.lit("flat"), "low", F.lit("per year")))
+    facts = facts.unionByName(fact(general, "year_rule", "orders", "year", F.lit("general"), "low", F.lit("per year"))).unionByName(fact(credit, "credit", "lineitem", "year", "high", F.lit("per unit"))).unionByName(fact(once, "fee", "lineitem", "year", "l_linestatus", "high", F.lit("once")))
+    years = facts.groupBy("kind").agg(F.collect_set("year").alias("years"))
+    found = req.join(place, "mention").select("req", "code", "year", F.explode("kinds").alias("kind")).join(years, "kind", "left")
+    asked = found.select("req", "kind", "years", F.coalesce("year", F.array_max("years")).alias("year"), F.when(F.col("kind") == "fee", -1).otherwise(F.col("code")).alias("code"))
+    both = asked.join(facts, ["kind", "year", "code"], "left")
+    strange = asked.where(~F.col("kind").isin(*_KINDS)).select("req", F.col("kind").alias("item"), F.lit("no such kind").alias("reason"))
+    lacking = both.where(F.col("row").isNull() & F.col("kind").isin(*_KINDS) & F.col("year").isNotNull()).select("req", F.concat_ws(" ", "kind", "year").alias("item"), F.when(F.array_contains("years", F.col("year")), "no row").otherwise("year not collected").alias("reason"))
+    unknown = req.join(place, "mention", "left_anti").select("req", F.col("mention").alias("item"), F.lit("unknown").alias("reason"))
+    return envelope(req, both.where("row IS NOT NULL").select("req", "row", "source"), unknown.unionByName(strange).unionByName(lacking), req.where("false").select("req", F.lit("").alias("candidate")))
