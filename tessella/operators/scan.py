@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,12 @@ from tessella.functions.folding import RUN, PerCharacter, fold
 
 #: Letters that a name needs, folded, to be looked for.
 LEAST = 4
-#: Aliases that a task gets as an automaton, at most; of a larger table, word runs of the texts are joined with it.
-SHIPPED = 100_000
+#: Aliases that a task gets as an automaton, at most, and as Arrow strings; with a larger table, word runs of the texts are joined.
+SHIPPED, LISTED = 100_000, 2_000_000
+#: Word runs that are looked up at once, and aliases that they are looked up in at once.
+LOOKED_UP, SLICE = 200_000, 500_000
+#: Bits an alias, and bits at least and at most, of the bitmap that word runs pass before they are joined.
+SPARSE, BITMAP = 16, (1 << 16, 1 << 28)
 YEAR = re.compile(r"(?<!\d)(20\d\d)(?!\d)")
 #: The classes of aliases: letter case counts, letter case doesn't count, folded names.
 EXACT, LOWER, FOLDED = "exact", "lower", "folded"
@@ -118,21 +124,27 @@ def alias_keys(aliases: DataFrame) -> DataFrame:
 _MENTIONS = "array<struct<text: string, start: int, end: int, types: array<string>>>"
 
 
-def scan_sentences(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, shipped: int = SHIPPED) -> DataFrame:
+def scan_sentences(texts: DataFrame, aliases: DataFrame, id_col: str, text_col: str, shipped: int = SHIPPED, listed: int = LISTED) -> DataFrame:
     """id, mentions (text, start, end, types; in order of place), years (20xx) of every whole text.
 
     Aliases are found in three ways. Codes with a digit or one of -_. in any letter case, with and without their hyphens; other
     codes and abbreviations as they are written; names of four letters and more whatever the letter case, accents and marks.
     None is found within a word. Longer places go first, then those further left, and no two overlap.
 
-    A table of `shipped` aliases at most is sent to each task, which builds its automata once; of a larger one nothing is sent:
-    the texts' runs of words, in the shapes that aliases have, are joined with it. Both give the same result. Null texts are empty
-    ones; repeated rows each have a result; an id or type may be null; an empty alias table finds years only.
+    A table of `shipped` aliases at most is sent to each task, which builds its automata once. One of `listed` at most is sent as
+    Arrow strings, in which the texts' runs of words, in the shapes that aliases have, are looked up: texts aren't
+    shuffled. Of a larger one only a bitmap is sent, and the runs that pass it are joined with the table. All give the same
+    result. Null texts are empty ones; repeated rows each have a result; an id or type may be null; an empty alias table finds
+    years only.
     """
     keys = alias_keys(aliases)
     small = keys.limit(shipped + 1).collect()
     rows = texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = _by_automaton(rows, small) if len(small) <= shipped else _by_join(rows, keys)
+    if len(small) <= shipped:
+        found = _by_automaton(rows, small)
+    else:
+        n = keys.count()
+        found = _by_list(rows, keys) if n <= listed else _by_join(rows, keys, n)
     years = F.sort_array(F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(r"(?<![0-9])(20[0-9][0-9])(?![0-9])"), F.lit(1)), lambda y: y.cast("int"))))
     return found.select(F.col("id").alias(id_col), "mentions", years.alias("years"))
 
@@ -154,24 +166,104 @@ def _by_automaton(rows: DataFrame, keys: list) -> DataFrame:
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, mentions {_MENTIONS}")
 
 
-def _by_join(rows: DataFrame, keys: DataFrame) -> DataFrame:
+def _shapes(keys: DataFrame) -> list[tuple]:
+    """Kinds of shapes, not aliases."""
     shape = F.udf(lambda kind, key: shape_of(kind, key), "struct<cls: string, before: int, n: int, after: int>")
-    shapes = [tuple(r[0]) for r in keys.select(shape("cls", "key").alias("s")).distinct().collect()]  # kinds of shapes, not aliases
+    return [tuple(r[0]) for r in keys.select(shape("cls", "key").alias("s")).distinct().collect()]
+
+
+def _by_list(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    shapes = _shapes(keys)
+    table = keys.select("cls", "key", F.to_json("types").alias("types")).toArrow()
+    coded = table.column("types").combine_chunks().dictionary_encode()
+    kinds, types = np.array(table.column("cls").to_pylist()), [json.loads(x) for x in coded.dictionary.to_pylist()]
+    known = {}
+    for kind in (EXACT, LOWER, FOLDED):
+        at = np.flatnonzero(kinds == kind)
+        known[kind] = [(table.column("key").take(at[i : i + SLICE]).combine_chunks(), coded.indices.to_numpy()[at[i : i + SLICE]]) for i in range(0, len(at), SLICE)]
+    forms = rows.sparkSession.sparkContext.broadcast((known, types))
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        known, types = forms.value
+
+        def look_up(runs: list[tuple], found: list[list]):
+            for kind, slices in known.items():
+                own = [r for r in runs if r[1] == kind]
+                asked = pa.array([r[4] for r in own], pa.string())
+                for strings, of in slices if own else ():
+                    hit = pc.index_in(asked, value_set=strings)
+                    for k in np.flatnonzero(hit.is_valid().to_numpy(zero_copy_only=False)).tolist():
+                        i, _, a, z, _ = own[k]
+                        found[i].append((kind, a, z, types[of[hit[k].as_py()]]))
+            runs.clear()
+
+        kind = pa.list_(pa.struct([("text", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("types", pa.list_(pa.string()))]))
+        for b in batches:
+            texts, runs = b.column("text").to_pylist(), []
+            found: list[list] = [[] for _ in texts]
+            for i, text in enumerate(texts):
+                for w in windows(text, shapes):
+                    runs.append((i, *w))
+                    if len(runs) >= LOOKED_UP:
+                        look_up(runs, found)
+            look_up(runs, found)
+            out = [[{"text": text[a:z], "start": a, "end": z, "types": t} for a, z, t in chosen(f)] for text, f in zip(texts, found, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(out, kind)], ["id", "text", "mentions"])
+
+    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, text string, mentions {_MENTIONS}")
+
+
+def _place(kind: str, key: str, size: int) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(f"{kind} {key}".encode("utf-8", "replace")) & (size - 1)
+
+
+def _bitmap(keys: DataFrame, n: int) -> bytes:
+    """Packed bits, set at the hash of each of n aliases: a filter of bounded size before the join that decides."""
+    size = int(np.clip(1 << max(0, SPARSE * n - 1).bit_length(), *BITMAP))
+
+    def run(batches):
+        import pyarrow as pa
+
+        bits = np.zeros(size, bool)
+        for b in batches:
+            bits[[_place(*x, size) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]] = True
+        yield pa.RecordBatch.from_pydict({"bits": pa.array([np.packbits(bits).tobytes()], pa.binary())})
+
+    out = np.zeros(size // 8, np.uint8)
+    for r in keys.select("cls", "key").coalesce(4).mapInArrow(run, "bits binary").toLocalIterator():
+        out |= np.frombuffer(r["bits"], np.uint8)
+    return out.tobytes()
+
+
+def _by_join(rows: DataFrame, keys: DataFrame, n: int) -> DataFrame:
+    shapes = _shapes(keys)
+    bitmap = rows.sparkSession.sparkContext.broadcast(_bitmap(keys, n))
 
     def run(batches):
         import pyarrow as pa
 
+        bits = bitmap.value
+        size = 8 * len(bits)
         kind = pa.list_(pa.struct([("cls", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("key", pa.string())]))
         for b in batches:
             for i in range(b.num_rows):
-                found = [dict(zip(("cls", "start", "end", "key"), w, strict=True)) for w in windows(b.column("text")[i].as_py(), shapes)]
+                found = []
+                for cls, a, z, key in windows(b.column("text")[i].as_py(), shapes):
+                    at = _place(cls, key, size)
+                    if bits[at >> 3] >> (7 - (at & 7)) & 1:
+                        found.append({"cls": cls, "start": a, "end": z, "key": key})
                 yield pa.RecordBatch.from_arrays([b.column("id").slice(i, 1), b.column("text").slice(i, 1), pa.array([found], kind)], ["id", "text", "w"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    distinct = rows.distinct()
-    runs = distinct.mapInArrow(run, f"id {kind}, text string, w array<struct<cls: string, start: int, end: int, key: string>>")
+    runs = rows.mapInArrow(run, f"id {kind}, text string, w array<struct<cls: string, start: int, end: int, key: string>>")
     runs = runs.select("id", F.xxhash64("text").alias("h"), F.md5("text").alias("m"), F.inline("w"))
-    hits = runs.join(keys, ["cls", "key"]).groupBy("id", "h", "m").agg(F.collect_list(F.struct("cls", "start", "end", "types")).alias("found"))
+    # Repeated rows have the same places.
+    hits = runs.join(keys, ["cls", "key"]).groupBy("id", "h", "m").agg(F.collect_set(F.struct("cls", "start", "end", "types")).alias("found"))
     pick = F.udf(lambda text, found: [(text[a:z], a, z, t) for a, z, t in chosen([tuple(f) for f in found or ()])], _MENTIONS)
     a, b = rows.withColumns({"h": F.xxhash64("text"), "m": F.md5("text")}).alias("a"), hits.alias("b")
     joined = a.join(b, F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.h") == F.col("b.h")) & (F.col("a.m") == F.col("b.m")), "left")

@@ -83,3 +83,28 @@ def test_empty_tables_repeats_and_clashing_names(spark):
         assert sorted((str(r["id"]), len(r["mentions"]), r["years"]) for r in got) == [("1", 1, [2025])] * 2 + [("None", 1, [])]
         assert scan.scan_sentences(df.limit(0), spark.createDataFrame(ALIASES, SCHEMA), "id", "text", shipped).count() == 0
     assert [r["mentions"] for r in scan.scan_sentences(df, empty, "id", "text").collect()] == [[]] * 3
+
+
+def test_a_large_table_is_looked_up_without_a_shuffle_of_the_texts(spark, monkeypatch):
+    """Slices and lookups of a few entries, and a bitmap that is nearly full, give what the automata give."""
+    for name, value in (("LOOKED_UP", 7), ("SLICE", 4), ("BITMAP", (1 << 5, 1 << 5))):
+        monkeypatch.setattr(scan, name, value)
+    texts = ["ite10, it-e10 and IT-E10", "ba nam BA", "KY  THUẬT - ô TÔ!", "ky thuat cơ khí, ô tô, ky thuat", "see #7# and 7", "nhà b1 2024", None, "ba nam BA"]
+    want = found(spark, texts)
+    for how in ({"shipped": 3}, {"shipped": 3, "listed": 3}):
+        assert found(spark, texts, **how) == want
+    df = spark.createDataFrame([(1, "BA 2025")], "id long, text string")
+    aliases = spark.createDataFrame(ALIASES, SCHEMA)
+    plan = scan.scan_sentences(df, aliases, "id", "text", shipped=3)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_a_join_through_a_bitmap_equals_automata(spark):
+    rng = np.random.default_rng(9)
+    words = ["mây", "MAY", "g-1", "G1", "AB", "ab", "x_1", "Đá", "da", "#", "b.2", "2020"]
+    texts = [" ".join(words[int(w)] for w in rng.integers(0, len(words), n)) for n in rng.integers(0, 30, 60)]
+    aliases = [(" ".join(words[int(w)] for w in rng.integers(0, len(words), 2)), ("name", "code", "abbrev")[i % 3], "ab"[i % 2]) for i in range(40)]
+    assert found(spark, texts, aliases, shipped=0, listed=0) == found(spark, texts, aliases)
+    df = spark.createDataFrame([(1, "BA 2025", "x", "y"), (1, "BA 2025", "x", "y"), (None, "BA", "x", "y")], "id long, text string, mentions string, cls string")
+    got = scan.scan_sentences(df, spark.createDataFrame(ALIASES, SCHEMA), "id", "text", 0, 0).collect()
+    assert sorted((str(r["id"]), len(r["mentions"]), r["years"]) for r in got) == [("1", 1, [2025])] * 2 + [("None", 1, [])]
