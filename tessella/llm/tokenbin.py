@@ -177,20 +177,33 @@ _HEAD = "\x01"
 _WHITE = "\t\n\x0b\x0c\r\x1c-\x1f \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
+def _gathered(pool: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs pool[starts : starts + sizes], one after another, and their sizes."""
+    shift = (starts - (np.cumsum(sizes) - sizes)).astype(np.int32)
+    at = np.repeat(shift, sizes)
+    at += np.arange(len(at), dtype=np.int32)
+    return pool[at], sizes
+
+
+def _strings(column) -> list[str]:
+    """An Arrow column without nulls as a list; NumPy makes the strings faster than to_pylist."""
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 class Encoder:
     """Ids of texts by the tokenizers library, column by column: each distinct chunk of a column is encoded once, and not again
     while it stays in memory.
 
     Byte-level BPE splits a text into pieces before it merges, and a piece ends at a space or line end that stands alone
     between other characters; so such a text's ids are those of its chunks, each with the space before it, and of its line
-    ends. A chunk of letters and marks is two pieces. Texts with runs of white space, with the string of a special token
+    ends. A chunk of letters and marks is two pieces, kept as such, so that letters are encoded once whatever follows them. Texts with runs of white space, with the string of a special token
     or with the sign that marks a chunk without a space before it are encoded whole, as are all texts if the tokenizer
     is of another kind. The ids are the same either way. The chunks known are Arrow strings and one array of ids, `memory`
     bytes at most besides those of the column at hand.
     """
 
     #: Bytes of chunks and their ids in memory, and of text in a column, about.
-    MEMORY, COLUMN = 48 << 20, 4 << 20
+    MEMORY, COLUMN = 12 << 20, 4 << 20
     #: Pieces that are merged at once: the library's tokens are objects.
     MERGED = 20_000
 
@@ -225,37 +238,54 @@ class Encoder:
             some = raw[k : k + self.MERGED]
             ends = np.cumsum([len(r) for r in some]).tolist()
             spelt = self.letters[np.frombuffer(b"".join(some), np.uint8)].tobytes().decode("utf-32-le")
-            found = [tokenize(spelt[a:z]) for a, z in zip([0, *ends], ends, strict=False)]
-            sizes += map(len, found)
-            ids += [k.id for x in found for k in x]
+            a = 0
+            for z in ends:
+                found = [k.id for k in tokenize(spelt[a:z])]
+                sizes.append(len(found))
+                ids += found
+                a = z
         return sizes, ids
 
     def _encode_new(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The number of ids of each chunk, and all ids; chunks of letters come first. Letters, or marks, are one piece."""
-        pieces: dict[str, int] = {}
-        piece = lambda p: pieces.setdefault(p, len(pieces))
-        of: list = []
-        words = [" " + c for c in chunks if c.isalpha()]
-        for c in chunks:
-            if c.isalpha():
-                continue
+        """The number of ids of each chunk, and all ids. Letters, marks and a line end are one piece."""
+        pieces, whole = [], {}
+        for i, c in enumerate(chunks):
             lead, body = ("", c[1:]) if c[:1] == _HEAD else (" ", c)
-            stem = body.rstrip(_MARKS)
-            if c == "\n":
-                of.append((piece(c),))
-            elif not body:
-                of.append(())
-            elif stem and not stem.isalpha():
-                of.append(self.t.encode(lead + body, add_special_tokens=False).ids)
-            elif stem and len(stem) < len(body):
-                of.append((piece(lead + stem), piece(body[len(stem) :])))
+            if body.isalpha() or (body and not body.strip(_MARKS)):
+                pieces.append(lead + body)
+            elif c == "\n" or not body:
+                pieces.append(body)
             else:
-                of.append((piece(lead + body),))
-        sizes, ids = self._merged(words)
-        n, more = self._merged(list(pieces))
-        ends = np.cumsum(n).tolist()
-        rest = [x if isinstance(x, list) else [i for k in x for i in more[ends[k] - n[k] : ends[k]]] for x in of]
-        return np.array(sizes + list(map(len, rest)), np.int32), np.array(ids + [i for x in rest for i in x], self.kind)
+                whole[i] = self.t.encode(lead + body, add_special_tokens=False).ids
+                pieces.append("")
+        sizes, ids = self._merged(pieces)
+        if whole:
+            ends = np.cumsum(sizes).tolist()
+            parts = [whole[i] if i in whole else ids[e - n : e] for i, (e, n) in enumerate(zip(ends, sizes, strict=True))]
+            sizes, ids = list(map(len, parts)), [k for x in parts for k in x]
+        return np.array(sizes, np.int32), np.array(ids, self.kind)
+
+    def _split(self, chunks) -> tuple:
+        """The chunks of a column with the marks at the end of letters apart: strings, and for each chunk its one or two places in them
+        (the second is -1 for none). Marks stand there as a chunk without a space before it."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        stems = pc.utf8_rtrim(chunks, characters=_MARKS)
+        n = pc.binary_length(stems).to_numpy()
+        some = np.flatnonzero(n < pc.binary_length(chunks).to_numpy())
+        letters = _strings(stems.take(pa.array(some)))
+        alpha = [x.removeprefix(_HEAD).isalpha() for x in letters]
+        marks = [_HEAD + c[len(x) :] for c, x, a in zip(_strings(chunks.take(pa.array(some))), letters, alpha, strict=True) if a]
+        some = some[alpha] if len(some) else some
+        marked = np.zeros(len(chunks), bool)
+        marked[some] = True
+        first = pc.if_else(pa.array(marked), stems, chunks)
+        both = pa.concat_arrays([first, pa.array(marks, pa.string())]).dictionary_encode()
+        at = both.indices.to_numpy()
+        second = np.full(len(chunks), -1, np.int32)
+        second[some] = at[len(chunks) :]
+        return both.dictionary, at[: len(chunks)], second
 
     def _column(self, texts) -> tuple[np.ndarray, np.ndarray]:
         """The number of ids of each text of regular white space, and all ids."""
@@ -265,26 +295,28 @@ class Encoder:
         lines = pc.binary_join_element_wise(pa.scalar(_HEAD), pc.replace_substring(texts, "\n", f" \n {_HEAD}"), "")
         split = pc.split_pattern(lines, " ")
         coded = split.flatten().dictionary_encode()
-        at = pc.index_in(coded.dictionary, value_set=self.chunks)
-        new = coded.dictionary.filter(at.is_null())
+        strings, first, second = self._split(coded.dictionary)
+        found = pc.index_in(strings, value_set=self.chunks)
+        missing = found.is_null()
+        at, new = found.fill_null(0).to_numpy().copy(), strings.filter(missing)
         if len(new):
-            new = new.to_pylist()
-            new = [c for c in new if c.isalpha()] + [c for c in new if not c.isalpha()]
-            sizes, ids = self._encode_new(new)
-            self.chunks = pa.concat_arrays([self.chunks, pa.array(new, pa.string())])
+            at[missing.to_numpy(zero_copy_only=False)] = np.arange(len(self.chunks), len(self.chunks) + len(new))
+            sizes, ids = self._encode_new(_strings(new))
+            self.chunks = pa.concat_arrays([self.chunks, new])
             self.sizes, self.pool = np.concatenate([self.sizes, sizes]), np.concatenate([self.pool, ids])
-            at = pc.index_in(coded.dictionary, value_set=self.chunks)
-        at = at.to_numpy()
-        # The ids of this column's chunks, in its own order: what the column's places then look up is small.
-        sizes = self.sizes[at]
-        ends, upto = np.cumsum(sizes), np.cumsum(self.sizes) - self.sizes
-        pool = self.pool[np.repeat(upto[at] - ends + sizes, sizes) + np.arange(sizes.sum())]
+        # The ids of this column's strings, then of its chunks, in their own order: what the column's places then look up is small.
+        upto = np.cumsum(self.sizes) - self.sizes
+        pool, sizes = _gathered(self.pool, upto[at], self.sizes[at])
         if self.chunks.nbytes + self.sizes.nbytes + self.pool.nbytes > self.memory:
-            self.chunks, self.sizes, self.pool = coded.dictionary, sizes, pool  # only they stay
+            self.chunks, self.sizes, self.pool = strings, sizes, pool  # only they stay
+        starts = np.cumsum(sizes) - sizes
+        pieces = np.stack([first, second], axis=1).ravel()
+        own = np.where(pieces < 0, 0, sizes[pieces])
+        pool, _ = _gathered(pool, starts[pieces], own)
+        sizes = own.reshape(-1, 2).sum(1)
         chunk = coded.indices.to_numpy()
-        size = sizes[chunk]
+        ids, size = _gathered(pool, (np.cumsum(sizes) - sizes)[chunk], sizes[chunk])
         upto = np.r_[0, np.cumsum(size)]
-        ids = pool[np.repeat((ends - sizes)[chunk] - upto[:-1], size) + np.arange(upto[-1])]
         return np.diff(upto[split.offsets.to_numpy()]), ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:

@@ -108,3 +108,19 @@ def test_token_files_are_even(spark):
     back = tokenbin.read_tokens(tokenbin.write_tokens(df, scratch(spark, "test-even"), file_bytes=20_000)).collect()
     assert len(back) == len(rows) and sum(r["n_tokens"] for r in back) == max(r["start"] + r["n_tokens"] for r in back)
     assert np.array_equal(tokenbin._bounds(spark.createDataFrame([(i, None) for i in range(5000)], "doc_id long, text string"), 20_000)[:3], [1250 - 1, 2500 - 1, 3750 - 1])
+
+
+def test_letters_are_encoded_once_whatever_marks_follow():
+    import public_tokenizers
+
+    from tessella.llm.tokenbin import TOKENIZER, Encoder
+
+    enc, merged = Encoder(public_tokenizers.path(TOKENIZER)), []
+    plain = enc._merged
+    enc._merged = lambda pieces: merged.extend(p for p in pieces if p) or plain(pieces)
+    texts = ["So mot, mot. mot\nmot!\nmot?! 3.5, x-y; don't. ä, —, — ,a ..", "So mot; mot: mot, ä! mot.\n3.5. — ... mot'. (mot) mot-, é,é é"]
+    for i, text in enumerate(texts):
+        merged.clear()
+        got = enc.encode([text, ""])
+        assert got[0].tolist() == enc.t.encode(text, add_special_tokens=False).ids and not len(got[1])
+        assert len(merged) == len(set(merged)) and (i == 0 or not {" mot", "So", " ä"} & set(merged))
