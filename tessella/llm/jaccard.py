@@ -106,25 +106,44 @@ def sketch(x: np.ndarray) -> bytes:
     return np.packbits(np.bincount((x & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
 
 
+def _squeezed(v: np.ndarray) -> bytes:
+    """An array as bytes, the first byte of all numbers before the second: high bytes of small numbers then take no room."""
+    import pyarrow as pa
+
+    planes = np.ascontiguousarray(v).view(np.uint8).reshape(len(v), v.itemsize).T.tobytes()
+    small = len(planes).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    return b"z" + small if len(small) < len(planes) else b"-" + planes
+
+
+def _plain(raw: bytes, kind: str) -> np.ndarray:
+    import pyarrow as pa
+
+    planes = raw[1:] if raw[:1] == b"-" else pa.decompress(raw[5:], int.from_bytes(raw[1:5], "little"), codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
 def _packed(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> Iterator[tuple[int, dict[str, bytes]]]:
-    """The columns' rows of each bucket, as bytes."""
+    """The columns' rows of each bucket, squeezed."""
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
     starts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
     for a, z in zip(starts, np.r_[starts[1:], len(b)].astype(int) if len(b) else [], strict=True):
-        yield int(b[a]), {k: v[order[a:z]].tobytes() for k, v in columns.items()}
+        yield int(b[a]), {k: _squeezed(v[order[a:z]]) for k, v in columns.items()}
 
 
 def _unpacked(table, kinds: dict[str, str]) -> dict[str, np.ndarray]:
-    return {k: np.frombuffer(b"".join(x for x in table.column(k).to_pylist() if x), t) for k, t in kinds.items()}
+    return {k: np.concatenate([np.zeros(0, t), *(_plain(x, t) for x in table.column(k).to_pylist() if x)]) for k, t in kinds.items()}
 
 
-_HEAD = {"h_doc": "<i8", "h_fp": "<u8", "h_n": "<u4", "h_scheme": "u1", "h_empty": "<u4", "h_able": "<u4", "h_count": "<u4"}
+#: What a document has in each bucket that its postings come to: at 30 GB nearly every posting has a head of its own. The fingerprint
+#: has FINGER bits here; equal ones by chance, of different sets under one signature, are one in 2 ** FINGER pairs.
+FINGER = 48
+_HEAD = {"h_doc": "<i8", "h_fp": "<u8", "h_scheme": "u1", "h_empty": "<u4", "h_able": "<u4", "h_count": "<u4"}
 #: A signature within its bucket takes five bytes: equal ones by chance only add candidates. Segments without deletions are all _FAR.
 _FAR = np.uint32(0xFFFFFFFF)
 _POST = {"low": "<u4", "high": "u1", "seg": "<u4", "del_": "u1"}
 _DOC = {"d_doc": "<i8", "d_n": "<u4", "d_fp": "<u8", "d_fp2": "<u8", "d_lacking": "u1"}
-_SHARED = {"doc": "<i8", "fp": "<u8", "n": "<u4", "scheme": "u1", "empty": "<u4", "able": "<u4", "sig": "<u8", "seg": "<u4", "del_": "u1", "cx": "<u4", "cd": "<u4"}
+_SHARED = {"doc": "<i8", "fp": "<u8", "scheme": "u1", "empty": "<u4", "able": "<u4", "sig": "<u8", "seg": "<u4", "del_": "u1", "cx": "<u4", "cd": "<u4"}
 _ASKED = {"sig": "<u8", "doc": "<i8", "probe": "u1"}
 
 
@@ -155,7 +174,7 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
                 d = {k: np.array(c, t) for (k, t), c in zip(_DOC.items(), zip(*docs, strict=True), strict=True)}
                 at = np.arange(len(docs), dtype=np.int64)
                 for b, c in _packed(d["d_fp"] % np.uint64(buckets), d | {"at": at}):
-                    out.append({"bucket": b, "d_sketch": b"".join(sketches[i] for i in np.frombuffer(c.pop("at"), np.int64).tolist()), **c})
+                    out.append({"bucket": b, "d_sketch": b"".join(sketches[i] for i in _plain(c.pop("at"), "<i8").tolist()), **c})
             if posts:
                 h = {k: np.array(c, t) for (k, t), c in zip(_HEAD.items(), zip(*heads, strict=True), strict=False)}
                 of = np.repeat(np.arange(len(heads)), [len(p[0]) for p in posts])
@@ -168,7 +187,7 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
                 for a, z in zip(at.tolist(), [*at[1:].tolist(), len(order)], strict=True):
                     o = order[a:z]
                     mine, count = np.unique(of[o], return_counts=True)
-                    out.append({"bucket": int(bucket[o[0]]), "h_count": count.astype("<u4").tobytes(), "low": low[o].tobytes(), "high": high[o].tobytes(), "seg": seg[o].tobytes(), "del_": dele[o].tobytes()} | {k: v[mine].tobytes() for k, v in h.items()})
+                    out.append({"bucket": int(bucket[o[0]]), "h_count": _squeezed(count.astype("<u4")), "low": _squeezed(low[o]), "high": _squeezed(high[o]), "seg": _squeezed(seg[o]), "del_": _squeezed(dele[o])} | {k: _squeezed(v[mine]) for k, v in h.items()})
             heads, posts, docs, sketches, held = [], [], [], [], 0
             table = _batch(out, names, ["bucket"])
             yield from table.to_batches()
@@ -181,7 +200,7 @@ def _postings(documents: DataFrame, schemes: Schemes, size: int, buckets: int) -
                 for s in schemes.of(len(x)) if len(x) else ():
                     sig, seg, dele, empty, able = schemes.signatures(x, s)
                     lacking |= schemes.lacks(s, empty, able)
-                    heads.append((doc, fp, len(x), s, empty, able))
+                    heads.append((doc, fp >> (64 - FINGER), s, empty, able))
                     posts.append((sig, np.where(seg < schemes.q[s], seg, _FAR).astype(np.uint32), dele))
                     held += len(sig)
                 docs.append((doc, len(x), fp, fp2, lacking))
@@ -228,8 +247,8 @@ def _share(buckets: int):
         some = order[np.repeat(np.diff(np.r_[at, len(s)]) > 1, np.diff(np.r_[at, len(s)]))]
         # Of equal sets only the one with the smallest id stays.
         fp, of, sig, dele = h["h_fp"][of[some]], of[some], within[some], p["del_"][some]
-        order = np.lexsort((h["h_doc"][of], dele, h["h_n"][of], fp, sig))
-        first = order[_starts(sig[order], fp[order], h["h_n"][of[order]], dele[order])] if len(order) else order
+        order = np.lexsort((h["h_doc"][of], dele, fp, sig))
+        first = order[_starts(sig[order], fp[order], dele[order])] if len(order) else order
         some, of, sig, dele = some[first], of[first], sig[first], dele[first]
         at = _starts(sig) if len(sig) else np.zeros(0, int)
         length = np.diff(np.r_[at, len(sig)])
@@ -237,7 +256,7 @@ def _share(buckets: int):
         cx = length - cd
         keep = np.repeat((cx > 1) | ((cx > 0) & (cd > 0)), length)
         whole = sig * np.uint64(buckets) + np.uint64(key[0].as_py())
-        cols = {"doc": h["h_doc"][of], "fp": h["h_fp"][of], "n": h["h_n"][of], "scheme": h["h_scheme"][of], "empty": h["h_empty"][of], "able": h["h_able"][of], "sig": whole, "seg": p["seg"][some], "del_": dele, "cx": np.repeat(cx, length).astype("<u4"), "cd": np.repeat(cd, length).astype("<u4")}
+        cols = {"doc": h["h_doc"][of], "fp": h["h_fp"][of], "scheme": h["h_scheme"][of], "empty": h["h_empty"][of], "able": h["h_able"][of], "sig": whole, "seg": p["seg"][some], "del_": dele, "cx": np.repeat(cx, length).astype("<u4"), "cd": np.repeat(cd, length).astype("<u4")}
         cols = {k: v[keep] for k, v in cols.items()}
         part = _mix(cols["doc"].astype(np.uint64)) % np.uint64(buckets)
         packed = [{"part": b, **c} for b, c in _packed(part, cols)]

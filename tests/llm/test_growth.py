@@ -124,3 +124,19 @@ def test_letters_are_encoded_once_whatever_marks_follow():
         got = enc.encode([text, ""])
         assert got[0].tolist() == enc.t.encode(text, add_special_tokens=False).ids and not len(got[1])
         assert len(merged) == len(set(merged)) and (i == 0 or not {" mot", "So", " ä"} & set(merged))
+
+
+def test_heads_of_postings_take_little_room_in_many_buckets(spark):
+    """At 30 GB there are some 70 postings of a task to a bucket, and nearly each has a head of its own."""
+
+
+    rng = np.random.default_rng(6)
+    texts = [(i, " ".join(f"w{w}" for w in rng.integers(0, 5000, 300))) for i in range(300)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    rows = jaccard._postings(docs, jaccard.Schemes(), 5, 700).collect()
+    n = sum(len(jaccard._plain(r["del_"], "u1")) for r in rows if r["del_"])
+    heads = [k for k in rows[0].asDict() if k.startswith("h_")]
+    room = sum(len(r[k] or b"") for r in rows for k in (*heads, *jaccard._POST))
+    assert n > 20_000 and room < 24 * n  # 33 bytes a head and 10 a posting without squeezing
+    for v in (np.arange(5, dtype="<u8") << 40, np.zeros(0, "<u4"), np.array([-1, 3], "<i8"), np.ones(900, "u1")):
+        assert np.array_equal(jaccard._plain(jaccard._squeezed(v), v.dtype.str), v)
