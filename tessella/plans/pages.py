@@ -72,15 +72,10 @@ def aliases(t):
     return out.unionByName(row(t.supplier, "s_name", "code", "supplier")).unionByName(row(t.part, "p_type", "abbrev", "type"))
 
 
-def _flat(df, key: str):
-    """Mentions as `start:end:types:text`."""
-    return df.select(key, F.transform("mentions", lambda m: F.concat_ws(":", m["start"], m["end"], F.array_join(m["types"], "+"), m["text"])).alias("mentions"), "years")
-
-
 @query("scan_sentences")
 def scan_documents(t):
     """The dictionary's entries in every whole document."""
-    return _flat(scan_sentences(t.documents, aliases(t), "doc_id", "text"), "doc_id")
+    return scan_sentences(t.documents, aliases(t), "doc_id", "text", written=True)
 
 
 _REQUEST = "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, p_name, p_brand, p_type, s_name, n_name, CAST(year(l_shipdate) AS VARCHAR) AS y"
@@ -97,4 +92,4 @@ def scan_requests(t):
     lines = lines.join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey")).join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("s_nationkey"))
     sentence = F.concat(F.lit("Señd "), F.upper(F.replace("p_name", F.lit(" "), F.lit(" - "))), F.lit(" ("), F.upper("p_brand"), F.lit(", "), "p_type", F.lit(") by "), "s_name", F.lit(" / "), F.lower("n_name"), F.lit(", not "), "p_brand", F.lit("x or "), F.lower("p_type"), F.lit(", in "), F.col("y").cast("string"))
     keyed = lines.select(F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("line"), sentence.alias("text"))
-    return _flat(scan_sentences(keyed, aliases(t), "line", "text"), "line").select("line.*", "mentions", "years")
+    return scan_sentences(keyed, aliases(t), "line", "text", written=True).select("line.*", "mentions", "years")

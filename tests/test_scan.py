@@ -108,3 +108,74 @@ def test_a_join_through_a_bitmap_equals_automata(spark):
     df = spark.createDataFrame([(1, "BA 2025", "x", "y"), (1, "BA 2025", "x", "y"), (None, "BA", "x", "y")], "id long, text string, mentions string, cls string")
     got = scan.scan_sentences(df, spark.createDataFrame(ALIASES, SCHEMA), "id", "text", 0, 0).collect()
     assert sorted((str(r["id"]), len(r["mentions"]), r["years"]) for r in got) == [("1", 1, [2025])] * 2 + [("None", 1, [])]
+
+
+def tables(aliases):
+    """The forms of aliases, for automata, and what texts are looked up in: tables by class, shapes, types."""
+    import pyarrow as pa
+
+    forms = {}
+    for alias, kind, what in aliases:
+        for form in scan.alias_forms(kind or "", alias or ""):
+            forms.setdefault(form, set()).add(what or "")
+    types = sorted({tuple(sorted(x)) for x in forms.values()})
+    known = {}
+    for kind in {k for k, _ in forms}:
+        own = [f for f in forms if f[0] == kind]
+        known[kind] = scan._Known(pa.array([key for _, key in own], pa.string()), np.array([types.index(tuple(sorted(forms[f]))) for f in own]))
+    return [(*f, sorted(x)) for f, x in forms.items()], known, sorted({scan.shape_of(*f) for f in forms}), types
+
+
+def looked_up(texts, known, shapes, types):
+    places, years = [[] for _ in texts], [[] for _ in texts]
+    found, dated = scan._found(texts, known, shapes)
+    for i, a, z, t, string in zip(*(x.tolist() for x in found[:4]), found[4].to_pylist(), strict=True):
+        assert string == texts[i][a:z]
+        places[i].append((a, z, list(types[t])))
+    for i, y in zip(*(x.tolist() for x in dated), strict=True):
+        years[i].append(y)
+    return places, years
+
+
+@pytest.mark.parametrize("mask", [None, 0, 3])
+def test_look_ups_in_arrays_equal_automata(monkeypatch, mask):
+    """Also where aliases share a hash, or all have the same one."""
+    if mask is not None:
+        monkeypatch.setattr(scan._Hashes, "__call__", lambda self, a, z, f=scan._Hashes.__call__: f(self, a, z) & np.uint64(mask))
+    rng = np.random.default_rng(12)
+    words = ["mây", "MAY", "g-1", "G1", "AB", "ab", "x_1", "Đá", "#", "b.2", "2020", "12024", "İx", "ß", "𝒳y", "ét", "\n", "\0", "中文", "ﬁn", "٢٠٢٠"]
+    draw = lambda n: "".join(words[int(w)] + (" ", "  ", ", ", "-", "", "/")[int(s)] for w, s in zip(rng.integers(0, len(words), n), rng.integers(0, 6, n), strict=True))
+    texts = ["", *[draw(int(n)) for n in rng.integers(0, 30, 400)], "", "AB", "\n"]
+    aliases = [*ALIASES, *[(draw(int(n)).strip() or "x1", ("name", "code", "abbrev")[i % 3], "abc"[i % 2]) for i, n in enumerate(rng.integers(1, 4, 150))]]
+    forms, *rest = tables(aliases)
+    scanner = scan.Scanner(forms)
+    want = [scan.chosen(list(scanner.places(x))) for x in texts]
+    assert sum(map(len, want)) > 1000 and any(z - a > 6 for x in want for a, z, _ in x)
+    assert looked_up(texts, *rest) == (want, [sorted({int(y) for y in re.findall(r"(?<![0-9])20[0-9][0-9](?![0-9])", x)}) for x in texts])
+
+
+def test_look_ups_take_less_time_than_automata():
+    """A request's sentence was cut into runs of words one by one, which took six times as long as automata do."""
+    import time
+
+    forms, *rest = tables([(f"Supplier#{i:09d}", "code", "supplier") for i in range(20_000)] + [(f"{a} {b}", "name", "part") for a in ("large", "hot", "old") for b in ("ring", "bolt", "gear")] + [("LARGE", "abbrev", "type")])
+    texts = [f"Señd {('LARGE', 'HOT', 'OLD')[i % 3]} - {('RING', 'GEAR')[i % 2]} (BRAND#{i % 25}, LARGE) by Supplier#{i * 7 % 20_000:09d} / nation_3, not Brand#7x or large, in {1992 + i % 9}" for i in range(8_000)]
+    scanner = scan.Scanner(forms)
+    looked_up(texts[:10], *rest)
+    t = time.process_time()
+    want = [scan.chosen(list(scanner.places(x))) for x in texts]
+    automata, t = time.process_time() - t, time.process_time()
+    got = [scan._found(texts[i : i + 2_000], *rest[:2]) for i in range(0, len(texts), 2_000)]
+    assert time.process_time() - t < automata
+    assert sum(len(x[0][0]) for x in got) == sum(map(len, want)) and looked_up(texts[:500], *rest)[0] == want[:500]
+
+
+def test_automata_are_for_many_shapes_and_mentions_are_written_alike(spark, monkeypatch):
+    texts = ["ite10, it-e10 and IT-E10", "ba nam BA", "KY  THUẬT - ô TÔ!", "ky thuat ca phe, ô tô", "see #7# 2031 and 7", "nhà b1 2024 2024", None]
+    want = found(spark, texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "n long, body string")
+    written = lambda **how: sorted(map(tuple, scan.scan_sentences(df, spark.createDataFrame(ALIASES, SCHEMA), "n", "body", written=True, **how).collect()))
+    lists, joined = written(), written(shipped=0, listed=0)
+    monkeypatch.setattr(scan, "SHAPES", 0)
+    assert found(spark, texts) == want and written() == lists == joined
+    assert lists[3] == (3, ["0:8:faculty+group:ky thuat", "9:15::ca phe", "17:21:club:ô tô"], []) and lists[5][2] == [2024]
