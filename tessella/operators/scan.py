@@ -295,16 +295,21 @@ class _Known:
         return np.concatenate(hits), np.concatenate(types)
 
 
-def _found(texts: list[str], known: dict[str, _Known], shapes: list[tuple]):
-    """Which text, start, end, types and string of every place taken, in order; and the years. The texts are one array of letters."""
-    codes = _codes("\n" + "\n".join(texts) + "\n")
-    first = 1 + np.cumsum([0] + [len(x) + 1 for x in texts])
+def _found(texts, known: dict[str, _Known], shapes: list[tuple]):
+    """Which text, start, end, types and string of every place taken, in order; and the years. The texts, Arrow strings, are one array of letters."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(texts)], pa.int32()), texts), "\n")[0].as_py()
+    codes, sizes = _codes(f"\n{joined}\n"), pc.utf8_length(texts).to_numpy() + 1
+    first = np.concatenate([[1], 1 + np.cumsum(sizes, dtype=np.int64)])
+    sizes[:1] += 1
+    row = np.repeat(np.arange(len(texts)), sizes)  # the text that a letter is in
     letters = _letters()
     letters.learn(codes)
     found, kinds = [], (EXACT, LOWER, FOLDED)
     token = letters.token[codes]
     tokens = _runs(token)
-    owners = np.searchsorted(first, tokens[0], "right") - 1
     for rank, kind in enumerate(kinds):
         if kind not in known:
             continue
@@ -312,14 +317,13 @@ def _found(texts: list[str], known: dict[str, _Known], shapes: list[tuple]):
             plain = letters.plain[codes]
             word = plain != ord(" ")
             starts, ends = _runs(word)
-            owner = np.searchsorted(first, starts, "right") - 1
             word[1:] |= word[:-1].copy()
             form = plain[word]  # words with one space after each
             to = np.cumsum(ends - starts + 1) - 1
             of = to - (ends - starts)
         else:
-            (starts, ends), owner, form = tokens, owners, letters.low[codes] if kind == LOWER else codes
-        hashes = _Hashes(form)
+            (starts, ends), form = tokens, letters.low[codes] if kind == LOWER else codes
+        hashes, owner = _Hashes(form), row[starts]
         for _, before, n, after in (s for s in shapes if s[0] == kind):
             k = max(0, len(starts) - n + 1)
             if kind == FOLDED:
@@ -352,17 +356,17 @@ def _found(texts: list[str], known: dict[str, _Known], shapes: list[tuple]):
         some = zip(rank[i : i + n].tolist(), (a[i : i + n] - base).tolist(), (z[i : i + n] - base).tolist(), range(i, i + n), strict=True)
         taken[[x for _, _, x in chosen([(kinds[r], y, w, x) for r, y, w, x in some])]] = True
     a, z, types = a[taken], z[taken], types[taken]
-    owner = np.searchsorted(first, a, "right") - 1
-    return (owner, a - first[owner], z - first[owner], types, _stretches(codes, a, z)), _years(codes, first)
+    owner = row[a]
+    return (owner, a - first[owner], z - first[owner], types, _stretches(codes, a, z)), _years(codes, row)
 
 
-def _years(codes, first) -> tuple[np.ndarray, np.ndarray]:
+def _years(codes, row) -> tuple[np.ndarray, np.ndarray]:
     """Which text and year of every year, distinct and in order: runs of four digits that begin with 20."""
     starts, ends = _runs((codes >= ord("0")) & (codes <= ord("9")))
     at = starts[ends - starts == 4]
     digits = codes[at[:, None] + np.arange(4)].astype(np.int64) - ord("0")
     year = digits @ [1000, 100, 10, 1]
-    owner, year = np.divmod(np.unique((np.searchsorted(first, at, "right") - 1)[year // 100 == 20] * 10_000 + year[year // 100 == 20]), 10_000)
+    owner, year = np.divmod(np.unique((row[at] * 10_000 + year)[year // 100 == 20]), 10_000)
     return owner, year
 
 
@@ -389,7 +393,7 @@ def _by_list(rows: DataFrame, keys: DataFrame, shapes: list[tuple], written: boo
             while i < b.num_rows:
                 n = max(1, int(np.searchsorted(sizes, (sizes[i - 1] if i else 0) + LOOKED_UP, "right")) - i)
                 part = b.slice(i, n)
-                (owner, a, z, of, strings), (dated, year) = _found(part.column("text").to_pylist(), known, shapes)
+                (owner, a, z, of, strings), (dated, year) = _found(part.column("text"), known, shapes)
                 a, z, of = pa.array(a, pa.int32()), pa.array(z, pa.int32()), pa.array(of)
                 if written:
                     places = pc.binary_join_element_wise(a.cast(pa.string()), z.cast(pa.string()), named.take(of), strings, ":")
